@@ -1,0 +1 @@
+"""The data model is batch snapshots only, so there is no streaming operator."""
