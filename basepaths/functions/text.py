@@ -61,27 +61,25 @@ def trajectory(text: Column) -> Column:
     return first_rule(lowered(text), S.TRAJECTORY_RULES)
 
 
-def _first_mention(text: Column) -> Column:
-    low = lowered(text)
-    hits = F.array(
-        *[F.struct(F.nullif(F.locate(name, low), F.lit(0)).alias("at"), F.lit(name).alias("name")) for name in S.FIELDING_POSITIONS]
-    )
-    return F.array_min(F.filter(hits, lambda hit: hit["at"].isNotNull()))
+_POSITIONS = "|".join(S.FIELDING_POSITIONS)
 
 
 def first_position(text: Column) -> Column:
     """Fielding position mentioned first."""
-    return _first_mention(text)["name"]
+    return F.nullif(F.regexp_extract(lowered(text), f"({_POSITIONS})", 1), F.lit(""))
+
+
+def after_first_position(text: Column) -> Column:
+    """The text behind the first mentioned fielding position."""
+    return F.regexp_extract(lowered(text), f"(?s)^.*?({_POSITIONS})(.*)$", 2)
 
 
 def position_mentions(text: Column) -> Column:
-    return F.regexp_count(lowered(text), F.lit("|".join(S.FIELDING_POSITIONS)))
+    return F.regexp_count(lowered(text), F.lit(_POSITIONS))
 
 
-def fielder_after_position(text: Column, names: Column) -> Column:
-    """Known player named nearest after the first position; NULL when none is."""
-    low, hit = lowered(text), _first_mention(text)
-    tail = F.substring(low, hit["at"] + F.length(hit["name"]), F.length(low))
+def nearest_name(tail: Column, names: Column) -> Column:
+    """Known player named first in ``tail``; NULL when none is."""
     found = F.transform(names, lambda n: F.struct(F.position(F.lower(n), tail).alias("at"), n.alias("name")))
     return F.array_min(F.filter(found, lambda n: n["at"] > 0))["name"]
 

@@ -45,7 +45,7 @@ def derive_exposures(valued: DataFrame, series: DataFrame, weights: DataFrame, c
             "run_value": F.element_at("_linear", event),
             "wOBA_num_value": F.coalesce(F.try_element_at("_scaled", event), F.lit(0.0)),
         })
-        .drop("_linear", "_scaled", "runners_before", "runners_after", "runner_actions")
+        .drop("_linear", "_scaled", "runners_before", "runners_after", "runner_actions", "action_keys", "after_keys")
     )
 
 

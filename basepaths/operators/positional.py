@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basepaths import schema as S
-from basepaths.functions import text as X
 from basepaths.functions.identity import literal_map, person_key
 from basepaths.functions.lines import count_if, is_in, ratio0
-from basepaths.operators.value import with_roster
 
 # --- fixed values: standardized season of 175 innings ---
 SEASON_OUTS = 525.0
@@ -55,13 +53,12 @@ def team_game_audit(box: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def fielding_mentions(events: DataFrame, box: DataFrame, rosters: DataFrame) -> DataFrame:
+def fielding_mentions(parsed: DataFrame, box: DataFrame) -> DataFrame:
     """Plays that name a fielder at a standard position, per (season, player, team, position)."""
-    short = F.try_element_at(literal_map(S.POSITION_NAMES), X.first_position(F.col("play_text")))
-    named = with_roster(events, rosters).select(
-        "canonical_id", "season", "fielding_team", short.alias("position"),
-        person_key(X.fielder_after_position(F.col("play_text"), F.col("names"))).alias("player_key"),
-    ).where(F.col("position").isNotNull() & (F.col("player_key") != ""))
+    short = F.try_element_at(literal_map(S.POSITION_NAMES), F.col("first_position"))
+    named = parsed.where(F.col("fielder").isNotNull()).select(
+        "canonical_id", "season", "fielding_team", short.alias("position"), person_key(F.col("fielder")).alias("player_key")
+    ).where(F.col("position").isNotNull())
     owners = box.groupBy("canonical_id", "player_key").agg(F.max("team").alias("team"))
     return (
         named.join(owners, ["canonical_id", "player_key"], "left")
@@ -70,7 +67,7 @@ def fielding_mentions(events: DataFrame, box: DataFrame, rosters: DataFrame) ->
     )
 
 
-def position_exposure(box: DataFrame, events: DataFrame, rosters: DataFrame) -> DataFrame:
+def position_exposure(box: DataFrame, events: DataFrame) -> DataFrame:
     """Labels, confirmed outs and mentions of every player at every listed position."""
     audit = team_game_audit(box, events).select("canonical_id", "team", "defensive_outs", "confirmed_for_innings")
     labels = position_map(box).select("canonical_id", "season", "team", "player", "player_key", F.explode("positions").alias("position"))
@@ -83,7 +80,7 @@ def position_exposure(box: DataFrame, events: DataFrame, rosters: DataFrame) ->
         count_if(~sure).alias("ambiguous_position_games"),
     )
     return (
-        exposure.join(fielding_mentions(events, box, rosters), keys, "left")
+        exposure.join(fielding_mentions(events, box), keys, "left")
         .withColumn("fielding_mentions", F.coalesce("fielding_mentions", F.lit(0)))
         .withColumn("confirmed_defensive_innings", F.col("confirmed_defensive_outs") / 3)
         .withColumn(
@@ -215,19 +212,15 @@ def replacement_depth(valued: DataFrame, box: DataFrame) -> DataFrame:
 
 # --- fielding transfer -------------------------------------------------------------------
 
-def fielding_cells(events: DataFrame, rosters: DataFrame) -> DataFrame:
+def fielding_cells(parsed: DataFrame) -> DataFrame:
     """Conversion residuals per player and position from one grouping of the plays."""
-    text = F.col("play_text")
-    short = F.try_element_at(literal_map(S.POSITION_NAMES), X.first_position(text))
+    short = F.try_element_at(literal_map(S.POSITION_NAMES), F.col("first_position"))
     cells = (
-        with_roster(events, rosters)
-        .select(
-            person_key(X.fielder_after_position(text, F.col("names"))).alias("player_key"), short.alias("position"),
-            X.trajectory(text).alias("batted_type"), "event_type",
-        )
-        .where(F.col("position").isNotNull() & F.col("batted_type").isNotNull() & (F.col("player_key") != ""))
-        .groupBy("player_key", "position", "batted_type")
+        parsed.where(F.col("fielder").isNotNull() & F.col("batted_type").isNotNull())
+        .groupBy("fielder", short.alias("position"), "batted_type")
         .agg(F.count("*").alias("n"), count_if(is_in(S.CONVERTED_EVENTS)).alias("made"))
+        .where(F.col("position").isNotNull())
+        .withColumn("player_key", person_key(F.col("fielder")))
     )
     rates = cells.groupBy("position", "batted_type").agg((F.sum("made") / F.sum("n")).alias("rate"))
     return cells.join(F.broadcast(rates), ["position", "batted_type"]).groupBy("player_key", "position").agg(

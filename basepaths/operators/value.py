@@ -178,16 +178,6 @@ _NO_BATTER = "batter absent after advancement-eligible play without explicit act
 _NO_BASE = "eligible action has no valid destination"
 
 
-def _action_of(player: Column) -> Column:
-    same = F.filter("runner_actions", lambda a: person_key(a["runner"]) == person_key(player))
-    return F.get(same, F.lit(0))
-
-
-def _base_after(player: Column) -> Column:
-    held = F.map_filter("runners_after", lambda _, runner: person_key(runner) == person_key(player))
-    return F.get(F.map_keys(held), F.lit(0))
-
-
 def with_roster(events: DataFrame, rosters: DataFrame) -> DataFrame:
     """Attach each game's list of known players (a few dozen names per game)."""
     return events.join(rosters.select("canonical_id", "names"), "canonical_id", "left")
@@ -201,71 +191,88 @@ def game_rosters(*named: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("canonical_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def advancement_candidates(valued: DataFrame, rosters: DataFrame, re24: DataFrame) -> DataFrame:
-    """One row per non-forced runner or batter of an advancement-eligible play.
+def parse_plays(events: DataFrame, rosters: DataFrame) -> DataFrame:
+    """Typed columns of the play text, computed once and stored with the events.
 
-    ``reason`` is NULL for an opportunity and says why otherwise (unresolved rows).
+    Adds batted_type, first_position, position_mentions, fielder (known player named after the
+    first position) and the person keys of runners, so later jobs compare plain columns.
     """
     text = F.coalesce("play_text", F.lit(""))
+    keyed = events.withColumns({
+        "batted_type": X.trajectory(text),
+        "first_position": X.first_position(text),
+        "position_mentions": X.position_mentions(text),
+        "_tail": X.after_first_position(text),
+        "action_keys": F.transform("runner_actions", lambda a: person_key(a["runner"])),
+        "after_keys": F.transform_values("runners_after", lambda _, runner: person_key(runner)),
+    })
+    return with_roster(keyed, rosters).withColumn("fielder", X.nearest_name(F.col("_tail"), F.col("names"))).drop("_tail", "names")
+
+
+def advancement_candidates(parsed: DataFrame, re24: DataFrame) -> DataFrame:
+    """One row per non-forced runner or batter of an advancement-eligible play.
+
+    ``reason`` is NULL for an opportunity and says why otherwise (unresolved rows). The
+    explicit action and the base held afterwards are looked up inside the exploded array.
+    """
     eligible = F.col("is_plate_appearance") & is_in(S.RUNNER_ADVANCE_EVENTS + S.BATTER_ADVANCE_EVENTS)
-    single_fielder = X.position_mentions(text) == 1
-    plays = with_roster(valued.where(eligible), rosters).withColumns({
-        "batted_type": F.coalesce(X.trajectory(text), F.lit("unknown")),
-        "fielder": F.when(single_fielder, X.fielder_after_position(text, F.col("names"))),
-    }).withColumn(
-        "fielding_position", F.when(F.col("fielder").isNotNull(), X.first_position(text)).otherwise("unattributed")
-    )
+    attributed = (F.col("position_mentions") == 1) & F.col("fielder").isNotNull()
+    none = F.array().cast("array<struct<role:string,player:string,start_base:int>>")
     runners = F.when(
         is_in(S.RUNNER_ADVANCE_EVENTS),
         F.transform(F.map_entries("runners_before"), lambda e: F.struct(
             F.lit("runner").alias("role"), e["value"].alias("player"), e["key"].alias("start_base"))),
-    )
+    ).otherwise(none)
     batter = F.when(
         is_in(S.BATTER_ADVANCE_EVENTS) & F.col("batter").isNotNull(),
         F.array(F.struct(F.lit("batter").alias("role"), F.col("batter").alias("player"), F.lit(0).alias("start_base"))),
+    ).otherwise(none)
+
+    def looked_up(person):
+        key = person_key(person["player"])
+        told = F.get(F.col("runner_actions"), F.array_position("action_keys", key).cast("int") - 1)
+        held = F.get(F.map_keys(F.map_filter("after_keys", lambda _, k: k == key)), F.lit(0))
+        return F.struct(
+            person["role"].alias("role"), person["player"].alias("player"), key.alias("player_key"),
+            person["start_base"].alias("start_base"), told.alias("told"), held.alias("held"),
+        )
+
+    people = F.transform(F.filter(F.concat(runners, batter), lambda p: p["player"] != S.PLACED_RUNNER), looked_up)
+    rows = (
+        parsed.where(eligible)
+        .select(
+            "season", "canonical_id", "event_order", "event_type", "outs_before", "outs_after", "bases_after", "batting_team", "fielding_team",
+            "play_text", F.coalesce("batted_type", F.lit("unknown")).alias("batted_type"),
+            F.when(attributed, F.col("first_position")).otherwise("unattributed").alias("fielding_position"),
+            F.when(attributed, F.col("fielder")).alias("fielder"), F.explode(people).alias("who"),
+        )
+        .select("*", "who.*").drop("who")
     )
-    none = F.lit(None).cast("array<struct<role:string,player:string,start_base:int>>")
-    people = F.filter(
-        F.flatten(F.array_compact(F.array(F.coalesce(runners, none), F.coalesce(batter, none)))),
-        lambda p: p["player"] != S.PLACED_RUNNER,
-    )
-    exploded = plays.select("*", F.explode(people).alias("who")).select("*", "who.*").drop("who")
-    told, held = _action_of(F.col("player")), _base_after(F.col("player"))
-    looked = exploded.withColumns({"told": told, "held": held})
-    is_runner = F.col("role") == "runner"
+    is_runner, explicit = F.col("role") == "runner", F.col("told").isNotNull()
     action = (
-        F.when(F.col("told").isNotNull(), F.col("told.action"))
+        F.when(explicit, F.col("told.action"))
         .when(is_runner & (F.col("held") == F.col("start_base")), "remain")
         .when(F.col("held").isNotNull(), "advance")
     )
-    rows = (
-        looked.where(~(is_runner & F.col("told").isNotNull() & F.col("told.action").isin("forced", "state_correction")))
-        .withColumn("action", action)
-        .withColumn("destination", F.when(F.col("told").isNotNull(), F.col("told.to_base")).otherwise(F.col("held")))
+    moved = (
+        rows.where(~(is_runner & explicit & F.col("told.action").isin("forced", "state_correction")))
+        .withColumns({"action": action, "destination": F.when(explicit, F.col("told.to_base")).otherwise(F.col("held"))})
     )
-    out = flag(F.col("action") == "out")
-    other_outs = F.greatest(F.col("outs_before"), F.col("outs_after") - out)
-    held_bit = F.when(F.col("held").isNotNull(), F.pow(F.lit(2), F.col("held") - 1).cast("int")).otherwise(0)
+    scored, out = F.col("action") == "score", F.col("action") == "out"
+    other_outs = F.greatest(F.col("outs_before"), F.col("outs_after") - flag(out))
+    held_bit = F.coalesce(F.pow(F.lit(2), F.col("held") - 1).cast("int"), F.lit(0))
     without = F.col("bases_after").bitwiseAND(F.bitwise_not(held_bit))
-    to_bit = F.pow(F.lit(2), F.col("destination") - 1).cast("int")
-    table = F.col("_re")
-    utility = (
-        F.when(F.col("action") == "score", 1.0 + re_value(table, other_outs, without))
-        .when(F.col("action") == "out", re_value(table, other_outs + 1, without))
-        .when(F.col("destination").isin(1, 2, 3), re_value(table, other_outs, without.bitwiseOR(to_bit)))
-    )
+    legal = F.col("destination").isin(1, 2, 3)
+    to_bit = F.when(~scored & ~out & legal, F.pow(F.lit(2), F.col("destination") - 1).cast("int")).otherwise(0)
+    value = flag(scored) + re_value(F.col("_re"), other_outs + flag(out), without.bitwiseOR(to_bit))
     reason = (
         F.when(F.col("action").isNull(), F.when(is_runner, _NO_RUNNER).otherwise(_NO_BATTER))
-        .when(F.col("utility").isNull(), _NO_BASE)
+        .when(~scored & ~out & ~F.coalesce(legal, F.lit(False)), _NO_BASE)
     )
-    return (
-        rows.withColumn("_re", re_map(re24))
-        .withColumn("utility", F.when(F.col("action").isNotNull(), utility))
-        .select(
-            "season", "canonical_id", "event_order", "player", person_key(F.col("player")).alias("player_key"),
-            "role", "start_base", "action", "destination", "event_type", "outs_before", "batted_type",
-            "fielding_position", "fielder", "batting_team", "fielding_team", "utility", reason.alias("reason"), "play_text",
-        )
+    return moved.withColumn("_re", re_map(re24)).select(
+        "season", "canonical_id", "event_order", "player", "player_key", "role", "start_base", "action", "destination", "event_type",
+        "outs_before", "batted_type", "fielding_position", "fielder", "batting_team", "fielding_team",
+        F.when(reason.isNull(), value).alias("utility"), reason.alias("reason"), "play_text",
     )
 
 
@@ -360,17 +367,16 @@ def advancement_audit(candidates: DataFrame, opportunities: DataFrame, k: float
 
 def double_play_cells(valued: DataFrame) -> DataFrame:
     """Double-play chances summed by player, outs and first fielding position."""
-    text = F.coalesce("play_text", F.lit(""))
     chance = (
         F.col("is_plate_appearance") & (F.col("outs_before") < 2) & (F.col("bases_before").bitwiseAND(1) == 1)
-        & F.col("batter").isNotNull() & (X.trajectory(text) == "ground")
+        & F.col("batter").isNotNull() & (F.col("batted_type") == "ground")
     )
     turned = F.col("event_type") == "double_play"
     return (
         valued.where(chance)
         .groupBy(
             "season", person_key(F.col("batter")).alias("player_key"), F.col("outs_before").alias("outs"),
-            F.coalesce(X.first_position(text), F.lit("unknown")).alias("position"),
+            F.coalesce("first_position", F.lit("unknown")).alias("position"),
         )
         .agg(
             F.min("batter").alias("player"),
@@ -473,18 +479,14 @@ def arm_audit(opportunities: DataFrame, arms: DataFrame) -> DataFrame:
     )
 
 
-def range_runs(events: DataFrame, rosters: DataFrame, constants: DataFrame, k: float = 20.0) -> DataFrame:
+def range_runs(parsed: DataFrame, constants: DataFrame, k: float = 20.0) -> DataFrame:
     """Batted balls converted above the league rate of (position, trajectory), valued at a single."""
-    text = F.coalesce("play_text", F.lit(""))
     cells = (
-        with_roster(events.where(is_in(S.CONVERTIBLE_EVENTS)), rosters)
-        .select(
-            "season", "event_type", X.trajectory(text).alias("batted_type"), X.first_position(text).alias("position"),
-            X.fielder_after_position(text, F.col("names")).alias("fielder"),
-        )
-        .where(F.col("batted_type").isNotNull() & F.col("fielder").isNotNull())
-        .groupBy("season", person_key(F.col("fielder")).alias("player_key"), "position", "batted_type")
-        .agg(F.min("fielder").alias("player"), F.count("*").alias("n"), count_if(is_in(S.CONVERTED_EVENTS)).alias("made"))
+        parsed.where(is_in(S.CONVERTIBLE_EVENTS) & F.col("batted_type").isNotNull() & F.col("fielder").isNotNull())
+        .groupBy("season", "fielder", F.col("first_position").alias("position"), "batted_type")
+        .agg(F.count("*").alias("n"), count_if(is_in(S.CONVERTED_EVENTS)).alias("made"))
+        .withColumn("player_key", person_key(F.col("fielder")))
+        .withColumnRenamed("fielder", "player")
     )
     rates = cells.groupBy("season", "position", "batted_type").agg((F.sum("made") / F.sum("n")).alias("rate"))
     worth = constants.select("season", F.col("raw_weights")["single"].alias("worth"))

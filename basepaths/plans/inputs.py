@@ -46,7 +46,8 @@ def re24(spark, sf_dir) -> DataFrame:
 
 
 def _build_valued(spark, sf_dir) -> DataFrame:
-    return expectancy.add_run_values(fixtures.pbp_with_state(spark, sf_dir), re24(spark, sf_dir))
+    valued_rows = expectancy.add_run_values(fixtures.pbp_with_state(spark, sf_dir), re24(spark, sf_dir))
+    return value.parse_plays(valued_rows, rosters(spark, sf_dir))
 
 
 def valued(spark, sf_dir) -> DataFrame:

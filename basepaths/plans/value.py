@@ -77,7 +77,7 @@ from (
     coalesce(traj, 'unknown') as batted_type, case when mentions = 1 and named is not null then first_pos else 'unattributed' end as fielding_position,
     case when mentions = 1 then named end as fielder, 'runner' as role, runner as player, start_base,
     case when a = 0 then 'score' when a = 1 then 'out' when a < 4 then 'advance' when event_id % 11 <> 0 then 'remain' end as action,
-    case a when 0 then 4 when 1 then null when 4 then start_base else least(3, start_base + 1) end as destination,
+    case when a = 0 then 4 when a = 1 then null when a = 4 then (case when event_id % 11 <> 0 then start_base end) else least(3, start_base + 1) end as destination,
     case when a = 4 and event_id % 11 <> 0 then start_base end as held
   from runner_rows where is_plate_appearance and event_type in ('single','double','out','sacrifice_fly','infield_fly','reached_on_error')
     and not (a in (2, 3) and event_id % 7 = 0)
@@ -199,7 +199,7 @@ def steal_players(spark, sf):
 
 
 def candidates(spark, sf):
-    return V.advancement_candidates(I.valued(spark, sf), I.rosters(spark, sf), I.re24(spark, sf))
+    return V.advancement_candidates(I.valued(spark, sf), I.re24(spark, sf))
 
 
 def opportunities(spark, sf):
@@ -219,7 +219,7 @@ def arms(spark, sf):
 
 
 def ranges(spark, sf):
-    return V.range_runs(I.valued(spark, sf), I.rosters(spark, sf), I.constants(spark, sf))
+    return V.range_runs(I.valued(spark, sf), I.constants(spark, sf))
 
 
 def catchers(spark, sf):
