@@ -1,8 +1,8 @@
 """Least squares with batter and pitcher effects and game-clustered errors.
 
 Players are never expanded into dummy columns. Both effects are absorbed: every variable is
-reduced to what batter and pitcher means cannot explain, by alternately removing the two sets
-of means. The means only need sums per (batter, pitcher), so the iterations run on that small
+reduced to what batter and pitcher means cannot explain, for small leagues by one direct solve
+and otherwise by alternately removing the two sets of means. The means only need sums per (batter, pitcher), so the iterations run on that small
 table; the plate appearances are read once before and once after. By the Frisch-Waugh-Lovell
 theorem coefficients, residuals and the clustered sandwich of the named terms equal those of
 the full dummy regression, for any number of players.
@@ -55,11 +55,11 @@ def _minus(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, c: a - c)
 
 
-def absorb(rows: DataFrame, width: int, tolerance: float = 1e-11, rounds: int = 400, batch: int = 6) -> DataFrame:
+def absorb(rows: DataFrame, width: int, tolerance: float = 1e-11, rounds: int = 400, batch: int = 2) -> DataFrame:
     """Batter and pitcher effect of every variable: cells with arrays ``eb`` and ``ep``.
 
     Every ``batch`` rounds the cells are written to the shared folder, which keeps the plan
-    short and lets the largest change be read back; one number reaches the driver.
+    short and lets the largest change be read back; only that number reaches the driver.
     """
     zeros = F.array(*[F.lit(0.0)] * width)
     cells = rows.groupBy("b", "p").agg(F.count("*").alias("n"), _sums(width, "v").alias("s"))
@@ -89,6 +89,35 @@ def absorb(rows: DataFrame, width: int, tolerance: float = 1e-11, rounds: int =
     return cells.select("b", "p", "eb", "ep")
 
 
+DIRECT_PLAYERS = 2000
+
+
+def solve_small(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """Effects by one direct solve, only for at most ``DIRECT_PLAYERS`` players in all.
+
+    The caller has checked the bound, so at most a quarter of its square, one million cells,
+    reach the driver. Also returns the rank of the player effects.
+    """
+    sums = rows.groupBy("b", "p").agg(F.count("*").alias("n"), _sums(width, "v").alias("s")).toPandas()
+    batters, bi = np.unique(sums["b"].to_numpy(str), return_inverse=True)
+    pitchers, pi = np.unique(sums["p"].to_numpy(str), return_inverse=True)
+    size, shift = len(batters) + len(pitchers), len(batters)
+    n, totals = sums["n"].to_numpy(float), np.stack(sums["s"].to_numpy())
+    normal, right = np.zeros((size, size)), np.zeros((size, width))
+    np.add.at(normal, (bi, bi), n)
+    np.add.at(normal, (pi + shift, pi + shift), n)
+    np.add.at(normal, (bi, pi + shift), n)
+    np.add.at(normal, (pi + shift, bi), n)
+    np.add.at(right, bi, totals)
+    np.add.at(right, pi + shift, totals)
+    effects, _, rank, _ = np.linalg.lstsq(normal, right, rcond=1e-11)
+    spark = rows.sparkSession
+    left = spark.createDataFrame([(str(k), e.tolist()) for k, e in zip(batters, effects[:shift])], "b string, eb array<double>")
+    other = spark.createDataFrame([(str(k), e.tolist()) for k, e in zip(pitchers, effects[shift:])], "p string, ep array<double>")
+    pairs = rows.select("b", "p").distinct()
+    return pairs.join(F.broadcast(left), "b").join(F.broadcast(other), "p").select("b", "p", "eb", "ep"), int(rank)
+
+
 def within(rows: DataFrame, effects: DataFrame) -> DataFrame:
     """Variables without the absorbed effects."""
     total = F.zip_with("eb", "ep", lambda x, y: x + y)
@@ -103,13 +132,22 @@ def gram(rows: DataFrame, width: int) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.array(*products).alias("g"))
 
 
-def fit_fixed_effects(pas: DataFrame, outcome: str, workload: bool) -> DataFrame:
-    """Coefficients, clustered standard errors and intervals of the exposure terms."""
+def fit_fixed_effects(pas: DataFrame, outcome: str, workload: bool, direct_players: int = DIRECT_PLAYERS) -> DataFrame:
+    """Coefficients, clustered standard errors and intervals of the exposure terms.
+
+    Up to ``direct_players`` players the effects come from one small solve; beyond that from
+    the distributed iteration, where ``design_rank`` stays NULL.
+    """
     spark = pas.sparkSession
     names = list(exposure_terms(workload))
     width = len(names) + 1
     rows = model_rows(pas, outcome, workload)
-    reduced = cut_lineage(within(rows, absorb(rows, width)))
+    players = rows.agg(F.count_distinct("b").alias("b"), F.count_distinct("p").alias("p")).first()
+    if players["b"] + players["p"] <= direct_players:
+        effects, rank = solve_small(rows, width)
+    else:
+        effects, rank = absorb(rows, width), None
+    reduced = cut_lineage(within(rows, effects))
     total = gram(reduced, width).first()
     products = np.array(total["g"]).reshape(width, width)
     inner, cross = products[1:, 1:], products[1:, 0]
@@ -128,15 +166,16 @@ def fit_fixed_effects(pas: DataFrame, outcome: str, workload: bool) -> DataFrame
     if clusters["n"] > 1:
         covariance = covariance * clusters["n"] / (clusters["n"] - 1)
     errors = np.sqrt(np.maximum(0.0, np.diag(covariance)))
-    players = rows.agg(F.count_distinct("b").alias("b"), F.count_distinct("p").alias("p")).first()
+    if rank is not None:
+        rank += int(np.linalg.matrix_rank(inner, tol=1e-8 * max(1.0, np.abs(inner).max()), hermitian=True))
     spec = "workload_decomposition" if workload else "total_exposure_association"
     table = [
-        (outcome, spec, total["n"], clusters["n"], players["b"], players["p"], width + players["b"] + players["p"] - 2,
+        (outcome, spec, total["n"], clusters["n"], players["b"], players["p"], width + players["b"] + players["p"] - 2, rank,
          name, float(b), float(se), float(b - 1.96 * se), float(b + 1.96 * se))
         for name, b, se in zip(names, beta, errors)
     ]
     return spark.createDataFrame(
         table,
         "outcome string, model_spec string, n long, games long, batter_fixed_effects long, pitcher_fixed_effects long, "
-        "design_columns long, term string, estimate double, standard_error double, ci_95_low double, ci_95_high double",
+        "design_columns long, design_rank long, term string, estimate double, standard_error double, ci_95_low double, ci_95_high double",
     )

@@ -43,13 +43,13 @@ select *, concat(outs, ' outs, ', case when bases = 0 then 'empty' else concat(c
   case when bases & 2 > 0 then '2' else '' end, case when bases & 4 > 0 then '3' else '' end) end) as state from re_cells
 """, "raw_re outs_prior_re smoothed_re")
 def rex2(spark, sf):
-    return I.re24(spark, sf)
+    return X.estimate_re24(I.annotated(spark, sf))
 
 
 @query("rex3_run_values", "select canonical_id, event_order, event_type, re_before, re_after, run_value from valued",
        "re_before re_after run_value")
 def rex3(spark, sf):
-    return X.add_run_values(I.pbp(spark, sf), I.re24(spark, sf)).select(
+    return X.add_run_values(I.pbp(spark, sf), X.estimate_re24(I.annotated(spark, sf))).select(
         "canonical_id", "event_order", "event_type", "re_before", "re_after", "run_value"
     )
 
@@ -70,7 +70,7 @@ def rex5(spark, sf):
 select count(*) filter (where sample_size > 0) as states_observed, min(sample_size) as minimum_state_sample,
   max(sample_size) as maximum_state_sample from re_cells""")
 def rex6(spark, sf):
-    return X.re24_summary(I.re24(spark, sf))
+    return X.re24_summary(X.estimate_re24(I.annotated(spark, sf)))
 
 
 @query("flagship_top_batters", """
@@ -78,7 +78,7 @@ select season, player_key, "PA", "wOBA", batting_runs from offense
 qualify row_number() over (order by batting_runs desc, season, player_key) <= 25""", "wOBA batting_runs")
 def flagship(spark, sf):
     """Who created most batting runs: expectancy, run values, weights, season lines, top 25."""
-    rows = X.add_run_values(I.pbp(spark, sf), I.re24(spark, sf))
+    rows = X.add_run_values(I.pbp(spark, sf), X.estimate_re24(I.annotated(spark, sf)))
     lines = V.aggregate_offense(rows, V.woba_constants(rows))
     return (
         lines.select("season", "player_key", "PA", "wOBA", "batting_runs")

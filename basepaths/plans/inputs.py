@@ -23,7 +23,8 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _WRITTEN:
         df = build(spark, sf_dir)
         path = fresh_path(spark, name)
-        df.write.partitionBy("season").parquet(path)
+        writer = df.write.partitionBy("season") if len(df.columns) > 12 and "season" in df.columns else df.write
+        writer.parquet(path)
         _WRITTEN[key] = (path, df.schema)
     path, schema = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)
@@ -42,7 +43,7 @@ def annotated(spark, sf_dir) -> DataFrame:
 
 
 def re24(spark, sf_dir) -> DataFrame:
-    return expectancy.estimate_re24(annotated(spark, sf_dir))
+    return stage(spark, sf_dir, "re24", lambda s, d: expectancy.estimate_re24(annotated(s, d)))
 
 
 def _build_valued(spark, sf_dir) -> DataFrame:
@@ -55,7 +56,7 @@ def valued(spark, sf_dir) -> DataFrame:
 
 
 def plate_appearances(spark, sf_dir) -> DataFrame:
-    return stage(spark, sf_dir, "plate_appearances", _build_plate_appearances)
+    return stage(spark, sf_dir, "plate_appearances", build_plate_appearances)
 
 
 def series(spark, sf_dir) -> DataFrame:
@@ -69,7 +70,7 @@ def series(spark, sf_dir) -> DataFrame:
     return contests.assign_series(games)
 
 
-def _build_plate_appearances(spark, sf_dir) -> DataFrame:
+def build_plate_appearances(spark, sf_dir) -> DataFrame:
     rows = valued(spark, sf_dir)
     constants = value.woba_constants(rows, keys=())
     weights = expectancy.event_linear_weights(rows.where("is_plate_appearance"))
@@ -77,11 +78,18 @@ def _build_plate_appearances(spark, sf_dir) -> DataFrame:
 
 
 def constants(spark, sf_dir) -> DataFrame:
-    return value.woba_constants(valued(spark, sf_dir))
+    return stage(spark, sf_dir, "constants", lambda s, d: value.woba_constants(valued(s, d)))
 
 
 def offense(spark, sf_dir) -> DataFrame:
-    return value.aggregate_offense(valued(spark, sf_dir), constants(spark, sf_dir))
+    return stage(spark, sf_dir, "offense", lambda s, d: value.aggregate_offense(valued(s, d), constants(s, d)))
+
+
+def opportunities(spark, sf_dir) -> DataFrame:
+    return stage(
+        spark, sf_dir, "opportunities",
+        lambda s, d: value.advancement_opportunities(value.advancement_candidates(valued(s, d), re24(s, d))),
+    )
 
 
 def rosters(spark, sf_dir) -> DataFrame:

@@ -178,7 +178,7 @@ select season, (select out_run_value from out_mean) as out_run_value, den as cal
   {', '.join(f"(select w from raw_w where event_type = '{e}') as raw_{e}" for e in ('single','double','triple','home_run','walk','hit_by_pitch'))}
 from league""", "out_run_value league_woba league_obp woba_scale raw_single raw_double raw_triple raw_home_run raw_walk raw_hit_by_pitch")
 def war1(spark, sf):
-    rows = I.constants(spark, sf)
+    rows = V.woba_constants(I.valued(spark, sf))
     weights = [F.col("raw_weights")[e].alias(f"raw_{e}") for e in ("single", "double", "triple", "home_run", "walk", "hit_by_pitch")]
     return rows.select("*", *weights).drop("raw_weights")
 
@@ -186,7 +186,7 @@ def war1(spark, sf):
 @query("war2_offense_by_player", f"select {_OFFENSE}, teams from offense", "wOBA OBP batting_runs")
 def war2(spark, sf):
     names = [c.strip().strip('"') for c in _OFFENSE.split(",")]
-    return I.offense(spark, sf).select(*names, "teams")
+    return V.aggregate_offense(I.valued(spark, sf), I.constants(spark, sf)).select(*names, "teams")
 
 
 @query("war2_offense_by_team", 'select * exclude (onbase) from offense_team', "woba_raw_numerator wOBA OBP batting_runs")
@@ -203,7 +203,7 @@ def candidates(spark, sf):
 
 
 def opportunities(spark, sf):
-    return V.advancement_opportunities(candidates(spark, sf))
+    return I.opportunities(spark, sf)
 
 
 def running(spark, sf):
@@ -250,7 +250,7 @@ def war5(spark, sf):
 select canonical_id, event_order, player_key, expected_utility, raw_value, advancement_runs from opportunities""",
        "expected_utility raw_value advancement_runs")
 def war6(spark, sf):
-    return opportunities(spark, sf).select("canonical_id", "event_order", "player_key", "expected_utility", "raw_value", "advancement_runs")
+    return V.advancement_opportunities(candidates(spark, sf)).select("canonical_id", "event_order", "player_key", "expected_utility", "raw_value", "advancement_runs")
 
 
 @query("war7_baserunning_rollup", "select * from running",
@@ -410,8 +410,8 @@ select season, player_key, coalesce(p.player, q.player) as player, p.teams as t1
   coalesce(pitching_war0 - pdr / q.rpw, 0.0) as pitching_war, coalesce(pdr / q.rpw, 0.0) as pitcher_defense_war, coalesce(pitching_war0, 0.0) as pitcher_war,
   coalesce(position_war, 0.0) + coalesce(pitching_war0, 0.0) as total_war,
   array_to_string(list_filter([case when "PA" > 0 and "PA" < 20 then 'small_position_player_sample' end, case when "IP" > 0 and "IP" < 5 then 'small_pitching_sample' end,
-    case when p.player is not null then 'no_positional_adjustment' end, case when q.player is not null then 'no_reliever_leverage_adjustment' end], x -> x is not null), '|') as quality_flags,
-  array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(coalesce(p.teams, ''), '|'), string_split(coalesce(q.teams, ''), '|')), x -> x <> ''))), '|') as teams
+    case when p.player is not null then 'no_positional_adjustment' end, case when q.player is not null then 'no_reliever_leverage_adjustment' end], lambda x: x is not null), '|') as quality_flags,
+  array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(coalesce(p.teams, ''), '|'), string_split(coalesce(q.teams, ''), '|')), lambda x: x <> ''))), '|') as teams
 from position_final p full join pitcher_final q using (season, player_key)""")
 
 
