@@ -194,14 +194,16 @@ def game_rosters(*named: DataFrame) -> DataFrame:
 def parse_plays(events: DataFrame, rosters: DataFrame) -> DataFrame:
     """Typed columns of the play text, computed once and stored with the events.
 
-    Adds batted_type, first_position, position_mentions, fielder (known player named after the
-    first position) and the person keys of runners, so later jobs compare plain columns.
+    Adds batted_type, first_position, position_mentions, spray, contact, fielder (known player
+    named after the first position) and the person keys of runners, so later jobs compare plain columns.
     """
     text = F.coalesce("play_text", F.lit(""))
     keyed = events.withColumns({
         "batted_type": X.trajectory(text),
         "first_position": X.first_position(text),
         "position_mentions": X.position_mentions(text),
+        "spray": X.spray_location(text),
+        "contact": X.contact_type(text),
         "_tail": X.after_first_position(text),
         "action_keys": F.transform("runner_actions", lambda a: person_key(a["runner"])),
         "after_keys": F.transform_values("runners_after", lambda _, runner: person_key(runner)),

@@ -6,3 +6,4 @@ from basepaths.plans import value  # noqa: F401,E402 - intermediates first
 from basepaths.plans import expectancy  # noqa: F401,E402
 from basepaths.plans import exposure  # noqa: F401,E402
 from basepaths.plans import positional  # noqa: F401,E402
+from basepaths.plans import scouting  # noqa: F401,E402
