@@ -78,7 +78,7 @@ def leader_cards(rows: DataFrame) -> DataFrame:
         best.append(F.struct(F.lit(label).alias("card"), F.min(F.when(allowed, order)).alias("b")))
     return rows.groupBy("season").agg(F.array(*best).alias("cards")).select("season", F.explode("cards").alias("c")).select(
         "season", "c.card", "c.b.player_key", "c.b.value"
-    )
+    ).where(F.col("player_key").isNotNull())
 
 
 def standings(records: DataFrame) -> DataFrame:

@@ -7,3 +7,5 @@ from basepaths.plans import expectancy  # noqa: F401,E402
 from basepaths.plans import exposure  # noqa: F401,E402
 from basepaths.plans import positional  # noqa: F401,E402
 from basepaths.plans import scouting  # noqa: F401,E402
+from basepaths.plans import boards  # noqa: F401,E402
+from basepaths.plans import normalization  # noqa: F401,E402

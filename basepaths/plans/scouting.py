@@ -42,7 +42,7 @@ from (select *, list_reduce(list_transform(codes[1:i - 1], lambda c: case c when
     from (select *, case when pitch_text = '' and event_type in {_CONTACT} then 'X' when pitch_text = '' and event_type = 'hit_by_pitch' then 'H' else pitch_text end as raw
       from ppas) a where raw <> '') b) c) d""")
 cte("ctx", """
-select canonical_id, season, team, opponent, runs, allowed, concat(case when runs > allowed then 'W' when runs < allowed then 'L' else 'T' end, ' ', runs, '-', allowed) as result,
+select canonical_id, x.season, team, opponent, runs, allowed, concat(case when runs > allowed then 'W' when runs < allowed then 'L' else 'T' end, ' ', runs, '-', allowed) as result,
   cast((game_ts at time zone 'UTC') at time zone 'America/New_York' as date) as date
 from (select canonical_id, season, g, home_team as team, away_team as opponent, cast(home_runs as bigint) as runs, cast(away_runs as bigint) as allowed from fx_games
   union all select canonical_id, season, g, away_team, home_team, cast(away_runs as bigint), cast(home_runs as bigint) from fx_games) x join fx_official o on o.game_id = x.g""")
@@ -55,7 +55,7 @@ cte("official_lines", """
 select season, player_key, case when ord % 3 = 0 then 0 else "PA" + 1 end as pa, "H" as h, "HR" as hr, "BB" as bb, "SO" as so, "PA" - "BB" as ab
 from (select *, cast(substr(player_key, length(player_key) - 1) as int) as ord from offense) x where ord % 2 = 0""")
 cte("hit_bats", """
-select period, batter_key as player_key, team, "PA", "OPS", defensive_war, "HR", "BB", "SO", war, br from bat_lines b join (
+select b.period, batter_key as player_key, team, "PA", "OPS", defensive_war, "HR", "BB", "SO", war, br from bat_lines b join (
   select period, player_key, max(teams) as team, sum(defense_war) as defensive_war, sum(position_war) as war, sum(baserunning_runs) as br
   from (select c.*, period from combined c cross join lateral (select 'combined' as period union all select cast(season as varchar)) s) x group by period, player_key) c
   on c.player_key = b.batter_key and c.period = b.period""")
@@ -158,10 +158,10 @@ def sct3_pitching(spark, sf):
 
 
 @query("sct4_hitting_lines", """
-select player_key, coalesce(nullif(pa, 0), d."PA", 0) as "PA", coalesce(nullif(o.ab, 0), d."AB", 0) as "AB", coalesce(nullif(o.h, 0), d."H", 0) as "H",
+select player_key, coalesce(nullif(o.pa, 0), d."PA", 0) as "PA", coalesce(nullif(o.ab, 0), d."AB", 0) as "AB", coalesce(nullif(o.h, 0), d."H", 0) as "H",
   coalesce(nullif(o.so, 0), d."SO", 0) as "K", coalesce(nullif(o.bb, 0), d."BB", 0) as "BB", coalesce(nullif(o.hr, 0), d."HR", 0) as "HR",
   coalesce(d."2B", 0) + coalesce(d."3B", 0) + coalesce(nullif(o.hr, 0), d."HR", 0) as "XBH",
-  coalesce(nullif(o.so, 0), d."SO", 0) / coalesce(nullif(pa, 0), d."PA") as "K_pct",
+  coalesce(nullif(o.so, 0), d."SO", 0) / coalesce(nullif(o.pa, 0), d."PA") as "K_pct",
   case when o.ab is null then d."BA" else o.h / nullif(o.ab, 0) end as "BA", coalesce(bunts, 0) as "Bunts", gb as "GB_pct"
 from (select batter_key as player_key, * from bat_lines where period = 'combined') d
 full join (select player_key, cast(sum(pa) as bigint) as pa, cast(sum(ab) as bigint) as ab, cast(sum(h) as bigint) as h, cast(sum(hr) as bigint) as hr,
