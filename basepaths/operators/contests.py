@@ -216,8 +216,11 @@ def match_official(contests: DataFrame, official: DataFrame) -> DataFrame:
         "prev": F.last("o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "next": F.first("o", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
     }).where(F.col("canonical_id").isNotNull())
-    gap_prev = F.col("at").cast("double") - F.col("prev.at").cast("double")
-    gap_next = F.col("next.at").cast("double") - F.col("at").cast("double")
+
+    def micros(name):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+
+    gap_prev, gap_next = micros("at") - micros("prev.at"), micros("next.at") - micros("at")
     near = near.withColumns({"gp": gap_prev, "gn": gap_next})
     use_prev = F.col("gn").isNull() | (F.col("gp") < F.col("gn"))
     use_next = F.col("gp").isNull() | (F.col("gn") < F.col("gp"))
@@ -337,7 +340,7 @@ def display_date(text: Column) -> Column:
     parts = [F.regexp_extract(trimmed, r"^(\d{4})-(\d{2})-(\d{2})", group).try_cast("int") for group in (2, 3)]
     iso = F.concat(parts[0].cast("string"), F.lit("/"), parts[1].cast("string"))
     words = F.regexp_replace(trimmed, r"([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4}).*$", "$1 $2 $3")
-    written = F.date_format(F.try_to_date(words, F.lit("MMM d yyyy")), "M/d")
+    written = F.date_format(F.try_to_date(words, "MMM d yyyy"), "M/d")
     return F.when(trimmed == "", "Unknown Date").otherwise(F.coalesce(iso, written, trimmed))
 
 

@@ -9,3 +9,4 @@ from basepaths.plans import positional  # noqa: F401,E402
 from basepaths.plans import scouting  # noqa: F401,E402
 from basepaths.plans import boards  # noqa: F401,E402
 from basepaths.plans import normalization  # noqa: F401,E402
+from basepaths.plans import documents  # noqa: F401,E402
