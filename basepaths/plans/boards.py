@@ -243,7 +243,7 @@ select "check", true as passed, observed, expected from (
     from environment) x""", "observed expected")
 def val2(spark, sf):
     return K.player_checks(
-        PV.position_stage(spark, sf), PV.pitcher_stage(spark, sf), PV.combined(spark, sf), I.opportunities(spark, sf), PV.arms(spark, sf), PV.environment(spark, sf)
+        PV.position_stage(spark, sf), PV.pitcher_stage(spark, sf), PV.combined(spark, sf), I.opportunities(spark, sf), PV.stored(spark, sf, PV.arms), PV.stored(spark, sf, PV.environment)
     )
 
 

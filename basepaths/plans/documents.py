@@ -193,7 +193,7 @@ def src9(spark, sf):
     return D.latest_snapshot(stamped).groupBy("snapshot_id").agg(F.count("*").alias("events"))
 
 
-@query("src10_file_fingerprints", "select true as unchanged, 64 as hash_length")
+@query("src10_file_fingerprints")
 def src10(spark, sf):
     path = _written(spark, sf, "season-stats", _stat_documents)
     files = M.fingerprints(spark, path, "*.json")

@@ -8,6 +8,7 @@ from basepaths.operators import expectancy as X
 from basepaths.operators import value as V
 from basepaths.plans import inputs as I
 from basepaths.plans.registry import cte, query
+from basepaths.sources import fixtures
 
 cte("annotated", """
 select *, cast(sum(runs_scored) over (partition by canonical_id, inning, half order by event_order
@@ -78,7 +79,8 @@ select season, player_key, "PA", "wOBA", batting_runs from offense
 qualify row_number() over (order by batting_runs desc, season, player_key) <= 25""", "wOBA batting_runs")
 def flagship(spark, sf):
     """Who created most batting runs: expectancy, run values, weights, season lines, top 25."""
-    rows = X.add_run_values(I.pbp(spark, sf), X.estimate_re24(I.annotated(spark, sf)))
+    events = fixtures.pbp(spark, sf)
+    rows = X.add_run_values(events, X.estimate_re24(X.annotate_runs_remaining(events)))
     lines = V.aggregate_offense(rows, V.woba_constants(rows))
     return (
         lines.select("season", "player_key", "PA", "wOBA", "batting_runs")

@@ -1,8 +1,10 @@
 """Stage tables shared by the registered queries.
 
-``valued`` (events with run values and runner states) and ``plate_appearances`` (with
-exposure counters) are the two natural cuts of the data flow: many queries read them, so
-they are written once per application to the shared folder, partitioned by season.
+``events``, ``valued`` (with run values, runner states and parsed text) and
+``plate_appearances`` (with exposure counters) are the natural cuts of the data flow: many
+queries read them, so they are written once per application to the shared folder, partitioned
+by season. Small results many queries share (24 cells, constants, player tables) are written
+the same way.
 """
 
 from __future__ import annotations
@@ -31,11 +33,17 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def pbp(spark, sf_dir) -> DataFrame:
-    return fixtures.pbp(spark, sf_dir)
+    """The stored event table."""
+    return stage(spark, sf_dir, "events", fixtures.pbp)
 
 
 def view(spark, sf_dir, name) -> DataFrame:
-    return fixtures.view(spark, sf_dir, name)
+    """A stored grouping of the event table (games, schedule, box scores)."""
+    source = "fx_games" if "from fx_games" in fixtures.VIEWS[name] else None
+    return stage(
+        spark, sf_dir, name,
+        lambda s, d: fixtures.view(s, name, view(s, d, source) if source else pbp(s, d)),
+    )
 
 
 def annotated(spark, sf_dir) -> DataFrame:
@@ -47,7 +55,7 @@ def re24(spark, sf_dir) -> DataFrame:
 
 
 def _build_valued(spark, sf_dir) -> DataFrame:
-    valued_rows = expectancy.add_run_values(fixtures.pbp_with_state(spark, sf_dir), re24(spark, sf_dir))
+    valued_rows = expectancy.add_run_values(fixtures.with_state(pbp(spark, sf_dir)), re24(spark, sf_dir))
     return value.parse_plays(valued_rows, rosters(spark, sf_dir))
 
 

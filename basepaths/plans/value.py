@@ -433,24 +433,29 @@ def pitching(spark, sf):
     return P.aggregate_pitching(I.valued(spark, sf), I.box_pitching(spark, sf), team_runs(spark, sf), environment(spark, sf))
 
 
+def stored(spark, sf, component):
+    """A component table, written once and shared by the assembly queries."""
+    return I.stage(spark, sf, component.__name__, component)
+
+
 def with_fip(spark, sf):
-    return P.add_fip(pitching(spark, sf), I.valued(spark, sf))
+    return P.add_fip(stored(spark, sf, pitching), I.valued(spark, sf))
 
 
 def pitchers(spark, sf):
-    return P.pitcher_rows(with_fip(spark, sf), ranges(spark, sf), arms(spark, sf), environment(spark, sf))
+    return P.pitcher_rows(stored(spark, sf, with_fip), stored(spark, sf, ranges), stored(spark, sf, arms), stored(spark, sf, environment))
 
 
 def union(spark, sf):
     box = I.box_pitching(spark, sf).select("season", "player_key", "team").unionByName(I.box_hitting(spark, sf).select("season", "player_key", "team"))
     return P.component_union(
-        I.offense(spark, sf), box, running=running(spark, sf), double_plays=double_plays(spark, sf), arms=arms(spark, sf),
-        fielding=ranges(spark, sf), catchers=catchers(spark, sf),
+        I.offense(spark, sf), box, running=stored(spark, sf, running), double_plays=stored(spark, sf, double_plays), arms=stored(spark, sf, arms),
+        fielding=stored(spark, sf, ranges), catchers=stored(spark, sf, catchers),
     )
 
 
 def positions(spark, sf):
-    return P.position_players(union(spark, sf), environment(spark, sf))
+    return P.position_players(stored(spark, sf, union), stored(spark, sf, environment))
 
 
 def combined(spark, sf):
@@ -477,7 +482,7 @@ def war12(spark, sf):
 
 @query("war12_fip_constants", "select * from fip_league", "league_IP league_era league_component constant")
 def war12_league(spark, sf):
-    return P.fip_league(pitching(spark, sf), P.fip_counts(I.valued(spark, sf)))
+    return P.fip_league(stored(spark, sf, pitching), P.fip_counts(I.valued(spark, sf)))
 
 
 @query("war13_pitching_totals", "select * from pitch_totals")
@@ -512,7 +517,7 @@ from running group by season, case when player_key like 'battert%n14' then repla
 def war16(spark, sf):
     keys = I.pbp(spark, sf).where("slot = 14").select(F.col("batter_key").alias("alias")).distinct()
     aliases = keys.withColumn("target", F.regexp_replace("alias", "n14$", "n13"))
-    rows = running(spark, sf).select("season", "player_key", "player", "sb_cs_attempts", "baserunning_runs", "teams")
+    rows = stored(spark, sf, running).select("season", "player_key", "player", "sb_cs_attempts", "baserunning_runs", "teams")
     return V.canonicalize_components(rows, aliases)
 
 

@@ -172,11 +172,10 @@ def pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view by name; its inputs are passed as DataFrames, no temp names remain."""
+def view(spark: SparkSession, name: str, base: DataFrame) -> DataFrame:
+    """A derived view over ``base`` (the events, or the games for views built on them)."""
     sql = VIEWS[name]
-    source = "fx_games" if " from fx_games" in sql else "pbp"
-    base = view(spark, sf_dir, "fx_games") if source == "fx_games" else pbp(spark, sf_dir)
+    source = "fx_games" if "from fx_games" in sql else "pbp"
     return spark.sql(sql.replace(f"from {source}", "from {base}"), base=base)
 
 
@@ -190,9 +189,9 @@ def runner_structs() -> str:
 BATTER_BASE = "case event_type when 'double' then 2 else 1 end"
 
 
-def pbp_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pbp`` plus runners_before, runners_after and runner_actions in the event schema."""
-    df = pbp(spark, sf_dir).selectExpr("*", f"{runner_structs()} as _runners")
+def with_state(events: DataFrame) -> DataFrame:
+    """Events plus runners_before, runners_after and runner_actions in the event schema."""
+    df = events.selectExpr("*", f"{runner_structs()} as _runners")
     batter_seen = (
         "event_type in ('single', 'double', 'reached_on_error') and event_id % 6 <> 2 and event_id % 3 <> 0 "
         f"and not exists(_runners, x -> x.seen_after and x.start_base = ({BATTER_BASE}))"
