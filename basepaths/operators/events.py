@@ -8,6 +8,7 @@ of one half-inning at a time.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +24,28 @@ def clean(text: Column) -> Column:
     return F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" ")))
 
 
+def longest_first(names: Column) -> Column:
+    """Order a game's names once, so the first match is the longest."""
+    return F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
+
+
 def name_at_start(text: Column, names: Column) -> Column:
-    """Longest known name the text starts with."""
+    """First of ``names`` (longest first) the text starts with."""
     low = F.lower(F.trim(text))
-    hits = F.filter(names, lambda n: F.startswith(low, F.lower(n)))
-    return F.get(F.array_sort(hits, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+    return F.get(F.filter(names, lambda n: F.startswith(low, F.lower(n))), F.lit(0))
 
 
 def named_with(text: Column, names: Column, *suffixes: str) -> Column:
-    """Longest known name followed by one of the suffixes."""
+    """First of ``names`` (longest first) that is followed by one of the suffixes."""
     low = F.lower(text)
-    hits = F.filter(names, lambda n: F.exists(F.array(*[F.lit(s) for s in suffixes]), lambda s: F.contains(low, F.concat(F.lower(n), s))))
-    return F.get(F.array_sort(hits, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+
+    def said(name):
+        found = F.lit(False)
+        for suffix in suffixes:
+            found = found | F.contains(low, F.concat(F.lower(name), F.lit(suffix)))
+        return found
+
+    return F.get(F.filter(names, said), F.lit(0))
 
 
 def detect_halves(rows: DataFrame, hitters: DataFrame) -> DataFrame:
@@ -49,7 +60,7 @@ def detect_halves(rows: DataFrame, hitters: DataFrame) -> DataFrame:
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumns({"pitch": clean(F.col("pitch")), "play": clean(F.col("play"))})
-        .join(hitters, "canonical_id", "left")
+        .join(hitters.withColumn("names", longest_first(F.col("names"))), "canonical_id", "left")
         .withColumn("batter", name_at_start(F.col("play"), F.col("names")))
         .withColumn("_team", F.try_element_at("team_of", person_key(F.col("batter"))))
         .withColumn("batting_team", F.last("_team", ignorenulls=True).over(so_far))
@@ -67,21 +78,27 @@ def carry_pitchers(rows: DataFrame, staffs: DataFrame) -> DataFrame:
 
     ``rows`` needs fielding_team; ``staffs``: canonical_id, team, pitchers (array in listing order).
     """
-    both = rows.join(staffs.withColumnRenamed("team", "fielding_team"), ["canonical_id", "fielding_team"], "left")
+    listed = staffs.select(
+        "canonical_id", F.col("team").alias("fielding_team"), F.get("pitchers", F.lit(0)).alias("_starter"), longest_first(F.col("pitchers")).alias("_staff")
+    )
+    both = rows.join(listed, ["canonical_id", "fielding_team"], "left")
     suffixes = (" pitching", " in for pitcher")
-    told = F.coalesce(named_with(F.col("play"), F.col("pitchers"), *suffixes), named_with(F.col("pitch"), F.col("pitchers"), *suffixes))
+    told = F.coalesce(named_with(F.col("play"), F.col("_staff"), *suffixes), named_with(F.col("pitch"), F.col("_staff"), *suffixes))
     so_far = Window.partitionBy("canonical_id", "fielding_team").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     return (
         both.withColumn("_told", told)
-        .withColumn("pitcher", F.coalesce(F.last("_told", ignorenulls=True).over(so_far), F.get("pitchers", F.lit(0))))
-        .drop("_told", "pitchers")
+        .withColumn("pitcher", F.coalesce(F.last("_told", ignorenulls=True).over(so_far), F.col("_starter")))
+        .drop("_told", "_starter", "_staff")
     )
 
 
+_CLAUSES = "array<struct<runner:string,key:string,kind:string,destination:int>>"
+
+
 def runner_clauses(text: Column, names: Column) -> Column:
-    """Named runner actions of a text: scores and outs first, then moves of the others.
+    """Named runner actions of a text in order: array of (runner, key, kind, destination).
 
-    Array of (runner, kind, destination); kinds are score, out, advance, remain, remain_third.
+    Kinds are score, out, advance, remain, remain_third.
     """
     base = literal_map({"1st": 1, "2nd": 2, "3rd": 3, "home": 4})
 
@@ -96,16 +113,19 @@ def runner_clauses(text: Column, names: Column) -> Column:
             .when(stays & place.isNotNull(), "remain")
             .when(moves & place.isNotNull(), "advance")
         )
-        runner = name_at_start(clause, names)
-        return F.struct(runner.alias("runner"), person_key(runner).alias("key"), kind.alias("kind"), place.alias("destination"))
+        return F.struct(name_at_start(clause, names).alias("runner"), kind.alias("kind"), place.alias("destination"))
 
-    parsed = F.filter(
-        F.transform(F.split(clean(text), r",\s*"), read), lambda c: c["runner"].isNotNull() & c["kind"].isNotNull()
-    )
-    final = F.filter(parsed, lambda c: c["kind"].isin("score", "out"))
+    known = F.filter(F.transform(F.split(clean(text), r",\s*"), read), lambda c: c["runner"].isNotNull() & c["kind"].isNotNull())
+    return F.transform(
+        known, lambda c: F.struct(c["runner"].alias("runner"), person_key(c["runner"]).alias("key"), c["kind"].alias("kind"), c["destination"].alias("destination"))
+    ).cast(_CLAUSES)
+
+
+def in_effect(clauses: Column) -> Column:
+    """Scores and outs first, then the moves of runners who are still on."""
+    final = F.filter(clauses, lambda c: c["kind"].isin("score", "out"))
     gone = F.transform(final, lambda c: c["key"])
-    others = F.filter(parsed, lambda c: ~c["kind"].isin("score", "out") & ~F.array_contains(gone, c["key"]))
-    return F.concat(final, others)
+    return F.concat(final, F.filter(clauses, lambda c: ~c["kind"].isin("score", "out") & ~F.array_contains(gone, c["key"])))
 
 
 def pinch_runner(text: Column, names: Column) -> Column:
@@ -120,12 +140,20 @@ def pinch_runner(text: Column, names: Column) -> Column:
 
 # --- base state --------------------------------------------------------------------------
 
-_RUNNER = "array<struct<runner:string,action:string,from_base:int,to_base:int,reason:string>>"
 FOLDED = (
-    "canonical_id string, half_index int, row_no int, step int, event_type string, is_plate_appearance boolean, batter string, "
-    "outs_before int, bases_before int, runners_before map<int,string>, outs_after int, bases_after int, "
-    f"runners_after map<int,string>, runs_scored int, runner_actions {_RUNNER}, state_errors int"
+    "canonical_id string, row_no int, step int, event_type string, is_plate_appearance boolean, batter string, outs_before int, bases_before int, "
+    "runners_before map<int,string>, outs_after int, bases_after int, runners_after map<int,string>, runs_scored int, "
+    "runner_actions array<struct<runner:string,action:string,from_base:int,to_base:int,reason:string>>, state_errors int"
 )
+_RUNNERS = pa.map_(pa.int32(), pa.string())
+_ACTION = pa.struct([
+    ("runner", pa.string()), ("action", pa.string()), ("from_base", pa.int32()), ("to_base", pa.int32()), ("reason", pa.string()),
+])
+_FOLDED_ARROW = pa.schema([
+    ("canonical_id", pa.string()), ("row_no", pa.int32()), ("step", pa.int32()), ("event_type", pa.string()), ("is_plate_appearance", pa.bool_()),
+    ("batter", pa.string()), ("outs_before", pa.int32()), ("bases_before", pa.int32()), ("runners_before", _RUNNERS), ("outs_after", pa.int32()),
+    ("bases_after", pa.int32()), ("runners_after", _RUNNERS), ("runs_scored", pa.int32()), ("runner_actions", pa.list_(_ACTION)), ("state_errors", pa.int32()),
+])
 
 
 def _key(name: str | None) -> str:
@@ -143,7 +171,10 @@ class _Bases:
         self.log.append({"runner": runner, "action": action, "from_base": source, "to_base": target, "reason": reason})
 
     def find(self, name):
-        return next((b for b, r in sorted(self.on.items()) if _key(r) == _key(name)), None)
+        return self.find_key(_key(name))
+
+    def find_key(self, key):
+        return next((b for b, r in sorted(self.on.items()) if _key(r) == key), None)
 
     def take(self, name):
         """Remove a runner; an anonymous placed runner is taken to be the one named."""
@@ -170,7 +201,6 @@ class _Bases:
 
     def act(self, clause):
         runner, kind, to = clause["runner"], clause["kind"], clause["destination"]
-        to = None if to is None or pd.isna(to) else int(to)
         source = self.find(runner)
         if kind in ("out", "score"):
             self.take(runner)
@@ -214,61 +244,67 @@ class _Bases:
 _WALKS = ("walk", "intentional_walk", "hit_by_pitch", "catcher_interference")
 
 
-def fold_half(rows: pd.DataFrame) -> pd.DataFrame:
-    """Events of one half-inning in order."""
-    rows = rows.sort_values("row_no")
-    first = rows.iloc[0]
-    state, outs, out = _Bases(first["inning"] >= 8), 0, []
-
-    def emit(row, step, kind, is_pa, before, base_outs, runs):
-        out.append((
-            row["canonical_id"], row["half_index"], row["row_no"], step, kind, is_pa, row["batter"], base_outs,
-            sum(1 << (b - 1) for b in before), before, outs, state.mask(), dict(state.on), runs, list(state.log), state.errors(),
-        ))
-
-    for _, row in rows.iterrows():
-        given = row["feed_outs"]
-        if not pd.isna(given):
-            outs = int(given)
-        pinch = row["pinch"]
-        if pinch is not None:
-            base = state.find(pinch["old"])
-            if base:
-                state.on[base] = pinch["new"]
-        if row["runner_type"] is not None:
-            before, base_outs, state.log = dict(state.on), outs, []
-            for clause in row["runner_clauses"]:
-                state.act(clause)
-            outs = min(3, outs + sum(a["action"] == "out" for a in state.log))
-            emit(row, 0, row["runner_type"], False, before, base_outs, sum(a["action"] == "score" for a in state.log))
-        if row["ended"]:
-            if not (row["runner_type"] is not None and outs >= 3):
-                before, base_outs, state.log, outs = dict(state.on), outs, [], 3
-                emit(row, 1, "runner_out", False, before, base_outs, 0)
-            continue
-        if row["play_type"] is None:
-            continue
-        before, base_outs, state.log = dict(state.on), outs, []
-        for clause in row["play_clauses"]:
-            state.act(clause)
-        named = list(state.log)
-        runs = sum(a["action"] == "score" for a in named)
-        told = any(_key(a["runner"]) == _key(row["batter"]) for a in named)
-        if row["play_type"] in _WALKS:
-            # a run forced in counts only where the text itself tells of the batter
-            forced = state.walk()
-            runs += forced if told else 0
-        if not pd.isna(row["destination"]) and not told:
-            to = int(row["destination"])
-            state.arrive(row["batter"], to)
-            runs += int(to == 4)
-        outs = min(3, outs + max(sum(a["action"] == "out" for a in named), int(row["play_outs"])))
-        emit(row, 1, row["play_type"], True, before, base_outs, runs)
-    columns = [c.strip().split(" ")[0] for c in FOLDED.replace(_RUNNER, "x").replace("map<int,string>", "m").split(",")]
-    return pd.DataFrame(out, columns=columns)
+def _event(row, step, kind, is_pa, state, before, outs_before, outs, runs):
+    return {
+        "canonical_id": row["canonical_id"], "row_no": row["row_no"], "step": step, "event_type": kind, "is_plate_appearance": is_pa, "batter": row["batter"],
+        "outs_before": outs_before, "bases_before": sum(1 << (b - 1) for b in before), "runners_before": sorted(before.items()), "outs_after": outs,
+        "bases_after": state.mask(), "runners_after": sorted(state.on.items()), "runs_scored": runs, "runner_actions": list(state.log),
+        "state_errors": state.errors(),
+    }
 
 
-_CLAUSES = "array<struct<runner:string,key:string,kind:string,destination:int>>"
+def _play(row, state, outs, out):
+    """Apply one display row and return the outs after it; a row gives up to two events."""
+    if row["feed_outs"] is not None:
+        outs = row["feed_outs"]
+    pinch = row["pinch"]
+    base = state.find_key(pinch["old"]) if pinch else None
+    if base:
+        state.on[base] = pinch["new"]
+    if row["runner_type"] is not None:
+        before, base_outs, state.log = dict(state.on), outs, []
+        for clause in row["runner_clauses"]:
+            state.act(clause)
+        outs = min(3, outs + sum(a["action"] == "out" for a in state.log))
+        runs = sum(a["action"] == "score" for a in state.log)
+        out.append(_event(row, 0, row["runner_type"], False, state, before, base_outs, outs, runs))
+    if row["ended"]:
+        if not (row["runner_type"] is not None and outs >= 3):
+            before, base_outs, state.log = dict(state.on), outs, []
+            out.append(_event(row, 1, "runner_out", False, state, before, base_outs, 3, 0))
+            outs = 3
+        return outs
+    if row["play_type"] is None:
+        return outs
+    before, base_outs, state.log = dict(state.on), outs, []
+    for clause in row["play_clauses"]:
+        state.act(clause)
+    named = list(state.log)
+    runs = sum(a["action"] == "score" for a in named)
+    told = any(_key(a["runner"]) == _key(row["batter"]) for a in named)
+    if row["play_type"] in _WALKS:
+        # a run forced in counts only where the text itself tells of the batter
+        forced = state.walk()
+        runs += forced if told else 0
+    if row["destination"] is not None and not told:
+        state.arrive(row["batter"], row["destination"])
+        runs += int(row["destination"] == 4)
+    outs = min(3, outs + max(sum(a["action"] == "out" for a in named), row["play_outs"]))
+    out.append(_event(row, 1, row["play_type"], True, state, before, base_outs, outs, runs))
+    return outs
+
+
+def fold_batches(batches):
+    """Fold sorted rows; the state starts anew with every half-inning and is all that is kept."""
+    current, state, outs = None, None, 0
+    for batch in batches:
+        out: list[dict] = []
+        for row in batch.to_pylist():
+            half = (row["canonical_id"], row["half_index"])
+            if half != current:
+                current, state, outs = half, _Bases(row["inning"] >= 8), 0
+            outs = _play(row, state, outs, out)
+        yield pa.RecordBatch.from_pylist(out, schema=_FOLDED_ARROW)
 
 
 def read_rows(rows: DataFrame) -> DataFrame:
@@ -280,12 +316,13 @@ def read_rows(rows: DataFrame) -> DataFrame:
         "ended": ended,
         "runner_type": X.runner_event_type(runner_text),
         "play_type": F.when(is_pa, X.play_type(F.col("play"))),
-        "runner_clauses": runner_clauses(runner_text, F.col("names")).cast(_CLAUSES),
-        "play_clauses": F.when(is_pa, runner_clauses(F.col("play"), F.col("names")).cast(_CLAUSES)),
+        "runner_clauses": runner_clauses(runner_text, F.col("names")),
+        "play_clauses": F.when(is_pa, runner_clauses(F.col("play"), F.col("names"))),
         "pinch": pinch_runner(F.col("pitch"), F.col("names")),
         "feed_outs": F.lit(None).cast("int"),
     })
     return typed.withColumns({
+        "runner_clauses": in_effect(F.col("runner_clauses")), "play_clauses": in_effect(F.col("play_clauses")),
         "destination": X.batter_destination(F.col("play_type")), "play_outs": X.outs_on_play(F.col("play_type"), F.col("play")),
     })
 
@@ -297,8 +334,12 @@ _FOLD_INPUT = (
 
 
 def fold_states(typed: DataFrame) -> DataFrame:
-    """Base-out states; one group is one half-inning, so no task holds more than its plays."""
-    return typed.where(F.col("half_index") >= 0).select(*_FOLD_INPUT).groupBy("canonical_id", "half_index").applyInPandas(fold_half, FOLDED)
+    """Base-out states. Half-innings are spread by hash and sorted; tasks stream over them, so
+    neither a game nor a half-inning has to fit in memory."""
+    spark = typed.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = typed.where(F.col("half_index") >= 0).select(*_FOLD_INPUT).repartition(tasks, "canonical_id", "half_index")
+    return rows.sortWithinPartitions("canonical_id", "half_index", "row_no").mapInArrow(fold_batches, FOLDED)
 
 
 def normalize_games(raw: DataFrame, hitters: DataFrame, staffs: DataFrame, games: DataFrame) -> DataFrame:
@@ -311,7 +352,7 @@ def normalize_games(raw: DataFrame, hitters: DataFrame, staffs: DataFrame, games
     in_game = Window.partitionBy("canonical_id").orderBy("row_no", "step")
     return folded.join(facts, ["canonical_id", "row_no"]).withColumn("event_order", F.row_number().over(in_game)).withColumn(
         "play_text", F.when(F.col("step") == 1, F.col("play")).otherwise("")
-    ).drop("step", "play", "half_index").withColumnsRenamed({"pitch": "pitch_text", "row_no": "display_row_index"})
+    ).drop("step", "play").withColumnsRenamed({"pitch": "pitch_text", "row_no": "display_row_index"})
 
 
 def unresolved_rows(raw: DataFrame, events: DataFrame) -> DataFrame:
@@ -462,6 +503,7 @@ def assign_pitchers(blocks: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
 
 def play_blocks(events: DataFrame, staffs: DataFrame) -> DataFrame:
     """One row per displayed play of a defense: outs, pitcher named in the text, hint, old value."""
+    staffs = staffs.select("canonical_id", "team", longest_first(F.col("pitchers")).alias("pitchers"))
     grouped = events.groupBy("canonical_id", F.col("fielding_team").alias("team"), F.col("display_row_index").alias("block")).agg(
         F.sum(F.col("outs_after") - F.col("outs_before")).cast("int").alias("outs"),
         F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("event_order", "play_text"))), lambda e: e["play_text"])).alias("play"),
