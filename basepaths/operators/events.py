@@ -7,7 +7,6 @@ of one half-inning at a time.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -439,16 +438,15 @@ def box_line_differences(events: DataFrame, box: DataFrame) -> DataFrame:
 ATTRIBUTED = "canonical_id string, team string, block int, pitcher string, ambiguous boolean, method string, optimal_paths long"
 
 
-def assign_pitchers(blocks: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
+def assign_pitchers(game: dict) -> list[dict]:
     """Cheapest assignment of one team's pitchers to its blocks whose outs equal the box score.
 
     A change costs 10, a disagreement with a hint 2 and with the earlier value 1; a pitcher
     named in the text is binding. Forward and backward costs give the best cost, the number of
     best assignments and the possible pitchers of every block without listing assignments.
     """
-    box, blocks = box.sort_values("list_ordinal"), blocks.sort_values("block")
-    names, target = list(box["player"]), tuple(int(o) for o in box["outs"])
-    rows = blocks.to_dict("records")
+    names, target = [p["player"] for p in game["box"]], tuple(p["outs"] for p in game["box"])
+    rows = game["blocks"]
     start = (tuple(0 for _ in names), -1)
     layers = [{start: (0, 1)}]
     arcs = []
@@ -490,15 +488,26 @@ def assign_pitchers(blocks: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
         after = remaining[depth + 1]
         state = min(b for a, b, p in arcs[depth] if a == state and b in after and layers[depth][a][0] + p + after[b] == best)
         path.append(state[1])
-    return pd.DataFrame({
-        "canonical_id": blocks["canonical_id"].to_list(), "team": blocks["team"].to_list(), "block": blocks["block"].to_list(),
-        "pitcher": [names[i] for i in path], "ambiguous": [len(p) > 1 for p in possible],
-        "method": [
-            "explicit_play_text" if r["explicit"] else "boxscore_constrained_tied" if len(p) > 1 else "boxscore_constrained_unique"
-            for r, p in zip(rows, possible)
-        ],
-        "optimal_paths": ways,
-    })
+    return [
+        {
+            "canonical_id": game["canonical_id"], "team": game["team"], "block": row["block"], "pitcher": names[chosen], "ambiguous": len(open_to) > 1,
+            "method": "explicit_play_text" if row["explicit"] else "boxscore_constrained_tied" if len(open_to) > 1 else "boxscore_constrained_unique",
+            "optimal_paths": ways,
+        }
+        for row, chosen, open_to in zip(rows, path, possible)
+    ]
+
+
+_ATTRIBUTED_ARROW = pa.schema([
+    ("canonical_id", pa.string()), ("team", pa.string()), ("block", pa.int32()), ("pitcher", pa.string()), ("ambiguous", pa.bool_()), ("method", pa.string()),
+    ("optimal_paths", pa.int64()),
+])
+
+
+def _assign_batches(batches):
+    for batch in batches:
+        rows = [line for game in batch.to_pylist() for line in assign_pitchers(game)]
+        yield pa.RecordBatch.from_pylist(rows, schema=_ATTRIBUTED_ARROW)
 
 
 def play_blocks(events: DataFrame, staffs: DataFrame) -> DataFrame:
@@ -517,12 +526,17 @@ def play_blocks(events: DataFrame, staffs: DataFrame) -> DataFrame:
 
 
 def attribute_pitchers(blocks: DataFrame, box: DataFrame) -> DataFrame:
-    """Pitcher of every block; one group is one team in one game.
+    """Pitcher of every block. A row handed to Python is one team's game: its plays and its
+    pitchers, a few dozen each.
 
     ``box``: canonical_id, team, player, outs, list_ordinal.
     """
     keys = ["canonical_id", "team"]
-    return blocks.groupBy(*keys).cogroup(box.groupBy(*keys)).applyInPandas(assign_pitchers, ATTRIBUTED)
+    played = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "outs", "explicit", "hint", "old"))).alias("blocks"))
+    listed = box.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("list_ordinal", "player", "outs"))).alias("box"))
+    joined = played.join(listed, keys, "left").withColumn("box", F.coalesce("box", F.array().cast(listed.schema["box"].dataType)))
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(tasks, *keys).mapInArrow(_assign_batches, ATTRIBUTED)
 
 
 # --- payload audit -----------------------------------------------------------------------
