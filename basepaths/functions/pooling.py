@@ -1,37 +1,11 @@
-"""Partial pooling, shrinkage and centering.
-
-All means come from grouped aggregates (partial aggregation on the map side) that are joined
-back; no window is opened over a league-wide key.
-"""
+"""Shrinkage of small samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def shrink(n: Column, k: float) -> Column:
     """Weight n / (n + k), zero without observations."""
     return F.when(n > 0, n / (n + F.lit(float(k)))).otherwise(F.lit(0.0))
-
-
-def partial_pool(
-    df: DataFrame, value: str, broad: list[str], detailed: list[str], k: float, output: str
-) -> DataFrame:
-    """Add ``output`` = (sum of detailed group + k * broad mean) / (n of detailed group + k).
-
-    ``detailed`` columns refine ``broad``. Both key sets are drawn from closed vocabularies
-    (season, role, base, outs, event type, trajectory, position), so the table of expected
-    values has a fixed upper size and is broadcast.
-    """
-    fine = df.groupBy(*broad, *detailed).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    coarse = fine.groupBy(*broad).agg((F.sum("_s") / F.sum("_n")).alias("_m"))
-    expected = fine.join(F.broadcast(coarse), broad).select(
-        *broad, *detailed, ((F.col("_s") + float(k) * F.col("_m")) / (F.col("_n") + float(k))).alias(output)
-    )
-    return df.join(F.broadcast(expected), broad + detailed)
-
-
-def league_constant(df: DataFrame, season_keys: list[str], **aggregates: Column) -> DataFrame:
-    """One row per season; seasons are calendar years, so the result has a fixed upper size."""
-    return df.groupBy(*season_keys).agg(*[column.alias(name) for name, column in aggregates.items()])
