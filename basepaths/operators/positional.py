@@ -154,7 +154,10 @@ def position_grid(keys: DataFrame, *names: str) -> DataFrame:
 
 def center_scale(rows: DataFrame, value: str, weight: str, output: str, *keys: str) -> DataFrame:
     """Subtract the weighted mean over the eight positions."""
-    center = rows.groupBy(*keys).agg(ratio0(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("_c"))
+    mean = ratio0(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("_c")
+    if not keys:
+        return rows.withColumn("_c", rows.agg(mean).scalar()).withColumn(output, F.col(value) - F.col("_c")).drop("_c")
+    center = rows.groupBy(*keys).agg(mean)
     return rows.join(F.broadcast(center), list(keys)).withColumn(output, F.col(value) - F.col("_c")).drop("_c")
 
 
@@ -200,13 +203,12 @@ def replacement_depth(valued: DataFrame, box: DataFrame) -> DataFrame:
     lower = players.join(F.broadcast(threshold), "position").where(F.col("pa") <= F.col("threshold")).groupBy("position").agg(
         F.sum("pa").alias("PA"), F.count("*").alias("players"), F.sum("runs").alias("runs"), F.any_value("threshold").alias("lower_half_PA_threshold")
     )
-    one = F.lit("all").alias("variant")
-    grid = valued.sparkSession.range(1).select(one, F.explode(F.array(*map(F.lit, S.POSITION_LABELS))).alias("position"))
+    grid = valued.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, S.POSITION_LABELS))).alias("position"))
     filled = grid.join(lower, "position", "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("PA", "players", "lower_half_PA_threshold")}
     ).withColumn("raw", ratio0(-100.0 * F.coalesce("runs", F.lit(0.0)), "PA"))
-    return center_scale(filled, "raw", "PA", "centered_candidate_runs_per_25_games", "variant").drop("raw", "runs").withColumn(
-        "method", F.lit("lower_playing_time_depth_proxy")
+    return center_scale(filled, "raw", "PA", "centered_candidate_runs_per_25_games").drop("raw", "runs").withColumns(
+        {"method": F.lit("lower_playing_time_depth_proxy"), "variant": F.lit("all")}
     )
 
 
