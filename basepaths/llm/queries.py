@@ -29,3 +29,31 @@ def op8(spark, sf_dir):
     from basepaths.llm import simhash_index
 
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark, sf_dir):
+    from basepaths.llm import decontaminate
+
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_pivotal_mixing")
+def op5(spark, sf_dir):
+    from basepaths.llm import mixing
+
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op3_pu_toxicity")
+def op3(spark, sf_dir):
+    from basepaths.llm import toxicity
+
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_byte_cnn_quality")
+def op9(spark, sf_dir):
+    from basepaths.llm import byte_cnn
+
+    return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
