@@ -57,3 +57,10 @@ def op9(spark, sf_dir):
     from basepaths.llm import byte_cnn
 
     return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_fuzzy_line_dedup")
+def op2(spark, sf_dir):
+    from basepaths.llm import fuzzy_lines
+
+    return fuzzy_lines.line_dedup(table(spark, sf_dir, "documents"))
