@@ -64,3 +64,10 @@ def op2(spark, sf_dir):
     from basepaths.llm import fuzzy_lines
 
     return fuzzy_lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    from basepaths.llm import suffix_dedup
+
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
