@@ -20,69 +20,76 @@ import tempfile
 import numpy as np
 
 MEMORY_ROWS = 4_000_000
-ENTRY = np.dtype([("key", np.uint64), ("at", np.int64), ("lcp", np.int32)], align=True)
 _CLASS, _SYMBOL = np.uint64(39), np.uint64(40)
 MOST_SYMBOLS = 1 << 24
 
 
 class RunQueue:
-    """Priority queue of ENTRY rows with distinct keys, in bulk."""
+    """Priority queue of (key, position, common prefix) with distinct keys, in bulk."""
 
     def __init__(self, memory_rows: int | None = None):
-        self.runs: list[list] = []  # [array, cursor]
+        self.runs: list[list] = []  # [keys, positions, prefixes, cursor]
         self.memory = MEMORY_ROWS if memory_rows is None else memory_rows
         self.rows = 0
 
     def __len__(self) -> int:
         return self.rows
 
-    def push(self, entries: np.ndarray) -> None:
-        if not len(entries):
+    def push(self, columns: tuple[np.ndarray, ...]) -> None:
+        if not len(columns[0]):
             return
-        self.rows += len(entries)
-        self.runs.append([entries[np.argsort(entries["key"], kind="stable")], 0])
+        self.rows += len(columns[0])
+        order = np.argsort(columns[0], kind="stable")
+        self.runs.append([*(c[order] for c in columns), 0])
         if len(self.runs) > 24:
             self._merge()
 
     def _merge(self) -> None:
         """Small runs become one; a large result goes to a file."""
-        self.runs.sort(key=lambda r: len(r[0]) - r[1])
+        self.runs.sort(key=lambda r: len(r[0]) - r[-1])
         few, self.runs = self.runs[:18], self.runs[18:]
-        rows = np.concatenate([np.asarray(a[c:]) for a, c in few])
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        held = sum(len(a) - c for a, c in self.runs if not isinstance(a, np.memmap))
-        if held + len(rows) > self.memory:
-            file = tempfile.TemporaryFile()
-            rows.tofile(file)
-            file.flush()
-            rows = np.memmap(file, ENTRY, "r", shape=(len(rows),))
-        self.runs.append([rows, 0])
-
-    def peek(self, limit: int) -> np.ndarray:
+        columns = [np.concatenate([r[k][r[-1] :] for r in few]) for k in range(3)]
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
+        held = sum(len(r[0]) - r[-1] for r in self.runs if not isinstance(r[0], np.memmap))
+        if held + len(order) > self.memory:
+            columns = [_on_disk(c) for c in columns]
+        self.runs.append([*columns, 0])
+
+    def peek(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Smallest entries in order: ``limit`` at least where so many are left."""
-        parts, bound = [], None
-        for array, cursor in self.runs:
-            part = np.asarray(array[cursor : cursor + limit])
-            parts.append(part)
-            if cursor + limit < len(array) and (bound is None or part["key"][-1] < bound):
-                bound = part["key"][-1]
-        rows = np.concatenate(parts)
-        if bound is not None:
-            rows = rows[rows["key"] <= bound]
-        return rows[np.argsort(rows["key"], kind="stable")]
+        bound = None
+        for keys, _, _, cursor in self.runs:
+            if cursor + limit < len(keys) and (bound is None or keys[cursor + limit - 1] < bound):
+                bound = keys[cursor + limit - 1]
+        ends = [
+            c + (len(k) - c if bound is None else int(np.searchsorted(k[c : c + limit], bound, side="right"))) for k, _, _, c in self.runs
+        ]
+        parts = [(r, r[-1], e) for r, e in zip(self.runs, ends) if e > r[-1]]
+        columns = [np.concatenate([r[k][c:e] for r, c, e in parts]) for k in range(3)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
 
     def take(self, last: np.uint64, count: int) -> None:
         """Drop all entries up to key ``last``; they are ``count``."""
         self.rows -= count
         left = []
-        for array, cursor in self.runs:
-            if array["key"][cursor] <= last:
-                cursor += int(np.searchsorted(array["key"][cursor : cursor + count], last, side="right"))
-            if cursor < len(array):
-                left.append([array, cursor])
+        for run in self.runs:
+            keys, cursor = run[0], run[-1]
+            if keys[cursor] <= last:
+                run[-1] = cursor + int(np.searchsorted(keys[cursor : cursor + count], last, side="right"))
+            if run[-1] < len(keys):
+                left.append(run)
         self.runs = left
 
 
+def _on_disk(column: np.ndarray) -> np.ndarray:
+    file = tempfile.TemporaryFile()
+    column.tofile(file)
+    file.flush()
+    return np.memmap(file, column.dtype, "r", shape=column.shape)
+
+
 class Minima:
     """Least value of any range of a growing sequence."""
 
@@ -120,25 +127,35 @@ class Minima:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Equal leading symbols of the suffixes at ``a`` and ``b``, up to ``limit``."""
+    """Equal leading symbols of the suffixes at ``a`` and ``b``, up to ``limit``; four at a time while symbols are small."""
     n = len(text)
     result = np.zeros(len(a), np.int32)
+    if n > 4 and text.dtype == np.uint16:
+        four = np.ndarray((n - 3,), "<u8", text.data, strides=(2,))
+        which = np.arange(len(a))
+        for k in range(0, limit, 4):
+            x, y = a[which] + k, b[which] + k
+            inside = (x < n - 3) & (y < n - 3)
+            which = which[inside]
+            which = which[four[x[inside]] == four[y[inside]]]
+            if not len(which):
+                break
+            result[which] = k + 4
     which = np.arange(len(a))
-    for k in range(limit):
-        x, y = a[which] + k, b[which] + k
-        inside = (x < n) & (y < n)
+    while True:
+        x, y = a[which] + result[which], b[which] + result[which]
+        inside = (x < n) & (y < n) & (result[which] < limit)
         which = which[inside]
         which = which[text[x[inside]] == text[y[inside]]]
         if not len(which):
-            break
-        result[which] = k + 1
-    return result
+            return np.minimum(result, limit)
+        result[which] += 1
 
 
 def small_types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next; the last is not."""
     n = len(text)
-    step = np.sign(np.diff(text))
+    step = np.sign(np.diff(text.astype(np.int64)))
     place = np.where(step != 0, np.arange(n - 1), n)
     place = np.minimum.accumulate(place[::-1])[::-1] if n > 1 else place
     out = np.zeros(n, bool)
@@ -159,68 +176,65 @@ def _drain(text, types, start: np.ndarray, up: bool, wanted: bool, limit: int |
     left, size = 0, 4096
     minima = Minima(len(text) + 1) if limit else None
     last_seen = np.full(symbols, -1, np.int64) if limit else None
-    previous = None
+    previous = -1
     while len(queue):
-        block = queue.peek(size)
-        before = block["at"] - 1
+        keys, places, lcp = queue.peek(size)
+        before = places - 1
         sends = np.flatnonzero((before >= 0) & (types[before] == wanted))
         at = before[sends]
-        symbol = text[at] if up else symbols - 1 - text[at]
-        keys = (symbol.astype(np.uint64) << _SYMBOL) + (left + sends).astype(np.uint64)
+        symbol = text[at].astype(np.int64)
+        if not up:
+            symbol = symbols - 1 - symbol
+        sent = (symbol.astype(np.uint64) << _SYMBOL) + (left + sends).astype(np.uint64)
         # an entry may leave only before all that those ahead of it send in
-        floor = np.full(len(block), np.iinfo(np.uint64).max, np.uint64)
-        floor[sends] = keys
-        floor = np.minimum.accumulate(floor)
-        late = np.flatnonzero(block["key"][1:] > floor[:-1])
-        count = int(late[0]) + 1 if len(late) else len(block)
-        last_key = block["key"][count - 1]
-        size = min(1 << 16, size * 2) if count == len(block) else max(256, min(size, 4 * count))
-        block, here = block[:count], sends < count
-        sends, at, symbol, keys = sends[here], at[here], symbol[here], keys[here]
-        queue.take(last_key, count)
-        pushed = np.zeros(len(sends), ENTRY)
-        pushed["key"], pushed["at"] = keys, at
+        count = len(keys)
+        if len(sends):
+            floor = np.minimum.accumulate(sent)
+            ahead = np.searchsorted(sends, np.arange(1, count), side="left") - 1
+            late = np.flatnonzero((ahead >= 0) & (keys[1:] > floor[ahead]))
+            if len(late):
+                count = int(late[0]) + 1
+        queue.take(keys[count - 1], count)
+        size = min(1 << 17, size * 2) if count == len(keys) else max(256, min(size, 4 * count))
+        places, here = places[:count], np.searchsorted(sends, count)
+        sends, at, symbol, sent = sends[:here], at[:here], symbol[:here], sent[:here]
+        carried = np.zeros(here, np.int32)
         if limit:
-            lcp = block["lcp"].copy()
-            first = text[block["at"]]
-            kind = types[block["at"]]
-            ahead_symbol = np.concatenate([[-1 if previous is None else text[previous]], first[:-1]])
-            ahead_at = np.concatenate([[-1 if previous is None else previous], block["at"][:-1]])
-            lcp[first != ahead_symbol] = 0
+            lcp = lcp[:count].copy()
+            ahead_at = np.concatenate([[previous], places[:-1]])
+            same = text[places] == text[ahead_at]
+            same[0] &= previous >= 0
+            lcp[~same] = 0
             if up:  # the one-symbol suffix was sent in by the end of the string, which has no place
-                lcp[(ahead_at == len(text) - 1) & (first == ahead_symbol)] = 1
-            seam = np.flatnonzero((first == ahead_symbol) & (kind != types[ahead_at]))
+                lcp[(ahead_at == len(text) - 1) & same] = 1
+            seam = np.flatnonzero(same & (types[places] != types[ahead_at]))
             if len(seam):
-                lcp[seam] = common_prefix(text, block["at"][seam], ahead_at[seam], limit)
-            previous = block["at"][-1]
+                lcp[seam] = common_prefix(text, places[seam], ahead_at[seam], limit)
+            previous = places[-1]
             minima.extend(lcp)
             values.append(lcp)
-            if len(sends):
+            if here:
                 by = np.argsort(symbol, kind="stable")
-                place, same = left + sends[by], symbol[by]
+                place, kind = left + sends[by], symbol[by]
                 back = np.concatenate([[-1], place[:-1]])
-                opens = np.concatenate([[True], same[1:] != same[:-1]])
-                back[opens] = last_seen[same[opens]]
-                closes = np.append(np.flatnonzero(opens)[1:] - 1, len(same) - 1)
+                opens = np.concatenate([[True], kind[1:] != kind[:-1]])
+                back[opens] = last_seen[kind[opens]]
+                closes = np.append(np.flatnonzero(opens)[1:] - 1, here - 1)
                 known = back >= 0
-                carried = np.zeros(len(same), np.int32)
-                carried[known] = np.minimum(minima.least(back[known] + 1, place[known]) + 1, limit)
-                last_seen[same[closes]] = place[closes]
-                pushed["lcp"][by] = carried
-        order.append(block["at"])
+                value = np.zeros(here, np.int32)
+                value[known] = np.minimum(minima.least(back[known] + 1, place[known]) + 1, limit)
+                last_seen[kind[closes]] = place[closes]
+                carried[by] = value
+        order.append(places)
         left += count
-        queue.push(pushed)
+        queue.push((sent, at, carried))
     at = np.concatenate(order) if order else np.zeros(0, np.int64)
     return at, (np.concatenate(values) if limit else None)
 
 
-def _entries(symbol: np.ndarray, at: np.ndarray, lcp: np.ndarray | None, fixed: bool) -> np.ndarray:
-    out = np.zeros(len(at), ENTRY)
-    out["key"] = (symbol.astype(np.uint64) << _SYMBOL) | (np.uint64(fixed) << _CLASS) | np.arange(len(at), dtype=np.uint64)
-    out["at"] = at
-    if lcp is not None:
-        out["lcp"] = lcp
-    return out
+def _entries(symbol: np.ndarray, at: np.ndarray, lcp: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    keys = (symbol.astype(np.uint64) << _SYMBOL) | (np.uint64(1) << _CLASS) | np.arange(len(at), dtype=np.uint64)
+    return keys, at, np.zeros(len(at), np.int32) if lcp is None else lcp.astype(np.int32)
 
 
 def induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, symbols: int, limit: int | None = None):
@@ -231,11 +245,10 @@ def induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, symbols: int,
         seed_lcp = np.zeros(len(seeds), np.int32)
         if len(seeds) > 1:
             seed_lcp[1:] = common_prefix(text, seeds[1:], seeds[:-1], limit)
-    start = _entries(text[seeds], seeds, seed_lcp, True)
     # the end of the string sends in the last suffix before all others
-    end = np.zeros(1, ENTRY)
-    end["key"], end["at"] = np.uint64(text[n - 1]) << _SYMBOL, n - 1
-    at, lcp = _drain(text, types, np.concatenate([end, start]), True, False, limit, symbols)
+    end = (np.array([int(text[n - 1]) << 40], np.uint64), np.array([n - 1]), np.zeros(1, np.int32))
+    start = tuple(np.concatenate(pair) for pair in zip(end, _entries(text[seeds], seeds, seed_lcp)))
+    at, lcp = _drain(text, types, start, True, False, limit, symbols)
     large = ~types[at]
     descending = at[large][::-1]
     back = None
@@ -248,7 +261,7 @@ def induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, symbols: int,
             run = np.diff(places) == 1
             ahead[:-1][run] = own[places[1:][run]]
         back = ahead[::-1]
-    start = _entries(symbols - 1 - text[descending], descending, back, True)
+    start = _entries(symbols - 1 - text[descending].astype(np.int64), descending, back)
     at, lcp = _drain(text, types, start, False, True, limit, symbols)
     order = at[::-1]
     if not limit:
@@ -265,7 +278,7 @@ def suffix_order(text: np.ndarray, symbols: int, limit: int | None = None):
         return np.arange(n), np.zeros(n, np.int32)
     if symbols > MOST_SYMBOLS or n >= 1 << 38:
         raise ValueError(f"too many symbols for one shard: {symbols}")
-    text = text.astype(np.int64)
+    text = np.ascontiguousarray(text, np.uint16 if symbols <= 1 << 16 else np.int64)
     types = small_types(text)
     seeds = np.flatnonzero(types[1:] & ~types[:-1]) + 1
     if len(seeds) > 1:

@@ -8,11 +8,14 @@ can matter are sorted, and strings that can be equal meet in one shard:
    the key. Equal windows have equal anchors at equal distance, hence equal keys.
 2. Starts with a common anchor form a segment: a piece of text of ``length`` bytes or some more.
    Segments whose key occurs once are done. Equal segments are kept once, with their count.
-3. The segments of each key that several different segments share go to shards, which are
+3. Segments whose key others share are cut into finer ones of up to ``fine`` starts at a fixed distance
+   from the anchor, with longer keys (``length - fine + 1`` bytes), and step 2 is repeated. This
+   leaves little but the ends of repeated passages.
+4. The segments of each key that several different segments share go to shards, which are
    sorted by external induced sorting (``induced``); suffixes whose common prefix with a
    neighbour reaches ``length`` start repeated windows, as do all starts of a segment that
    occurs twice.
-4. Keys with more than ``hot`` different segments (a passage that very many documents share, at its
+5. Keys with more than ``hot`` different segments (a passage that very many documents share, at its
    two ends) would not be bounded shards. Their windows are told apart one by one by 128-bit digests,
    counted with partial sums, so no task holds such a group.
 
@@ -34,6 +37,7 @@ from basepaths.session import cut_lineage
 
 LENGTH = 400
 REACH = 256
+FINE = 16
 HOT = 256
 SHARD_BYTES = 4 << 20
 GRAM = 8
@@ -91,31 +95,74 @@ def segments(docs: DataFrame, length: int, reach: int) -> DataFrame:
                 names=["tid", "o", "a", "lo", "hi", "key", "seg"],
             )
 
-    return keyed(docs).mapInArrow(run, schema)
+    return keyed(docs).mapInArrow(run, schema).withColumn("weight", F.lit(1))
 
 
-def pieces_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` (tid, o, a, lo, hi, key, many) with the bytes ``piece`` of each segment.
+def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tid, o, text, parts): texts with the segments ``wanted`` from them.
 
     The join takes the id too, so that of many copies of a text only one is read.
     """
-    lists = wanted.groupBy("tid", "o").agg(F.collect_list(F.struct("a", "lo", "hi", "key", "many")).alias("parts"))
-    joined = lists.join(keyed(docs), ["tid", "o"])
+    lists = wanted.groupBy("tid", "o").agg(F.collect_list(F.struct("a", "lo", "hi", "key", "weight")).alias("parts"))
+    return lists.join(keyed(docs), ["tid", "o"])
+
+
+def finer(docs: DataFrame, wanted: DataFrame, length: int, fine: int) -> DataFrame:
+    """The segments ``wanted`` cut where the distance from start to anchor passes a multiple of ``fine``."""
+    names = ["tid", "o", "a", "lo", "hi", "key", "seg", "weight"]
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
 
     def run(batches):
-        names = ["tid", "lo", "hi", "key", "many", "piece"]
+        short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in pieces(batches):
-            rows = {n: [] for n in names}
-            for tid, text, parts in zip(batch.column("tid").to_pylist(), byte_rows(batch.column("text")), batch.column("parts").to_pylist()):
+            rows = []
+            for tid, o, text, parts in zip(*(batch.column(n).to_pylist() for n in ("tid", "o")), byte_rows(batch.column("text")), batch.column("parts").to_pylist()):
                 for p in parts:
-                    rows["tid"].append(tid)
-                    for n in ("lo", "hi", "key", "many"):
-                        rows[n].append(p[n])
-                    rows["piece"].append(text[p["lo"] : p["hi"] + length])
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds)], names=names)
+                    a = p["a"]
+                    for k in range((a - p["hi"]) // fine, (a - p["lo"]) // fine + 1):
+                        lo, hi = max(p["lo"], a - k * fine - fine + 1), min(p["hi"], a - k * fine)
+                        common = a - k * fine
+                        key = short(text[common : common + length - fine + 1], seed=k)
+                        rows.append((tid, o, a, lo, hi, key - (key >> 63 << 64), long(text[lo : hi + length], seed=a - lo), p["weight"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=names)
 
-    return joined.mapInArrow(run, "tid binary, lo integer, hi integer, key long, many boolean, piece binary")
+    return with_text(docs, wanted).mapInArrow(run, "tid binary, o long, a integer, lo integer, hi integer, key long, seg binary, weight integer")
+
+
+def pieces_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` (tid, o, a, lo, hi, key, weight) with the bytes ``piece`` of each segment."""
+    names = ["tid", "lo", "hi", "key", "piece"]
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    def run(batches):
+        for batch in pieces(batches):
+            rows = [
+                (tid, p["lo"], p["hi"], p["key"], text[p["lo"] : p["hi"] + length])
+                for tid, text, parts in zip(batch.column("tid").to_pylist(), byte_rows(batch.column("text")), batch.column("parts").to_pylist())
+                for p in parts
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=names)
+
+    return with_text(docs, wanted).mapInArrow(run, "tid binary, lo integer, hi integer, key long, piece binary").dropDuplicates(["tid", "lo"])
+
+
+def collapsed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(whole, rival) of segments: those that occur twice, and one of each that shares its key with a different one.
+
+    ``weight`` 2 marks a segment that stands for several; rivals come with ``m``, the number of
+    different segments of their key.
+    """
+    found = cut_lineage(found)
+    shared = found.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    shared = cut_lineage(found.join(shared, F.col("key") == F.col("k")).drop("k"))
+    classes = cut_lineage(
+        shared.groupBy("key", "seg").agg(F.sum("weight").alias("n"), F.min(F.struct("tid", "o", "a", "lo", "hi")).alias("one"))
+    )
+    many = classes.where("n > 1").select(F.col("key").alias("k"), F.col("seg").alias("s"))
+    whole = shared.join(many, (F.col("key") == F.col("k")) & (F.col("seg") == F.col("s"))).select("tid", "lo", "hi")
+    rivals = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "m")
+    rival = classes.join(rivals, F.col("key") == F.col("k")).select("key", "m", "one.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
+    return whole, rival
 
 
 def repeated_starts(parts: list[tuple[int, int, bytes]], length: int) -> list[np.ndarray]:
@@ -168,46 +215,36 @@ def sorted_shards(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
 
 def windows(rows: DataFrame, length: int) -> DataFrame:
-    """(w, tid, at, many): the digest of every window of the pieces."""
+    """(w, tid, at): the digest of every window of the pieces."""
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                out = ([], [], [], [])
-                for tid, lo, hi, many, piece in zip(*(part.column(n).to_pylist() for n in ("tid", "lo", "hi", "many", "piece"))):
+            for k in range(0, batch.num_rows, 1024):
+                out = ([], [], [])
+                for tid, lo, hi, piece in zip(*(batch.slice(k, 1024).column(n).to_pylist() for n in ("tid", "lo", "hi", "piece"))):
                     n = hi - lo + 1
-                    for column, values in zip(out, ([digest(piece[i : i + length]) for i in range(n)], [tid] * n, range(lo, hi + 1), [many] * n)):
+                    for column, values in zip(out, ([digest(piece[i : i + length]) for i in range(n)], [tid] * n, range(lo, hi + 1))):
                         column.extend(values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.bool_()))], names=["w", "tid", "at", "many"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32()))], names=["w", "tid", "at"])
 
-    return rows.select("tid", "lo", "hi", "many", "piece").mapInArrow(run, "w binary, tid binary, at integer, many boolean")
+    return rows.select("tid", "lo", "hi", "piece").mapInArrow(run, "w binary, tid binary, at integer")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, reach: int = REACH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_ranges(
+    docs: DataFrame, length: int = LENGTH, reach: int = REACH, fine: int = FINE, hot: int = HOT, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """(tid, lo, hi) ranges of starts of windows that also start elsewhere, per distinct text."""
-    found = segments(docs, length, reach)
-    found = cut_lineage(found)
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    shared = cut_lineage(found.join(shared, F.col("key") == F.col("k")).drop("k"))
-    classes = cut_lineage(
-        shared.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("tid", "o", "a", "lo", "hi")).alias("one"))
-    )
-    many = classes.where("n > 1").select(F.col("key").alias("k"), F.col("seg").alias("s"))
-    whole = shared.join(many, (F.col("key") == F.col("k")) & (F.col("seg") == F.col("s"))).select("tid", "lo", "hi")
-    rivals = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "m")
-    rival = classes.join(rivals, F.col("key") == F.col("k")).select("key", "m", "one.*", (F.col("n") > 1).alias("many"))
-    crowd = rivals.where(F.col("m") > hot).select(F.col("k").alias("c"))
-    texts = cut_lineage(pieces_of(docs, rival.drop("m"), length).dropDuplicates(["tid", "lo"]))
+    whole, rival = collapsed(segments(docs, length, reach))
+    fine_whole, rival = collapsed(finer(docs, rival, length, fine))
+    crowd = rival.where(F.col("m") > hot).select(F.col("key").alias("c")).distinct()
+    texts = cut_lineage(pieces_of(docs, rival, length))
     marked = texts.join(crowd, F.col("key") == F.col("c"), "left")
     few = sorted_shards(marked.where("c is null"), length, shard_bytes)
     digests = windows(marked.where("c is not null"), length)
     again = digests.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("v"))
     single = digests.join(again, F.col("w") == F.col("v")).select("tid", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(few).unionByName(single)
+    return whole.unionByName(fine_whole).unionByName(few).unionByName(single)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:

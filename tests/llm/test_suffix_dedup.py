@@ -47,7 +47,7 @@ def corpus():
 def test_against_all_windows(spark, hot, shard):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, b"x", 1) for d, t in rows], "doc_id long, text string, tid binary, key int")
-    got = sorted((tuple(r) for r in D.suffix_dedup(docs, length=40, reach=16, hot=hot, shard_bytes=shard).collect()), key=str)
+    got = sorted((tuple(r) for r in D.suffix_dedup(docs, length=40, reach=16, fine=5, hot=hot, shard_bytes=shard).collect()), key=str)
     assert got == brute(rows, 40)
 
 
