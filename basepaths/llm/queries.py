@@ -71,3 +71,17 @@ def op7(spark, sf_dir):
     from basepaths.llm import suffix_dedup
 
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quotation_linking")
+def op6(spark, sf_dir):
+    from basepaths.llm import quotes
+
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    from basepaths.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
