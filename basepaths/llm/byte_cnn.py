@@ -131,13 +131,12 @@ def train(x: np.ndarray, counts: np.ndarray, label: np.ndarray, epochs: int = EP
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Weights from about ``sample`` labelled texts (chosen by a hash of the id), trained in one task.
+    """Weights from ``sample`` labelled texts at most (the first by a hash of the id), trained in one task.
 
-    A training text gives up to ``CROPS`` of its chunks, spread evenly over the whole text.
+    So few ids are broadcast. A training text gives up to ``CROPS`` of its chunks, spread evenly over the whole text.
     """
     known = labels.where(learnable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    total = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((1 << 30) * min(1.0, sample / max(total, 1))))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def crops(batches):
         for piece in pieces(batches):
@@ -147,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array(taken, pa.binary())], names=["doc_id", "quality", "crops"])
 
     schema = docs.select("doc_id").schema.add("quality", labels.schema["quality"].dataType).add("crops", "binary")
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality").mapInArrow(crops, schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(crops, schema)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id")

@@ -107,8 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, members: int = ME
     """Mean weights of the members.
 
     ``learnable`` marks the rows of ``labels`` that may be learnt from. About ``positives``
-    confirmed toxic texts at most go to every member and about ``unlabelled`` corpus texts to all
-    together (chosen by a hash of the id, so reruns agree); the class prior is the toxic share
+    confirmed toxic texts at most go to every member (so few ids are broadcast), and to each
+    its part of about ``unlabelled`` corpus texts (chosen by a hash of the id, so reruns agree); the class prior is the toxic share
     of all learnable labels. Only the weights, of a fixed size, come to the driver.
     """
     known = labels.where(learnable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -119,11 +119,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, members: int = ME
         out[-1] = 10.0 if counts["n"] and counts["p"] == counts["n"] else -10.0
         return out
     place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    toxic = known.where("toxic = 1").where(place(1) < positives / counts["p"]).select("doc_id")
-    p_rows = docs.select("doc_id", "text").join(toxic, "doc_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"), F.lit(1).alias("toxic"), "text", "doc_id")
-    u_rows = docs.where(learnable).where(place(2) < unlabelled / total).select(
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(members)).cast("int").alias("member"), F.lit(0).alias("toxic"), "text", "doc_id"
-    )
+    toxic = known.where("toxic = 1").orderBy(place(1), "doc_id").limit(positives).select("doc_id")
+    p_rows = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"), F.lit(1).alias("toxic"), "text", "doc_id")
+    share = min(1.0, unlabelled / members / total)
+    windows = F.filter(F.sequence(F.lit(0), F.lit(members - 1)), lambda m: (place(2) + 1 - m / F.lit(float(members))) % F.lit(1.0) < share)
+    u_rows = docs.where(learnable).select(F.explode(windows).alias("member"), F.lit(0).alias("toxic"), "text", "doc_id")
     rows = features(p_rows.union(u_rows), "member", "toxic", "doc_id")
     prior = counts["p"] / counts["n"]
 
@@ -132,28 +132,39 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, members: int = ME
         parts = [[np.asarray(w) for w in frame["words"][frame["toxic"] == k]] for k in (1, 0)]
         parts[0] = list({w.tobytes(): w for w in parts[0]}.values())
         if not parts[0] or not parts[1]:
-            return pd.DataFrame({"weights": []})
+            return pd.DataFrame({"weights": pd.Series([], dtype=object)})
         return pd.DataFrame({"weights": [train(*parts, prior).tolist()]})
 
     found = [np.array(r["weights"]) for r in rows.groupBy("member").applyInPandas(member, "weights array<double>").toLocalIterator()]
     return np.mean(found, axis=0) if found else out
 
 
-def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
-    """``keep`` and ``score`` of every whole text; null and empty texts get the score of no words."""
+def score(docs: DataFrame, weights: np.ndarray, *keep: str, name: str = "score") -> DataFrame:
+    """``keep`` and the score ``name`` of every whole text; null and empty texts get the score of no words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches):
         for piece in pieces(batches):
             w = shared.value
             rows = distinct_words(piece.column("text").to_pylist())
             z = np.array([w[r].sum() + w[-1] for r in rows])
-            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, name])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
+def learnable(folds: int = 3, held: int = 1) -> Column:
+    """Rows whose labels may be learnt."""
+    return F.coalesce(remainder(F.col("doc_id"), folds) != held, F.lit(True))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score ``cut`` or more; columns stay as they are."""
+    weights = fit(docs, labels, learnable())
+    return score(docs, weights, *docs.columns, name="_toxic").where(F.col("_toxic") < cut).drop("_toxic")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, folds: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
@@ -161,8 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, folds: int =
     are scored and not held out; repeated rows are scored alike; labels without texts or ids
     are left out; without both classes every score is near 0 (or near 1 if all are toxic).
     """
-    learnable = F.coalesce(remainder(F.col("doc_id"), folds) != held, F.lit(True))
-    weights = fit(docs, labels, learnable)
-    return score(docs, weights, "doc_id").select(
-        "doc_id", (~learnable).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
+    ours = learnable(folds, held)
+    return score(docs, fit(docs, labels, ours), "doc_id").select(
+        "doc_id", (~ours).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )
