@@ -201,32 +201,22 @@ def leaks(
     these two numbers) and asked in one pass over the documents. Null and empty texts on either
     side match nothing; repeated rows give repeated pairs; other columns are not looked at.
     """
-    spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = docs.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType)
     for name in ("score", "question_overlap", "answer_overlap"):
         schema = schema.add(name, "double")
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // index_text)
-    item_type = to_arrow_type(schema["item_id"].dataType)
-    result = spark.createDataFrame([], schema)
-    for start in range(0, blocks, at_once):
-        indexes = []
-        for block in range(start, min(start + at_once, blocks)):
-            part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-            index = build_index(part.select("item_id", "text").orderBy("item_id", "text").toLocalIterator())
-            if index is not None:
-                indexes.append(index)
-        shared = spark.sparkContext.broadcast(indexes)
+    result = docs.sparkSession.createDataFrame([], schema)
+    for shared in broadcast_indexes(benchmark, index_text, at_once):
 
         def run(batches, shared=shared):
             for piece in pieces(batches):
-                ids, texts = piece.column("doc_id"), piece.column("text").to_pylist()
-                words = word_hashes(texts)
+                words = word_hashes(piece.column("text").to_pylist())
                 for index in shared.value:
                     found = index.matches(*words, threshold, question, answer)
+                    rows = pa.array([f[0] for f in found], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(pa.array([f[0] for f in found], pa.int64())), pa.array([index.items[f[1]].item_id for f in found], item_type),
+                            piece.column("doc_id").take(rows), pa.array([index.items[f[1]].item_id for f in found], item_type),
                             *(pa.array([f[n] for f in found], pa.float64()) for n in (2, 3, 4)),
                         ],
                         names=schema.names,
@@ -234,3 +224,33 @@ def leaks(
 
         result = result.unionAll(docs.select("doc_id", "text").mapInArrow(run, schema))
     return result
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.8, answer: float = 0.5, index_text: int = INDEX_TEXT, at_once: int = PASS
+) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; columns stay as they are."""
+    for shared in broadcast_indexes(benchmark, index_text, at_once):
+
+        def run(batches, shared=shared):
+            for piece in pieces(batches):
+                words = word_hashes(piece.column("text").to_pylist())
+                keep = np.ones(piece.num_rows, bool)
+                for index in shared.value:
+                    keep[[f[0] for f in index.matches(*words, threshold, question, answer)]] = False
+                yield piece.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def broadcast_indexes(benchmark: DataFrame, index_text: int, at_once: int):
+    """Broadcast lists of indexes that together hold all of ``benchmark``, one list after the other."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // index_text)
+    for start in range(0, blocks, at_once):
+        found = []
+        for block in range(start, min(start + at_once, blocks)):
+            part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+            found.append(build_index(part.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()))
+        yield benchmark.sparkSession.sparkContext.broadcast([index for index in found if index is not None])

@@ -180,5 +180,6 @@ def mix(rows: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, bucket_rows
 
 def mix_documents(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Documents with size (words), source_size, target and taken; ``keep`` names further columns to carry."""
+    keep = tuple(k for k in keep if k not in ("doc_id", "source"))
     rows = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
-    return mix(rows, **options).select("doc_id", *keep, *([] if "source" in keep else ["source"]), "size", "source_size", "target", "taken")
+    return mix(rows, **options).select("doc_id", *keep, "source", "size", "source_size", "target", "taken")

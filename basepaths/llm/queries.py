@@ -85,3 +85,17 @@ def op10(spark, sf_dir):
     from basepaths.llm import licenses
 
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op1_embedding_near_dedup")
+def op1(spark, sf_dir):
+    from basepaths.llm import embedding_graph
+
+    return embedding_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -46,18 +46,18 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``fp`` (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """``keep`` and ``name`` (the 64 bits as a signed long) of every row."""
     schema = docs.select(*keep).schema
 
     def run(batches):
         for piece in pieces(batches):
             found = np.array([fingerprint(t, words) for t in byte_rows(piece.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [*(piece.column(k) for k in keep), pa.array(found.view(np.int64))], names=[*keep, "fp"]
+                [*(piece.column(k) for k in keep), pa.array(found.view(np.int64))], names=[*keep, name]
             )
 
-    return docs.select(*keep, "text").mapInArrow(run, schema.add("fp", "long"))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema.add(name, "long"))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -164,6 +164,15 @@ def near_links(fps: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     return gathered(shape, "bucket").mapInArrow(run, "a long, b long")
 
 
+def components_of(rows: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, component_id) of the fingerprints in ``rows`` (doc_id, fp)."""
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = components(near_links(classes.select("fp"), bits))
+    placed = classes.join(groups, classes.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return placed.join(named, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -174,11 +183,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     columns of ``docs`` are not looked at. An empty table gives an empty result.
     """
     rows = cut_lineage(fingerprints(docs, words))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = components(near_links(classes.select("fp"), bits))
-    placed = classes.join(groups, classes.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = placed.join(named, "root").select("fp", "component_id")
+    labels = components_of(rows, bits)
     return rows.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_per_group(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id.
+
+    Rows that repeat the id and text that stay are dropped too. Rows without doc_id stay unless
+    their component has a document with one.
+    """
+    rows = cut_lineage(fingerprints(docs, words))
+    labelled = rows.join(components_of(rows, bits).withColumnRenamed("fp", "_f"), F.col("fp") == F.col("_f"))
+    kept = cut_lineage(labelled.where("doc_id = component_id").select("doc_id", "fp"))
+    nameless = labelled.where("doc_id is null and component_id is null").select("fp").distinct()
+    repeated = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if not repeated:
+        named = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    else:
+        with_fp = fingerprints(docs, words, tuple(docs.columns), "_fp")
+        named = with_fp.join(kept.distinct().withColumnsRenamed({"doc_id": "_d", "fp": "_f"}), (F.col("doc_id") == F.col("_d")) & (F.col("_fp") == F.col("_f")), "left_semi")
+        named = named.dropDuplicates(["doc_id"]).drop("_fp")
+    if rows.where("doc_id is null").isEmpty():
+        return named.select(*docs.columns)
+    others = fingerprints(docs.where("doc_id is null"), words, tuple(docs.columns), "_fp")
+    return named.select(*docs.columns).union(others.join(nameless.withColumnRenamed("fp", "_f"), F.col("_fp") == F.col("_f"), "left_semi").select(*docs.columns))
