@@ -22,6 +22,7 @@ import numpy as np
 MEMORY_ROWS = 4_000_000
 _CLASS, _SYMBOL = np.uint64(39), np.uint64(40)
 MOST_SYMBOLS = 1 << 24
+FEW_SYMBOLS = 1024
 
 
 class RunQueue:
@@ -170,6 +171,8 @@ def _drain(text, types, start: np.ndarray, up: bool, wanted: bool, limit: int |
     ``up``: smallest symbols first. Each entry that leaves sends in its predecessor if that is
     of the type ``wanted``. Without ``limit`` no common prefixes are carried.
     """
+    if not limit and symbols > FEW_SYMBOLS and len(text) <= MEMORY_ROWS:
+        return _drain_lists(text, types, start, up, wanted, symbols), None
     queue = RunQueue()
     queue.push(start)
     order, values = [], []
@@ -232,6 +235,30 @@ def _drain(text, types, start: np.ndarray, up: bool, wanted: bool, limit: int |
     return at, (np.concatenate(values) if limit else None)
 
 
+def _drain_lists(text, types, start, up: bool, wanted: bool, symbols: int) -> np.ndarray:
+    """``_drain`` for strings of names, which fit in memory: a first-in-first-out list for each symbol.
+
+    Few entries of such strings can leave at once, so bulk steps would not pay.
+    """
+    keys, places, _ = start
+    order = np.argsort(keys, kind="stable")
+    fixed = (keys[order] >> _CLASS & np.uint64(1)).tolist()
+    arrived, waiting = [[] for _ in range(symbols)], [[] for _ in range(symbols)]
+    symbol = text.astype(np.int64) if up else symbols - 1 - text.astype(np.int64)
+    symbol, sends = symbol.tolist(), (types == wanted).tolist()
+    for place, later in zip(places[order].tolist(), fixed):
+        (waiting if later else arrived)[symbol[place]].append(place)
+    out = []
+    for kind in range(symbols):
+        for row in (arrived[kind], waiting[kind]):
+            for place in row:  # grows while it is read
+                if place and sends[place - 1]:
+                    arrived[symbol[place - 1]].append(place - 1)
+            out += row
+        arrived[kind] = waiting[kind] = None
+    return np.array(out, np.int64)
+
+
 def _entries(symbol: np.ndarray, at: np.ndarray, lcp: np.ndarray | None) -> tuple[np.ndarray, ...]:
     keys = (symbol.astype(np.uint64) << _SYMBOL) | (np.uint64(1) << _CLASS) | np.arange(len(at), dtype=np.uint64)
     return keys, at, np.zeros(len(at), np.int32) if lcp is None else lcp.astype(np.int32)

@@ -55,9 +55,10 @@ def test_empty_table(spark):
     assert D.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("memory", [10, 1_000_000])
-def test_suffix_order(memory, monkeypatch):
+@pytest.mark.parametrize("memory,few", [(10, 1024), (1_000_000, 1024), (1_000_000, 0)])
+def test_suffix_order(memory, few, monkeypatch):
     monkeypatch.setattr(I, "MEMORY_ROWS", memory)
+    monkeypatch.setattr(I, "FEW_SYMBOLS", few)
     rng = np.random.default_rng(4)
     for turn in range(200):
         n, symbols = int(rng.integers(1, 90)), int(rng.choice([1, 2, 3, 40]))
