@@ -1,8 +1,8 @@
 """Raw play rows to typed events.
 
-Text is read with columns, halves and pitchers come from windows, and only the base state,
-which depends on everything before it in a half-inning, is folded in Python over the few rows
-of one half-inning at a time.
+Text is read with columns, halves and pitchers come from windows. Each row becomes a list of
+moments (a runner is out, the batter arrives, ...); the base state, which depends on everything
+before it in a half-inning, is an aggregate over the moments of that half.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from basepaths import schema as S
 from basepaths.functions import text as X
 from basepaths.functions.identity import literal_map, person_key
 from basepaths.functions.lines import count_if
+from basepaths.session import cut_lineage
 
 ENDED = "half-inning ended"
 
@@ -139,171 +140,160 @@ def pinch_runner(text: Column, names: Column) -> Column:
 
 # --- base state --------------------------------------------------------------------------
 
-FOLDED = (
-    "canonical_id string, row_no int, step int, event_type string, is_plate_appearance boolean, batter string, outs_before int, bases_before int, "
-    "runners_before map<int,string>, outs_after int, bases_after int, runners_after map<int,string>, runs_scored int, "
-    "runner_actions array<struct<runner:string,action:string,from_base:int,to_base:int,reason:string>>, state_errors int"
+_ON = "array<struct<base:int,runner:string,key:string>>"
+_LOG = "array<struct<runner:string,action:string,from_base:int,to_base:int,reason:string>>"
+_EVENT = (
+    "struct<row_no:int,step:int,event_type:string,is_plate_appearance:boolean,batter:string,outs_before:int,bases_before:int,runners_before:map<int,string>,"
+    f"outs_after:int,bases_after:int,runners_after:map<int,string>,runs_scored:int,runner_actions:{_LOG},state_errors:int>"
 )
-_RUNNERS = pa.map_(pa.int32(), pa.string())
-_ACTION = pa.struct([
-    ("runner", pa.string()), ("action", pa.string()), ("from_base", pa.int32()), ("to_base", pa.int32()), ("reason", pa.string()),
-])
-_FOLDED_ARROW = pa.schema([
-    ("canonical_id", pa.string()), ("row_no", pa.int32()), ("step", pa.int32()), ("event_type", pa.string()), ("is_plate_appearance", pa.bool_()),
-    ("batter", pa.string()), ("outs_before", pa.int32()), ("bases_before", pa.int32()), ("runners_before", _RUNNERS), ("outs_after", pa.int32()),
-    ("bases_after", pa.int32()), ("runners_after", _RUNNERS), ("runs_scored", pa.int32()), ("runner_actions", pa.list_(_ACTION)), ("state_errors", pa.int32()),
-])
+_HALF = f"struct<on:{_ON},outs:int,was:{_ON},outs_was:int,log:{_LOG},runs:int,events:array<{_EVENT}>>"
+_MOMENT = "struct<what:string,row_no:int,kind:string,runner:string,key:string,base:int,flag:boolean>"
+_WALKS = ("walk", "intentional_walk", "hit_by_pitch", "catcher_interference")
+_NO_ROOM = "unnamed runner displaced from third; no run inferred"
+_NO_RUN = "unnamed runner would cross home; no run inferred"
 
 
-def _key(name: str | None) -> str:
-    return "".join(c for c in (name or "").lower() if c.isascii() and c.isalnum())
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-class _Bases:
-    """Who stands where; every change is noted as an action."""
-
-    def __init__(self, placed: bool):
-        self.on = {2: S.PLACED_RUNNER} if placed else {}
-        self.log: list[dict] = []
-
-    def note(self, runner, action, source, target, reason=None):
-        self.log.append({"runner": runner, "action": action, "from_base": source, "to_base": target, "reason": reason})
-
-    def find(self, name):
-        return self.find_key(_key(name))
-
-    def find_key(self, key):
-        return next((b for b, r in sorted(self.on.items()) if _key(r) == key), None)
-
-    def take(self, name):
-        """Remove a runner; an anonymous placed runner is taken to be the one named."""
-        base = self.find(name)
-        if base is None:
-            base = next((b for b, r in self.on.items() if r == S.PLACED_RUNNER), None)
-        if base is not None:
-            del self.on[base]
-
-    def put(self, base, name):
-        self.take(name)
-        self.on[base] = name
-
-    def push(self, base, step, why):
-        """Move whoever stands on ``base`` on by ``step``; nobody is sent home without a name."""
-        runner, target = self.on.pop(base), base + step
-        if target > 3:
-            self.note(runner, "state_correction", base, None, why)
-            return
-        if target in self.on:
-            self.push(target, 1, why)
-        self.on[target] = runner
-        self.note(runner, "forced", base, target)
-
-    def act(self, clause):
-        runner, kind, to = clause["runner"], clause["kind"], clause["destination"]
-        source = self.find(runner)
-        if kind in ("out", "score"):
-            self.take(runner)
-            self.note(runner, kind, source, 4 if kind == "score" else to)
-            return
-        target = 3 if kind == "remain_third" else to
-        if kind != "remain_third" and target in self.on and _key(self.on[target]) != _key(runner):
-            self.push(target, 1, "unnamed runner displaced from third; no run inferred")
-        self.put(target, runner)
-        self.note(runner, "advance" if kind == "advance" else "remain", source, target)
-
-    def walk(self):
-        """Forced moves of a walk; the run forced in is returned."""
-        chain = [b for b in (1, 2, 3) if all(x in self.on for x in range(1, b + 1))]
-        run = 0
-        for base in reversed(chain):
-            runner = self.on.pop(base)
-            if base == 3:
-                run = 1
-            else:
-                self.on[base + 1] = runner
-        return run
-
-    def arrive(self, batter, to):
-        for base in range(min(to, 3), 0, -1):
-            if base in self.on:
-                self.push(base, to, "unnamed runner would cross home; no run inferred")
-        if to < 4:
-            self.put(to, batter)
-        else:
-            self.take(batter)
-
-    def mask(self):
-        return sum(1 << (b - 1) for b in self.on)
-
-    def errors(self):
-        keys = [_key(r) for r in self.on.values() if r != S.PLACED_RUNNER]
-        return len(keys) - len(set(keys)) + sum(b not in (1, 2, 3) for b in self.on)
+def _moment(what: str, row_no: Column, kind=None, runner=None, key=None, base=None, flag=None) -> Column:
+    """One thing that happens to the bases; a display row is a list of them."""
+    values = [F.lit(what), row_no, kind, runner, key, base, flag]
+    return F.struct(*[F.lit(None) if v is None else v for v in values]).cast(_MOMENT)
 
 
-_WALKS = ("walk", "intentional_walk", "hit_by_pitch", "catcher_interference")
+def moments(row: dict[str, Column]) -> Column:
+    """What a display row does, in order: substitution, runner event, end marker, plate appearance."""
+    nothing = F.array().cast(f"array<{_MOMENT}>")
+    n, batter, batter_key = row["row_no"], row["batter"], person_key(row["batter"])
+    clause = lambda c: _moment("clause", n, c["kind"], c["runner"], c["key"], c["destination"])
+    feed = F.when(row["feed_outs"].isNotNull(), F.array(_moment("outs", n, base=row["feed_outs"]))).otherwise(nothing)
+    pinch = F.when(row["pinch"].isNotNull(), F.array(_moment("pinch", n, row["pinch"]["old"], row["pinch"]["new"], person_key(row["pinch"]["new"])))).otherwise(nothing)
+    runner = F.when(row["runner_type"].isNotNull(), F.concat(
+        F.array(_moment("open", n)), F.transform(row["runner_clauses"], clause), F.array(_moment("runner event", n, row["runner_type"], batter))
+    )).otherwise(nothing)
+    marker = F.when(row["ended"], F.array(_moment("end", n, runner=batter, flag=row["runner_type"].isNotNull()))).otherwise(nothing)
+    told = F.exists(row["play_clauses"], lambda c: c["key"] == batter_key)
+    walk = F.when(row["play_type"].isin(*_WALKS), F.array(_moment("walk", n, flag=told))).otherwise(nothing)
+    arrival = F.when(row["destination"].isNotNull() & ~told, F.array(_moment("arrive", n, None, batter, batter_key, row["destination"]))).otherwise(nothing)
+    play = F.when(~row["ended"] & row["play_type"].isNotNull(), F.concat(
+        F.array(_moment("open", n)), F.transform(row["play_clauses"], clause), walk, arrival, F.array(_moment("play", n, row["play_type"], batter, base=row["play_outs"]))
+    )).otherwise(nothing)
+    return F.concat(feed, pinch, runner, marker, play)
 
 
-def _event(row, step, kind, is_pa, state, before, outs_before, outs, runs):
-    return {
-        "canonical_id": row["canonical_id"], "row_no": row["row_no"], "step": step, "event_type": kind, "is_plate_appearance": is_pa, "batter": row["batter"],
-        "outs_before": outs_before, "bases_before": sum(1 << (b - 1) for b in before), "runners_before": sorted(before.items()), "outs_after": outs,
-        "bases_after": state.mask(), "runners_after": sorted(state.on.items()), "runs_scored": runs, "runner_actions": list(state.log),
-        "state_errors": state.errors(),
-    }
+def _someone(on: Column, base) -> Column:
+    return F.exists(on, lambda x: x["base"] == base)
 
 
-def _play(row, state, outs, out):
-    """Apply one display row and return the outs after it; a row gives up to two events."""
-    if row["feed_outs"] is not None:
-        outs = row["feed_outs"]
-    pinch = row["pinch"]
-    base = state.find_key(pinch["old"]) if pinch else None
-    if base:
-        state.on[base] = pinch["new"]
-    if row["runner_type"] is not None:
-        before, base_outs, state.log = dict(state.on), outs, []
-        for clause in row["runner_clauses"]:
-            state.act(clause)
-        outs = min(3, outs + sum(a["action"] == "out" for a in state.log))
-        runs = sum(a["action"] == "score" for a in state.log)
-        out.append(_event(row, 0, row["runner_type"], False, state, before, base_outs, outs, runs))
-    if row["ended"]:
-        if not (row["runner_type"] is not None and outs >= 3):
-            before, base_outs, state.log = dict(state.on), outs, []
-            out.append(_event(row, 1, "runner_out", False, state, before, base_outs, 3, 0))
-            outs = 3
-        return outs
-    if row["play_type"] is None:
-        return outs
-    before, base_outs, state.log = dict(state.on), outs, []
-    for clause in row["play_clauses"]:
-        state.act(clause)
-    named = list(state.log)
-    runs = sum(a["action"] == "score" for a in named)
-    told = any(_key(a["runner"]) == _key(row["batter"]) for a in named)
-    if row["play_type"] in _WALKS:
-        # a run forced in counts only where the text itself tells of the batter
-        forced = state.walk()
-        runs += forced if told else 0
-    if row["destination"] is not None and not told:
-        state.arrive(row["batter"], row["destination"])
-        runs += int(row["destination"] == 4)
-    outs = min(3, outs + max(sum(a["action"] == "out" for a in named), row["play_outs"]))
-    out.append(_event(row, 1, row["play_type"], True, state, before, base_outs, outs, runs))
-    return outs
-
-
-def fold_batches(batches):
-    """Fold sorted rows; the state starts anew with every half-inning and is all that is kept."""
-    current, state, outs = None, None, 0
-    for batch in batches:
-        out: list[dict] = []
-        for row in batch.to_pylist():
-            half = (row["canonical_id"], row["half_index"])
-            if half != current:
-                current, state, outs = half, _Bases(row["inning"] >= 8), 0
-            outs = _play(row, state, outs, out)
-        yield pa.RecordBatch.from_pylist(out, schema=_FOLDED_ARROW)
+def _mask(on: Column) -> Column:
+    return F.aggregate(on, F.lit(0), lambda m, x: m + F.when(x["base"] == 1, 1).when(x["base"] == 2, 2).otherwise(4))
+
+
+def _names(on: Column) -> Column:
+    return F.map_from_entries(F.transform(F.array_sort(on), lambda x: F.struct(x["base"], x["runner"])))
+
+
+def _note(runner: Column, action, source, target, reason=None) -> Column:
+    return F.array(F.struct(runner, F.lit(action) if isinstance(action, str) else action, source, target, F.lit(reason))).cast(_LOG)
+
+
+def _without(on: Column, key: Column) -> Column:
+    """The first to have come on base who bears the name or is the placed runner leaves."""
+    first = F.array_position(F.transform(on, lambda x: F.coalesce((x["key"] == key) | (x["runner"] == S.PLACED_RUNNER), F.lit(False))), F.lit(True))
+    return F.filter(on, lambda x, i: i + 1 != first)
+
+
+def _with(on: Column, base: Column, runner: Column, key: Column) -> Column:
+    return F.concat(F.filter(_without(on, key), lambda x: x["base"] != base), F.array(F.struct(base, runner, key).cast(_ON[6:-1])))
+
+
+def _moved(half: Column, off, on_to, reason: str, noted: bool = True) -> Column:
+    """``half`` after all runners for whom ``off`` or ``on_to`` (the new base) holds have gone, the foremost first."""
+    going = F.reverse(F.array_sort(F.filter(half["on"], lambda x: off(x) | on_to(x).isNotNull())))
+
+    def moved(gone):
+        stay = F.filter(half["on"], lambda x: ~off(x) & on_to(x).isNull())
+        placed = F.transform(F.filter(gone, lambda x: ~off(x)), lambda x: F.struct(on_to(x).alias("base"), x["runner"].alias("runner"), x["key"].alias("key")))
+        log = F.transform(gone, lambda x: F.struct(
+            x["runner"], F.when(off(x), "state_correction").otherwise("forced"), x["base"], F.when(~off(x), on_to(x)), F.when(off(x), reason)
+        )).cast(_LOG)
+        return half.withField("on", F.concat(stay, placed.cast(_ON))).withField("log", F.concat(half["log"], log) if noted else half["log"])
+
+    return _let(going, moved)
+
+
+def _room(half: Column, base, reason: str, noted: bool = True) -> Column:
+    """Whoever stands on ``base`` moves up one, and so do all he runs into; from third nobody goes home unnamed."""
+    on = half["on"]
+    pushed = lambda x: (x["base"] >= base) & ((x["base"] <= base) | _someone(on, base)) & ((x["base"] <= base + 1) | _someone(on, base + 1))
+    return _moved(half, lambda x: pushed(x) & (x["base"] == 3), lambda x: F.when(pushed(x) & (x["base"] < 3), x["base"] + 1), reason, noted)
+
+
+def _clause(half: Column, m: Column) -> Column:
+    """A named runner is out, scores, or stands on a base from now on."""
+    source = F.element_at(F.transform(F.array_sort(F.filter(half["on"], lambda x: x["key"] == m["key"])), lambda x: x["base"]), 1)
+    source = F.when(F.exists(half["on"], lambda x: x["key"] == m["key"]), source)
+    final = m["kind"].isin("out", "score")
+    target = F.when(m["kind"] == "remain_third", 3).otherwise(m["base"])
+    met = ~final & (m["kind"] != "remain_third") & F.exists(half["on"], lambda x: (x["base"] == target) & ~x["key"].eqNullSafe(m["key"]))
+    action = F.when(final, m["kind"]).when(m["kind"] == "advance", "advance").otherwise("remain")
+    to = F.when(m["kind"] == "score", 4).when(m["kind"] == "out", m["base"]).otherwise(target)
+
+    def settle(pair):
+        h = pair["h"]
+        on = F.when(final, _without(h["on"], m["key"])).otherwise(_with(h["on"], target, m["runner"], m["key"]))
+        return h.withField("on", on).withField("log", F.concat(h["log"], _note(m["runner"], action, pair["source"], to)))
+
+    return _let(F.struct(F.when(met, _room(half, target, _NO_ROOM)).otherwise(half).alias("h"), source.alias("source")), settle)
+
+
+def _arrive(half: Column, m: Column) -> Column:
+    """The batter reaches a base; others make as many bases as he, if nothing else is told."""
+    first = _someone(half["on"], 1)
+    two = _moved(half, lambda x: (x["base"] == 2) | ((x["base"] == 3) & first), lambda x: F.when(x["base"] == 1, 3), _NO_RUN)
+    all_off = _moved(half, lambda x: F.lit(True), lambda x: F.lit(None).cast("int"), _NO_RUN)
+    moved = F.when(m["base"] == 1, _room(half, 1, _NO_RUN)).when(m["base"] == 2, two).otherwise(all_off)
+    return _let(moved, lambda h: h.withField(
+        "on", F.when(m["base"] < 4, _with(h["on"], m["base"], m["runner"], m["key"])).otherwise(_without(h["on"], m["key"]))
+    ).withField("runs", h["runs"] + F.when(m["base"] == 4, 1).otherwise(0)))
+
+
+def _walk(half: Column, m: Column) -> Column:
+    """Runners forced by a walk move up; a run forced in counts only where the text tells of the batter."""
+    full = _someone(half["on"], 1) & _someone(half["on"], 2) & _someone(half["on"], 3)
+    return _let(_room(half, 1, _NO_RUN, noted=False), lambda h: h.withField("runs", h["runs"] + F.when(full & m["flag"], 1).otherwise(0)))
+
+
+def _happened(half: Column, m: Column, step: int, kind, is_pa: bool, outs: Column, runs: Column) -> Column:
+    """``half`` with one more event; what happened since it was opened belongs to it."""
+    named = F.transform(F.filter(half["on"], lambda x: x["runner"] != S.PLACED_RUNNER), lambda x: F.coalesce(x["key"], F.lit("")))
+    event = F.struct(
+        m["row_no"], F.lit(step), kind, F.lit(is_pa), m["runner"], half["outs_was"], _mask(half["was"]), _names(half["was"]), outs, _mask(half["on"]), _names(half["on"]),
+        runs, half["log"], F.size(named) - F.size(F.array_distinct(named)),
+    ).cast(_EVENT)
+    return half.withField("events", F.concat(half["events"], F.array(event))).withField("outs", outs)
+
+
+def _opened(half: Column) -> Column:
+    return half.withField("was", half["on"]).withField("outs_was", half["outs"]).withField("log", F.array().cast(_LOG)).withField("runs", F.lit(0))
+
+
+def _next(half: Column, m: Column) -> Column:
+    told = lambda action: F.size(F.filter(half["log"], lambda a: a["action"] == action))
+    swapped = F.transform(half["on"], lambda x: F.when(x["key"] == m["kind"], F.struct(x["base"].alias("base"), m["runner"].alias("runner"), m["key"].alias("key"))).otherwise(x)).cast(_ON)
+    capped = lambda outs: F.least(F.lit(3), half["outs"] + outs)
+    over = m["flag"] & (half["outs"] >= 3)
+    return (
+        F.when(m["what"] == "outs", half.withField("outs", m["base"])).when(m["what"] == "pinch", half.withField("on", swapped))
+        .when(m["what"] == "open", _opened(half)).when(m["what"] == "clause", _clause(half, m)).when(m["what"] == "walk", _walk(half, m))
+        .when(m["what"] == "arrive", _arrive(half, m))
+        .when(m["what"] == "runner event", _happened(half, m, 0, m["kind"], False, capped(told("out")), told("score")))
+        .when(m["what"] == "end", F.when(over, half).otherwise(_let(_opened(half), lambda h: _happened(h, m, 1, F.lit("runner_out"), False, F.lit(3), F.lit(0)))))
+        .otherwise(_happened(half, m, 1, m["kind"], True, capped(F.greatest(told("out"), m["base"])), told("score") + half["runs"]))
+    ).cast(_HALF)
 
 
 def read_rows(rows: DataFrame) -> DataFrame:
@@ -326,19 +316,22 @@ def read_rows(rows: DataFrame) -> DataFrame:
     })
 
 
-_FOLD_INPUT = (
-    "canonical_id", "half_index", "inning", "row_no", "batter", "ended", "runner_type", "play_type", "runner_clauses", "play_clauses", "pinch",
-    "destination", "play_outs", "feed_outs",
-)
-
-
 def fold_states(typed: DataFrame) -> DataFrame:
-    """Base-out states. Half-innings are spread by hash and sorted; tasks stream over them, so
-    neither a game nor a half-inning has to fit in memory."""
-    spark = typed.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = typed.where(F.col("half_index") >= 0).select(*_FOLD_INPUT).repartition(tasks, "canonical_id", "half_index")
-    return rows.sortWithinPartitions("canonical_id", "half_index", "row_no").mapInArrow(fold_batches, FOLDED)
+    """Base-out states: the moments of a half-inning folded in order.
+
+    A group is one half-inning, so it holds some dozens of rows whatever the size of the data.
+    """
+    names = ("row_no", "batter", "ended", "runner_type", "play_type", "runner_clauses", "play_clauses", "pinch", "destination", "play_outs", "feed_outs")
+    rows = typed.where(F.col("half_index") >= 0).select("canonical_id", "half_index", "inning", "row_no", moments({n: F.col(n) for n in names}).alias("m"))
+    halves = rows.groupBy("canonical_id", "half_index").agg(F.min("inning").alias("inning"), F.sort_array(F.collect_list(F.struct("row_no", "m"))).alias("rows"))
+    placed = F.array(F.struct(F.lit(2), F.lit(S.PLACED_RUNNER), F.lit(""))).cast(_ON)
+    start = F.struct(
+        F.when(F.col("inning") >= 8, placed).otherwise(F.array().cast(_ON)), F.lit(0), F.array().cast(_ON), F.lit(0), F.array().cast(_LOG), F.lit(0),
+        F.array().cast(f"array<{_EVENT}>"),
+    ).cast(_HALF)
+    happened = F.flatten(F.transform("rows", lambda r: r["m"]))
+    folded = halves.select("canonical_id", F.explode(F.aggregate(happened, start, _next)["events"]).alias("e"))
+    return folded.select("canonical_id", "e.*")
 
 
 def normalize_games(raw: DataFrame, hitters: DataFrame, staffs: DataFrame, games: DataFrame) -> DataFrame:
@@ -435,7 +428,11 @@ def box_line_differences(events: DataFrame, box: DataFrame) -> DataFrame:
 
 # --- pitcher attribution -----------------------------------------------------------------
 
-ATTRIBUTED = "canonical_id string, team string, block int, pitcher string, ambiguous boolean, method string, optimal_paths long"
+ATTRIBUTED = "canonical_id string, team string, block int, pitcher string, ambiguous boolean, method string, optimal_paths string"
+
+
+def _key(name: str | None) -> str:
+    return "".join(c for c in (name or "").lower() if c.isascii() and c.isalnum())
 
 
 def assign_pitchers(game: dict) -> list[dict]:
@@ -443,7 +440,8 @@ def assign_pitchers(game: dict) -> list[dict]:
 
     A change costs 10, a disagreement with a hint 2 and with the earlier value 1; a pitcher
     named in the text is binding. Forward and backward costs give the best cost, the number of
-    best assignments and the possible pitchers of every block without listing assignments.
+    best assignments (as text, as it has no bound) and the possible pitchers of every block
+    without listing assignments.
     """
     names, target = [p["player"] for p in game["box"]], tuple(p["outs"] for p in game["box"])
     rows = game["blocks"]
@@ -492,7 +490,7 @@ def assign_pitchers(game: dict) -> list[dict]:
         {
             "canonical_id": game["canonical_id"], "team": game["team"], "block": row["block"], "pitcher": names[chosen], "ambiguous": len(open_to) > 1,
             "method": "explicit_play_text" if row["explicit"] else "boxscore_constrained_tied" if len(open_to) > 1 else "boxscore_constrained_unique",
-            "optimal_paths": ways,
+            "optimal_paths": str(ways),
         }
         for row, chosen, open_to in zip(rows, path, possible)
     ]
@@ -500,7 +498,7 @@ def assign_pitchers(game: dict) -> list[dict]:
 
 _ATTRIBUTED_ARROW = pa.schema([
     ("canonical_id", pa.string()), ("team", pa.string()), ("block", pa.int32()), ("pitcher", pa.string()), ("ambiguous", pa.bool_()), ("method", pa.string()),
-    ("optimal_paths", pa.int64()),
+    ("optimal_paths", pa.string()),
 ])
 
 
@@ -583,16 +581,16 @@ def best_copy(copies: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def schema_inventory(docs: DataFrame, text: str, depth: int = 3) -> DataFrame:
-    """Every JSON path down to ``depth`` with its types and how often each occurs."""
+def schema_inventory(docs: DataFrame, text: str) -> DataFrame:
+    """Every JSON path with its types and how often each occurs, level by level down to the last."""
     level = docs.select(F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where(F.col("v").isNotNull())
-    seen = level.select("path", F.schema_of_variant("v").alias("type"))
-    spark = docs.sparkSession
-    for _ in range(depth):
-        level = spark.sql(
+    kind = F.regexp_extract(F.schema_of_variant("v"), r"^([A-Z]+)", 1)
+    seen, spark = None, docs.sparkSession
+    while seen is None or not level.isEmpty():
+        here = level.groupBy("path", kind.alias("type")).agg(F.count("*").alias("values"))
+        seen = here if seen is None else seen.unionByName(here)
+        level = cut_lineage(spark.sql(
             "select concat(path, case when e.key is null then '[]' else concat('.', e.key) end) as path, e.value as v "
             "from {level}, lateral variant_explode(v) e", level=level,
-        )
-        seen = seen.unionByName(level.select("path", F.schema_of_variant("v").alias("type")))
-    kind = F.regexp_extract("type", r"^([A-Z]+)", 1)
-    return seen.select("path", kind.alias("type")).groupBy("path", "type").agg(F.count("*").alias("values"))
+        ))
+    return seen.groupBy("path", "type").agg(F.sum("values").alias("values"))
