@@ -7,21 +7,6 @@ from pyspark.sql import functions as F
 
 from basepaths.session import cut_lineage
 
-BUCKETS = 1024
-
-
-def dense_index(df: DataFrame, key: str, output: str, buckets: int = BUCKETS) -> DataFrame:
-    """Number unique ``key`` values 0..n-1: hash bucket offsets plus the place in the bucket."""
-    placed = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket, at most `buckets` rows
-    offsets = placed.groupBy("_b").agg(F.count("*").alias("_c")).select(
-        "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o")
-    )
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return placed.join(F.broadcast(offsets), "_b").withColumn(output, F.col("_o") + inside - 1).drop("_b", "_o")
-
-
 def ordered_number(df: DataFrame, keys: list[str], order: list[Column], output: str, tasks: int | None = None) -> DataFrame:
     """``row_number`` per ``keys`` by ``order``, exact for pools of any size.
 

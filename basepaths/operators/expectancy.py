@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basepaths.functions.ranking import dense_index
+from basepaths.functions.ranking import ordered_number
 
 PRIOR = 20.0
 
@@ -136,7 +136,8 @@ def bootstrap_re24(
     the work is replicates x games and spread over all tasks.
     """
     sums = state_sums(annotated, "canonical_id")
-    games = dense_index(annotated.select("canonical_id").distinct(), "canonical_id", "game_no")
+    named = annotated.select(F.lit(0).alias("_all"), "canonical_id").distinct()
+    games = ordered_number(named, ["_all"], [F.col("canonical_id")], "place").select("canonical_id", (F.col("place") - 1).cast("long").alias("game_no"))
     total = games.agg(F.count("*").alias("n")).scalar()
     draws = (
         games.select("game_no", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))

@@ -1,11 +1,11 @@
 """Least squares with batter and pitcher effects and game-clustered errors.
 
 Players are never expanded into dummy columns. Both effects are absorbed: every variable is
-reduced to what batter and pitcher means cannot explain, for small leagues by one direct solve
-and otherwise by alternately removing the two sets of means. The means only need sums per (batter, pitcher), so the iterations run on that small
-table; the plate appearances are read once before and once after. By the Frisch-Waugh-Lovell
-theorem coefficients, residuals and the clustered sandwich of the named terms equal those of
-the full dummy regression, for any number of players.
+reduced to what batter and pitcher means cannot explain. That takes the solution of the normal
+equations of the effects, found by conjugate gradients for all variables at once on the small
+table of (batter, pitcher) sums; the plate appearances are read once before and once after. By
+the Frisch-Waugh-Lovell theorem coefficients, residuals and the clustered sandwich of the named
+terms equal those of the full dummy regression, for any number of players.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basepaths.functions.graph import components
 from basepaths.session import cut_lineage
 
 
@@ -38,10 +39,10 @@ def exposure_terms(workload: bool, late_season: int = 2026) -> dict[str, Column]
 OUTCOMES = {"run_value": "run_value", "wOBA_value": "wOBA_num_value", "on_base": "OBP_num_value"}
 
 
-def model_rows(pas: DataFrame, outcome: str, workload: bool) -> DataFrame:
-    """Game, batter, pitcher and the variables as one array (outcome first)."""
-    kept = pas.where("wOBA_den_value > 0") if outcome == "wOBA_value" else pas
-    values = [F.col(OUTCOMES[outcome]).cast("double"), *exposure_terms(workload).values()]
+def model_rows(pas: DataFrame, outcomes: tuple[str, ...], late_season: int = 2026) -> DataFrame:
+    """Game, batter, pitcher and the variables as one array: outcomes first, then all terms."""
+    kept = pas.where("wOBA_den_value > 0") if "wOBA_value" in outcomes else pas
+    values = [*(F.col(OUTCOMES[o]).cast("double") for o in outcomes), *exposure_terms(True, late_season).values()]
     return kept.select(
         "canonical_id", F.col("batter_key").alias("b"), F.col("pitcher_key").alias("p"), F.array(*values).alias("v")
     )
@@ -55,67 +56,71 @@ def _minus(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, c: a - c)
 
 
-def absorb(rows: DataFrame, width: int, tolerance: float = 1e-11, rounds: int = 400, batch: int = 2) -> DataFrame:
+def _plus(left: Column, right: Column, factor: Column) -> Column:
+    """``left`` + ``factor`` x ``right``; all three are arrays."""
+    return F.zip_with(left, F.zip_with(factor, right, lambda f, r: f * r), lambda x, y: x + y)
+
+
+def absorb(rows: DataFrame, width: int, tolerance: float = 1e-11) -> DataFrame:
     """Batter and pitcher effect of every variable: cells with arrays ``eb`` and ``ep``.
 
-    Every ``batch`` rounds the cells are written to the shared folder, which keeps the plan
-    short and lets the largest change be read back; only that number reaches the driver.
+    Pitcher effects are eliminated; what is left is solved for the batters, scaled by their
+    counts. A step reads the cells twice, is written to the shared folder, and sends two
+    numbers for each variable to the driver. The only stop is the tolerance, relative to
+    the start; as many steps as there are batters would solve the equations exactly.
     """
+    cells = cut_lineage(rows.groupBy("b", "p").agg(F.count("*").cast("double").alias("n"), _sums(width, "v").alias("s")))
+    pitchers = cut_lineage(cells.groupBy("p").agg(F.sum("n").alias("np"), _sums(width, "s").alias("sp")))
+    weighed = cut_lineage(cells.select("b", "p", "n").join(pitchers.select("p", "np"), "p"))
+
+    def across(table: DataFrame, value: str, out: str) -> DataFrame:
+        """Per batter: the pitchers' means of ``value``, each as often as they met."""
+        scaled = weighed.join(table.select("b", F.col(value).alias("_x")), "b").withColumn("_y", F.transform("_x", lambda x: x * F.col("n") / F.col("np")))
+        means = scaled.groupBy("p").agg(_sums(width, "_y").alias("_m"))
+        met = weighed.join(means, "p").withColumn("_z", F.transform("_m", lambda m: m * F.col("n")))
+        return met.groupBy(F.col("b").alias("_b")).agg(_sums(width, "_z").alias(out))
+
+    def dots(table: DataFrame, left: str, right: str) -> np.ndarray:
+        products = table.select(F.zip_with(left, right, lambda x, y: x * y).alias("d"))
+        return np.array(products.agg(_sums(width, "d").alias("d")).first()["d"])
+
     zeros = F.array(*[F.lit(0.0)] * width)
-    cells = rows.groupBy("b", "p").agg(F.count("*").alias("n"), _sums(width, "v").alias("s"))
-    cells = cut_lineage(cells.withColumns({"eb": zeros, "ep": zeros}))
-
-    def step(table: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        left = F.zip_with("s", other, lambda s, e: s - F.col("n") * e)
-        sums = table.select(key, "n", left.alias("r")).groupBy(key).agg(F.sum("n").alias("_n"), _sums(width, "r").alias("_r"))
-        means = sums.select(key, F.transform("_r", lambda r: r / F.col("_n")).alias("_new"))
-        return table.join(means, key).withColumn("_old", F.col(own)).withColumn(own, F.col("_new")).drop("_new")
-
-    done = 0
-    while done < rounds:
-        for _ in range(batch):
-            cells = step(cells, "b", "eb", "ep").drop("_old")
-            cells = step(cells, "p", "ep", "eb")
-            change = F.array_max(F.zip_with("ep", "_old", lambda a, c: F.abs(a - c)))
-            last = cells.withColumn("_change", change)
-            cells = cells.drop("_old")
-        done += batch
-        cells = cut_lineage(last.drop("_old"))
-        if cells.agg(F.max("_change")).first()[0] < tolerance:
-            break
-        cells = cells.drop("_change")
-    else:
-        raise RuntimeError("player effects did not converge")
-    return cells.select("b", "p", "eb", "ep")
-
-
-DIRECT_PLAYERS = 2000
-
-
-def solve_small(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """Effects by one direct solve, only for at most ``DIRECT_PLAYERS`` players in all.
-
-    The caller has checked the bound, so at most a quarter of its square, one million cells,
-    reach the driver. Also returns the rank of the player effects.
-    """
-    sums = rows.groupBy("b", "p").agg(F.count("*").alias("n"), _sums(width, "v").alias("s")).toPandas()
-    batters, bi = np.unique(sums["b"].to_numpy(str), return_inverse=True)
-    pitchers, pi = np.unique(sums["p"].to_numpy(str), return_inverse=True)
-    size, shift = len(batters) + len(pitchers), len(batters)
-    n, totals = sums["n"].to_numpy(float), np.stack(sums["s"].to_numpy())
-    normal, right = np.zeros((size, size)), np.zeros((size, width))
-    np.add.at(normal, (bi, bi), n)
-    np.add.at(normal, (pi + shift, pi + shift), n)
-    np.add.at(normal, (bi, pi + shift), n)
-    np.add.at(normal, (pi + shift, bi), n)
-    np.add.at(right, bi, totals)
-    np.add.at(right, pi + shift, totals)
-    effects, _, rank, _ = np.linalg.lstsq(normal, right, rcond=1e-11)
-    spark = rows.sparkSession
-    left = spark.createDataFrame([(str(k), e.tolist()) for k, e in zip(batters, effects[:shift])], "b string, eb array<double>")
-    other = spark.createDataFrame([(str(k), e.tolist()) for k, e in zip(pitchers, effects[shift:])], "p string, ep array<double>")
-    pairs = rows.select("b", "p").distinct()
-    return pairs.join(F.broadcast(left), "b").join(F.broadcast(other), "p").select("b", "p", "eb", "ep"), int(rank)
+    explained = cells.join(pitchers.select("p", "np", "sp"), "p").withColumn("_e", F.transform("sp", lambda x: x * F.col("n") / F.col("np")))
+    right = explained.groupBy("b").agg(F.sum("n").alias("nb"), _sums(width, "s").alias("_s"), _sums(width, "_e").alias("_t"))
+    state = right.select("b", "nb", zeros.alias("x"), _minus(F.col("_s"), F.col("_t")).alias("r"))
+    state = state.withColumn("z", F.transform("r", lambda x: x / F.col("nb")))
+    state = cut_lineage(state.withColumn("d", F.col("z")))
+    size = dots(state, "r", "z")
+    small, steps, most = size * tolerance**2 + 1e-300, 0, state.count() + 50
+    while (size > small).any():
+        if steps > most:
+            raise RuntimeError("rounding keeps the player effects from the tolerance")
+        ahead = state.join(across(state, "d", "_c"), F.col("b") == F.col("_b")).drop("_b")
+        ahead = cut_lineage(ahead.withColumn("q", F.zip_with(F.transform("d", lambda x: x * F.col("nb")), "_c", lambda x, y: x - y)).drop("_c"))
+        curve = dots(ahead, "d", "q")
+        step = np.where((size > small) & (curve > 0), size / np.where(curve > 0, curve, 1.0), 0.0)
+        moved = ahead.withColumn("x", _plus(F.col("x"), F.col("d"), _literal(step))).withColumn("r", _plus(F.col("r"), F.col("q"), _literal(-step)))
+        moved = moved.withColumn("z", F.transform("r", lambda x: x / F.col("nb")))
+        after = dots(moved, "r", "z")
+        keep = np.where(size > small, after / np.where(size > 0, size, 1.0), 0.0)
+        state = cut_lineage(moved.withColumn("d", _plus(F.col("z"), F.col("d"), _literal(keep))).select("b", "nb", "x", "r", "z", "d"))
+        size, steps = np.where(step > 0, after, 0.0), steps + 1
+    found = cells.join(state.select("b", F.col("x").alias("eb")), "b")
+    left = found.withColumn("_r", F.zip_with("s", "eb", lambda s, e: s - F.col("n") * e))
+    effects = left.groupBy("p").agg(F.sum("n").alias("_n"), _sums(width, "_r").alias("_r")).select("p", F.transform("_r", lambda r: r / F.col("_n")).alias("ep"))
+    return cut_lineage(found.select("b", "p", "eb").join(effects, "p").select("b", "p", "eb", "ep"))
+
+
+def _literal(values: np.ndarray) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def player_rank(cells: DataFrame) -> int:
+    """Rank of the player dummies: players less the connected parts of who met whom."""
+    links = cells.select(F.concat(F.lit("b "), "b").alias("a"), F.concat(F.lit("p "), "p").alias("b"))
+    parts = components(links)
+    row = parts.agg(F.count("*").alias("players"), F.count_distinct("component").alias("parts")).first()
+    return row["players"] - row["parts"]
 
 
 def within(rows: DataFrame, effects: DataFrame) -> DataFrame:
@@ -126,56 +131,62 @@ def within(rows: DataFrame, effects: DataFrame) -> DataFrame:
     )
 
 
-def gram(rows: DataFrame, width: int) -> DataFrame:
-    """One row: n, and the products of all variables as one flat array (partial sums per task)."""
+def game_products(rows: DataFrame, width: int) -> DataFrame:
+    """Per game: plate appearances and the sums of all products of two variables."""
     products = [F.sum(F.col("w")[i] * F.col("w")[j]) for i in range(width) for j in range(width)]
-    return rows.agg(F.count("*").alias("n"), F.array(*products).alias("g"))
+    return rows.groupBy("canonical_id").agg(F.count("*").alias("n"), F.array(*products).alias("g"))
 
 
-def fit_fixed_effects(pas: DataFrame, outcome: str, workload: bool, direct_players: int = DIRECT_PLAYERS) -> DataFrame:
-    """Coefficients, clustered standard errors and intervals of the exposure terms.
+SPECS = {"total_exposure_association": False, "workload_decomposition": True}
+POPULATIONS = (("run_value", "on_base"), ("wOBA_value",))
+FITTED = (
+    "outcome string, model_spec string, n long, games long, batter_fixed_effects long, pitcher_fixed_effects long, "
+    "design_columns long, design_rank long, term string, estimate double, standard_error double, ci_95_low double, ci_95_high double"
+)
 
-    Up to ``direct_players`` players the effects come from one small solve; beyond that from
-    the distributed iteration, where ``design_rank`` stays NULL.
+
+def fit_fixed_effects(pas: DataFrame, outcomes: tuple[str, ...] = tuple(OUTCOMES), specs: tuple[str, ...] = tuple(SPECS), late_season: int = 2026) -> DataFrame:
+    """Coefficients, clustered standard errors and intervals of the exposure terms of every outcome and spec.
+
+    Outcomes of the same plate appearances share all work: one solution of the player effects
+    and one table of products per game; a fit is small algebra on sums of these.
     """
-    spark = pas.sparkSession
-    names = list(exposure_terms(workload))
-    width = len(names) + 1
-    rows = model_rows(pas, outcome, workload)
-    players = rows.agg(F.count_distinct("b").alias("b"), F.count_distinct("p").alias("p")).first()
-    if players["b"] + players["p"] <= direct_players:
-        effects, rank = solve_small(rows, width)
-    else:
-        effects, rank = absorb(rows, width), None
-    reduced = cut_lineage(within(rows, effects))
-    total = gram(reduced, width).first()
-    products = np.array(total["g"]).reshape(width, width)
-    inner, cross = products[1:, 1:], products[1:, 0]
-    bread = np.linalg.pinv(inner, rcond=1e-10)
-    beta = bread @ cross
-    estimates = F.array(*[F.lit(float(x)) for x in beta])
-    residual = F.col("w")[0] - F.aggregate(
-        F.zip_with(F.slice("w", 2, width - 1), estimates, lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x
-    )
-    scores = reduced.withColumn("e", residual).groupBy("canonical_id").agg(
-        F.array(*[F.sum(F.col("w")[i] * F.col("e")) for i in range(1, width)]).alias("w")
-    )
-    clusters = gram(scores, width - 1).first()
-    meat = np.array(clusters["g"]).reshape(width - 1, width - 1)
-    covariance = bread @ meat @ bread
-    if clusters["n"] > 1:
-        covariance = covariance * clusters["n"] / (clusters["n"] - 1)
-    errors = np.sqrt(np.maximum(0.0, np.diag(covariance)))
-    if rank is not None:
-        rank += int(np.linalg.matrix_rank(inner, tol=1e-8 * max(1.0, np.abs(inner).max()), hermitian=True))
-    spec = "workload_decomposition" if workload else "total_exposure_association"
-    table = [
-        (outcome, spec, total["n"], clusters["n"], players["b"], players["p"], width + players["b"] + players["p"] - 2, rank,
-         name, float(b), float(se), float(b - 1.96 * se), float(b + 1.96 * se))
-        for name, b, se in zip(names, beta, errors)
-    ]
-    return spark.createDataFrame(
-        table,
-        "outcome string, model_spec string, n long, games long, batter_fixed_effects long, pitcher_fixed_effects long, "
-        "design_columns long, design_rank long, term string, estimate double, standard_error double, ci_95_low double, ci_95_high double",
-    )
+    every = list(exposure_terms(True, late_season))
+    table = []
+    for population in POPULATIONS:
+        asked = tuple(o for o in population if o in outcomes)
+        if not asked:
+            continue
+        width = len(asked) + len(every)
+        rows = model_rows(pas, asked, late_season)
+        effects = absorb(rows, width)
+        games = cut_lineage(game_products(within(rows, effects), width))
+        sums = games.agg(F.sum("n").alias("n"), F.count("*").alias("games"), _sums(width * width, "g").alias("g")).first()
+        products = np.array(sums["g"]).reshape(width, width)
+        players = effects.agg(F.count_distinct("b").alias("b"), F.count_distinct("p").alias("p")).first()
+        rank = player_rank(effects)
+        for spec in specs:
+            names = list(exposure_terms(SPECS[spec], late_season))
+            at = [len(asked) + every.index(n) for n in names]
+            for k, outcome in enumerate(asked):
+                inner = products[np.ix_(at, at)]
+                bread = np.linalg.pinv(inner, rcond=1e-10)
+                beta = bread @ products[at, k]
+                # a game's score: its products with the outcome less those the fit explains
+                score = F.array(*[
+                    F.col("g")[i * width + k] - sum((F.col("g")[i * width + j] * F.lit(float(x)) for j, x in zip(at, beta)), F.lit(0.0)) for i in at
+                ])
+                size = len(at)
+                outer = [F.sum(F.col("s")[i] * F.col("s")[j]) for i in range(size) for j in range(size)]
+                meat = np.array(games.select(score.alias("s")).agg(F.array(*outer).alias("m")).first()["m"]).reshape(size, size)
+                covariance = bread @ meat @ bread
+                if sums["games"] > 1:
+                    covariance = covariance * sums["games"] / (sums["games"] - 1)
+                errors = np.sqrt(np.maximum(0.0, np.diag(covariance)))
+                own = int(np.linalg.matrix_rank(inner, tol=1e-8 * max(1.0, np.abs(inner).max()), hermitian=True))
+                table += [
+                    (outcome, spec, sums["n"], sums["games"], players["b"], players["p"], size + 1 + players["b"] + players["p"] - 2, rank + own,
+                     name, float(b), float(se), float(b - 1.96 * se), float(b + 1.96 * se))
+                    for name, b, se in zip(names, beta, errors)
+                ]
+    return pas.sparkSession.createDataFrame(table, FITTED)

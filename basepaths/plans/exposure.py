@@ -173,14 +173,18 @@ def tto8_penalties(spark, sf):
     return E.pitcher_penalties(I.plate_appearances(spark, sf))
 
 
+def fits(spark, sf):
+    return I.stage(spark, sf, "fits", lambda s, d: R.fit_fixed_effects(I.plate_appearances(s, d)))
+
+
 @query("tto9_fixed_effect_model")
 def tto9(spark, sf):
-    return R.fit_fixed_effects(I.plate_appearances(spark, sf), "run_value", workload=False)
+    return fits(spark, sf).where("model_spec = 'total_exposure_association'")
 
 
 @query("tto9_workload_model")
 def tto9_workload(spark, sf):
-    return R.fit_fixed_effects(I.plate_appearances(spark, sf), "wOBA_value", workload=True)
+    return fits(spark, sf).where("model_spec = 'workload_decomposition'")
 
 
 @query("tto10_dataset_checks", """

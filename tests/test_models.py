@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basepaths.functions.lines import game_sums, slash_line, stat_fields
-from basepaths.functions.ranking import dense_index, ordered_number
+from basepaths.functions.ranking import ordered_number
 from basepaths.operators import contests as C
 from basepaths.operators import pitching as P
 from basepaths.operators import positional as O
@@ -24,11 +24,6 @@ def test_ordered_number_with_a_dominant_tie(spark):
     assert got == want
 
 
-def test_dense_index(spark):
-    rows = spark.range(500).select(F.concat(F.lit("g"), F.col("id")).alias("key"))
-    assert sorted(r.n for r in dense_index(rows, "key", "n", 16).collect()) == list(range(500))
-
-
 def test_slash_line(spark):
     pas = spark.createDataFrame([("g1", "home_run", 1.0), ("g2", "out", -0.5)], "canonical_id string, event_type string, run_value double")
     pas = pas.withColumns(stat_fields()).withColumn("wOBA_num_value", F.when(F.col("event_type") == "home_run", 2.0).otherwise(0.0)).withColumn("k", F.lit(1))
@@ -59,13 +54,19 @@ def pas(spark, sf_dir):
     return I.plate_appearances(spark, sf_dir)
 
 
-@pytest.mark.parametrize("outcome,workload", [("run_value", False), ("wOBA_value", True)])
-def test_regression_equals_dummies(spark, pas, outcome, workload):
+@pytest.fixture(scope="module")
+def fitted(pas):
+    return R.fit_fixed_effects(pas).collect()
+
+
+@pytest.mark.parametrize("outcome", list(R.OUTCOMES))
+@pytest.mark.parametrize("spec", list(R.SPECS))
+def test_regression_equals_dummies(spark, pas, fitted, outcome, spec):
     """The absorbed model equals ordinary least squares with every dummy written out."""
-    rows = R.model_rows(pas, outcome, workload).toPandas()
-    names = list(R.exposure_terms(workload))
+    rows = R.model_rows(pas, (outcome,)).toPandas()
+    every, names = list(R.exposure_terms(True)), list(R.exposure_terms(R.SPECS[spec]))
     values = np.stack(rows["v"].to_numpy())
-    y, terms = values[:, 0], values[:, 1:]
+    y, terms = values[:, 0], values[:, [1 + every.index(n) for n in names]]
     dummies = [np.ones((len(y), 1)), terms]
     for column in ("b", "p"):
         levels = sorted(rows[column].unique())[1:]
@@ -77,7 +78,7 @@ def test_regression_equals_dummies(spark, pas, outcome, workload):
     scores = [x[games == g].T @ residual[games == g] for g in np.unique(games)]
     covariance = bread @ sum(np.outer(s, s) for s in scores) @ bread * len(scores) / (len(scores) - 1)
     errors = np.sqrt(np.maximum(0.0, np.diag(covariance)))
-    got = {r.term: r for r in R.fit_fixed_effects(pas, outcome, workload).collect()}
+    got = {r.term: r for r in fitted if (r.outcome, r.model_spec) == (outcome, spec)}
     for i, name in enumerate(names, 1):
         assert got[name].estimate == pytest.approx(beta[i], abs=1e-6)
         assert got[name].standard_error == pytest.approx(errors[i], abs=1e-6)
@@ -85,16 +86,18 @@ def test_regression_equals_dummies(spark, pas, outcome, workload):
     assert first.design_columns == x.shape[1] and first.design_rank == np.linalg.matrix_rank(x)
 
 
-def test_iterated_effects_equal_the_direct_ones(spark):
+def test_absorbed_effects_leave_what_dummies_leave(spark):
+    """Two parts that never met, and players met once."""
     people = [(f"g{i % 7}", f"b{(i * 5) % 6}", f"p{(i * 3) % 4}", [float((i * 11) % 13), float(i % 3 == 0)]) for i in range(160)]
+    people += [("g1", f"c{i % 3}", f"q{i % 2}", [float(i), 1.0]) for i in range(9)] + [("g2", "b0", "once", [5.0, 0.0])]
     rows = spark.createDataFrame(people, "canonical_id string, b string, p string, v array<double>")
-    direct, _ = R.solve_small(rows, 2)
-    iterated = R.absorb(rows, 2)
-
-    def reduced(effects):
-        return sorted((r.canonical_id, [round(x, 7) + 0.0 for x in r.w]) for r in R.within(rows, effects).collect())
-
-    assert reduced(direct) == reduced(iterated)
+    effects = R.absorb(rows, 2)
+    x = np.hstack([np.array([[r[k] == v for v in sorted({q[k] for q in people})] for r in people], float) for k in (1, 2)])
+    y = np.array([r[3] for r in people])
+    left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    got = sorted((r.canonical_id, *[round(w, 6) + 0.0 for w in r.w]) for r in R.within(rows, effects).collect())
+    assert got == sorted((r[0], *[round(w, 6) + 0.0 for w in v]) for r, v in zip(people, left.tolist()))
+    assert R.player_rank(effects) == np.linalg.matrix_rank(x)
 
 
 def test_doubleheader_pairs(spark):
