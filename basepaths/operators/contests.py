@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basepaths.functions.identity import person_key
+from basepaths.functions.identity import literal_map, person_key
 from basepaths.functions.lines import count_if
 
 
@@ -155,14 +155,21 @@ def capture_worklist(contests: DataFrame, captured: DataFrame, first: int) -> Da
 
 # --- official schedule -------------------------------------------------------------------
 
-def completed_games(games: DataFrame, season_ids: dict[int, int] | None = None) -> DataFrame:
-    """Completed games whose season id belongs to their season."""
-    # fixed values: season ids of the official feed
-    season_ids = season_ids or {2025: 270, 2026: 369}
-    legal = F.lit(False)
-    for season, season_id in season_ids.items():
-        legal = legal | ((F.col("season") == season) & (F.col("season_id") == season_id))
-    return games.where((F.col("record_status") == "Completed") & legal)
+# fixed values: season ids of the official feed
+SEASON_IDS = {2025: 270, 2026: 369}
+
+
+def season_of(season_id: Column, season_ids: dict[int, int] = SEASON_IDS) -> Column:
+    """Season of a season id; an unknown id fails the job."""
+    season = F.try_element_at(literal_map({v: k for k, v in season_ids.items()}), season_id.cast("int"))
+    return F.coalesce(season, F.raise_error(F.concat(F.lit("unknown season id "), F.coalesce(season_id.cast("string"), F.lit("null")))).cast("int"))
+
+
+def completed_games(games: DataFrame, season_ids: dict[int, int] = SEASON_IDS) -> DataFrame:
+    """Completed games whose season id belongs to their season; a season without an id fails the job."""
+    legal = F.try_element_at(literal_map(season_ids), F.col("season").cast("int"))
+    known = F.coalesce(legal, F.raise_error(F.concat(F.lit("no season id for "), F.coalesce(F.col("season").cast("string"), F.lit("null")))).cast("int"))
+    return games.where((F.col("record_status") == "Completed") & (F.col("season_id") == known))
 
 
 def official_contests(competitors: DataFrame, prefix: str = "official") -> DataFrame:

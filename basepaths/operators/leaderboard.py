@@ -30,7 +30,9 @@ def leaderboard(
     """Players of a season over the playing-time threshold, filtered and sorted; ties by name."""
     threshold = "IP" if role == "pitching" else "PA"
     columns = ["player", "teams", *GROUPS[(role, group)].split()]
-    sort = sort if sort in columns else ("pitcher_war" if role == "pitching" else "position_war")
+    sort = sort or ("pitcher_war" if role == "pitching" else "position_war")
+    if sort not in columns and sort not in ("pitcher_war", "position_war"):
+        raise ValueError(f"no column {sort} to sort by in {columns}")
     kept = rows.where((F.col("season") == season) & (F.col(threshold) > 0) & (F.col(threshold) >= minimum))
     if team:
         kept = kept.where(F.array_contains("teams", team))

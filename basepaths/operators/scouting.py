@@ -64,12 +64,13 @@ def combine_seasons(rows: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy("player_key").agg(*aggregates, *rates)
 
 
+# fixed values: field names of the official season lines
 OFFICIAL_BATTING = (
     "plateAppearances", "atBat", "hits", "doubles", "triples", "homeRuns", "baseonBalls", "hitByPitch", "strikeOuts",
     "stolenBasesAttempts", "stolenBases", "caughtStealing", "sacrificeFly",
 )
 OFFICIAL_PITCHING = (
-    "appearances", "gamesStarted", "hitsAllowed", "baseOnBalls", "pitchingStrikeOuts", "numberOfPitches", "strikes", "wins",
+    "appearances", "gamesStarted", "hitsAllowed", "baseOnBalls", "strikeOuts", "numberOfPitches", "strikes", "wins",
     "losses", "earnedRuns",
 )
 
@@ -132,7 +133,7 @@ def pitching_line(advanced: DataFrame, official: DataFrame, pitched: DataFrame)
     lines = rows.select(
         "player_key", innings.alias("IP"),
         official_or("hitsAllowed", "H_allowed").alias("H"), official_or("baseOnBalls", "BB_allowed").alias("BB"),
-        official_or("pitchingStrikeOuts", "SO_pitching").alias("SO"), official_or("appearances", "G").alias("App"),
+        official_or("strikeOuts", "SO_pitching").alias("SO"), official_or("appearances", "G").alias("App"),
         official_or("gamesStarted", "GS").alias("GS"), official_or("numberOfPitches", "pitches").alias("Pitches"),
         official_or("strikes", "strikes_seen").alias("Strikes"), zero("wins").alias("W"), zero("losses").alias("L"),
         F.when(F.col("_has").isNotNull(), F.col("earnedRunAverage")).otherwise(F.col("ERA")).alias("ERA"), F.col("whip").alias("_whip"),

@@ -89,7 +89,7 @@ def src2(spark, sf):
 @query("src3_completed_schedule", """
 select season, cast(game_id as bigint) as game_id, home_score, away_score from fx_official where record_status = 'Completed'""")
 def src3(spark, sf):
-    season = F.when(F.col("seasonId") == 270, 2025).otherwise(2026)
+    season = C.season_of(F.col("seasonId"))
     games = schedule(spark, sf).select(
         season.alias("season"), F.col("gameId").alias("game_id"), F.col("seasonId").alias("season_id"), F.col("recordStatus").alias("record_status"),
         "gameDateIso", F.col("homeTeamScore").alias("home_score"), F.col("awayTeamScore").alias("away_score"),

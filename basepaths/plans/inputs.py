@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basepaths.functions.lines import stat_fields  # noqa: F401 - re-exported for the plans
 from basepaths.operators import contests, expectancy, exposure, value
 from basepaths.session import fresh_path
 from basepaths.sources import fixtures

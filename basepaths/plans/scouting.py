@@ -142,7 +142,7 @@ def official_pitching(spark, sf):
     innings = F.floor(F.col("pitching_outs") / 3.0) + (F.col("pitching_outs") % 3) / 10.0
     return box.select(
         "season", "player_key", innings.alias("inningsPitched"), F.col("G").alias("appearances"), F.col("GS").alias("gamesStarted"),
-        F.col("H_allowed").alias("hitsAllowed"), F.col("BB_allowed").alias("baseOnBalls"), F.col("SO_pitching").alias("pitchingStrikeOuts"),
+        F.col("H_allowed").alias("hitsAllowed"), F.col("BB_allowed").alias("baseOnBalls"), F.col("SO_pitching").alias("strikeOuts"),
         F.col("ER").alias("earnedRuns"), *[zero.alias(c) for c in ("numberOfPitches", "strikes", "wins", "losses")],
     )
 

@@ -150,6 +150,8 @@ PHRASE_LOCATIONS = (
     ("rf line", "Right Field"), ("right field line", "Right Field"),
 )
 POSITION_ALIASES = (
+    ("1b", "First Base"), ("2b", "Second Base"), ("3b", "Third Base"), ("ss", "Shortstop"),
+    ("lf", "Left Field"), ("cf", "Center Field"), ("rf", "Right Field"), ("p", "Pitcher"), ("c", "Catcher"),
     ("pitcher", "Pitcher"), ("catcher", "Catcher"), ("first baseman", "First Base"),
     ("first base", "First Base"), ("second baseman", "Second Base"),
     ("second base", "Second Base"), ("third baseman", "Third Base"),

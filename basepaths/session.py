@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,14 +33,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in tests, a temporary folder is made.
+    A session on one machine may do without the setting and gets a temporary folder that goes
+    when the process ends; on a cluster the setting is required, as executors could not read each other's files.
     """
     global _TEST_DIR
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _TEST_DIR is None:
         _TEST_DIR = tempfile.mkdtemp(prefix="basepaths-")
+        atexit.register(shutil.rmtree, _TEST_DIR, ignore_errors=True)
     return _TEST_DIR
 
 

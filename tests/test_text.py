@@ -60,6 +60,11 @@ def test_spray(spark):
         "A bunts, pitcher B throws to first base", "A strikes out",
     ]
     assert column(spark, X.spray_location(F.col("t")), *texts) == ["Left Field", "Center Field", "Shortstop", "Left Field", "Pitcher", None]
+    short = ["A singles to lf.", "A grounds out, ss to 1b.", "A flies out to cf", "A lines out to 3b", "A doubles, relay throw to 2b, rf to c", "A bunts, p to 1b",
+             "A reaches on error by 2b", "A singles through the middle", "A pops out to c"]
+    assert column(spark, X.spray_location(F.col("t")), *short) == [
+        "Left Field", "Shortstop", "Center Field", "Third Base", "Right Field", "Pitcher", "Second Base", "Center Field", "Catcher"
+    ]
 
 
 def test_fielder(spark):
