@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basepaths.operators import exposure as E
 from basepaths.operators import scouting as S
+from basepaths.functions.lines import ratio
 from basepaths.plans import inputs as I
 from basepaths.plans import value as PV
 from basepaths.plans.registry import cte, query
@@ -308,20 +309,61 @@ def sct13(spark, sf):
     return S.qualifiers(E.with_periods(context(spark, sf)))
 
 
-METRICS = {"OPS": ("OPS", False), "BB%": ("BB_pct", False), "K%": ("K_pct", True), "HR rate": ("HR_pct", False), "Baserunning": ("br", False), "Position WAR": ("war", False)}
-
+# fixed values: metrics of the percentile cards and whether a low value is good
+HITTER_METRICS = {
+    "wOBA": ("wOBA", False), "BB%": ("BB_pct", False), "K%": ("K_pct", True), "HR rate": ("HR_pct", False), "Baserunning": ("br", False),
+    "Range": ("range_runs", False), "Arm": ("arm", False), "Position WAR": ("war", False),
+}
+PITCHER_METRICS = {
+    "ERA": ("ERA", True), "FIP": ("FIP", True), "WHIP": ("WHIP", True), "K/7": ("K7", False), "BB/7": ("BB7", True), "Pitcher WAR": ("war", False),
+}
+
+cte("hit_values", """
+select period, player_key, sum("wOBA" * "PA") / nullif(sum("PA"), 0) as "wOBA", sum(range_runs) as range_runs, sum(arm) as arm from (
+  select p.season, p.player_key, coalesce(o."wOBA", 0.0) as "wOBA", p."PA", range_runs, arm_runs + catcher_throwing_runs as arm, period
+  from position_final p left join offense o using (season, player_key) cross join lateral (select 'combined' as period union all select cast(p.season as varchar)) s) x
+group by period, player_key""")
+cte("pitch_values", """
+select period, player_key, sum("IP") as "IP", 7 * sum("ER") / sum("IP") as "ERA", sum("FIP" * "FIP_BF") / nullif(sum("FIP_BF"), 0) as "FIP",
+  sum("H_allowed" + "BB_allowed") / sum("IP") as "WHIP", 7 * sum("SO_pitching") / sum("IP") as "K7", 7 * sum("BB_allowed") / sum("IP") as "BB7", sum(pitching_war0) as war
+from (select f.*, period from pitcher_final f cross join lateral (select 'combined' as period union all select cast(season as varchar)) s) x group by period, player_key""")
 cte("metric_rows", """
-select period, player_key, metric, round(value, 6) as value, lower from (
-  select h.*, hitting_pa from hit_bats h join quals using (period)) b
-cross join lateral (select 'OPS' as metric, "OPS" as value, false as lower union all select 'BB%', "BB" / "PA", false union all select 'K%', "SO" / "PA", true
-  union all select 'HR rate', "HR" / "PA", false union all select 'Baserunning', br, false union all select 'Position WAR', war, false) m
-where "PA" >= hitting_pa""")
+select period, player_key, metric, round(coalesce(value, 0.0), 6) as value, lower from (
+  select h.*, hitting_pa, v."wOBA", v.range_runs, v.arm from hit_bats h join quals using (period) left join hit_values v using (period, player_key)) b
+cross join lateral (select 'wOBA' as metric, "wOBA" as value, false as lower union all select 'BB%', "BB" / "PA", false union all select 'K%', "SO" / "PA", true
+  union all select 'HR rate', "HR" / "PA", false union all select 'Baserunning', br, false union all select 'Range', range_runs, false
+  union all select 'Arm', arm, false union all select 'Position WAR', war, false) m
+where "PA" >= hitting_pa
+union all
+select period, player_key, metric, round(coalesce(value, 0.0), 6) as value, lower from (select p.*, pitching_ip from pitch_values p join quals using (period)) b
+cross join lateral (select 'ERA' as metric, "ERA" as value, true as lower union all select 'FIP', "FIP", true union all select 'WHIP', "WHIP", true
+  union all select 'K/7', "K7", false union all select 'BB/7', "BB7", true union all select 'Pitcher WAR', war, false) m
+where "IP" >= pitching_ip""")
+
+
+def hitter_values(spark, sf):
+    rows = E.with_periods(PV.position_stage(spark, sf))
+    return rows.groupBy("period", "player_key").agg(
+        ratio(F.sum(F.col("wOBA") * F.col("PA")), F.sum("PA")).alias("wOBA"), F.sum("range_runs").alias("range_runs"), F.sum("throwing_runs").alias("arm"),
+    )
+
+
+def pitcher_values(spark, sf):
+    rows, ip = E.with_periods(PV.pitcher_stage(spark, sf)), F.sum("IP")
+    return rows.groupBy("period", "player_key").agg(
+        ip.alias("IP"), ratio(7 * F.sum("ER"), ip).alias("ERA"), ratio(F.sum(F.col("FIP") * F.col("FIP_BF")), F.sum("FIP_BF")).alias("FIP"),
+        ratio(F.sum(F.col("H_allowed") + F.col("BB_allowed")), ip).alias("WHIP"), ratio(7 * F.sum("SO_pitching"), ip).alias("K7"),
+        ratio(7 * F.sum("BB_allowed"), ip).alias("BB7"), F.sum("pitcher_war").alias("war"),
+    )
 
 
 def metric_table(spark, sf):
-    qualified = hitters(spark, sf).join(F.broadcast(S.qualifiers(E.with_periods(context(spark, sf)))), "period").where(F.col("PA") >= F.col("hitting_pa"))
-    table = qualified.withColumns({"BB_pct": F.col("BB") / F.col("PA"), "K_pct": F.col("SO") / F.col("PA"), "HR_pct": F.col("HR") / F.col("PA")})
-    return S.unpivot_metrics(table, METRICS, "period").withColumn("value", F.round("value", 6))
+    least = F.broadcast(S.qualifiers(E.with_periods(context(spark, sf))))
+    bats = hitters(spark, sf).join(least, "period").where(F.col("PA") >= F.col("hitting_pa")).join(hitter_values(spark, sf), ["period", "player_key"], "left")
+    bats = bats.withColumns({"BB_pct": F.col("BB") / F.col("PA"), "K_pct": F.col("SO") / F.col("PA"), "HR_pct": F.col("HR") / F.col("PA")})
+    arms = pitcher_values(spark, sf).join(least, "period").where(F.col("IP") >= F.col("pitching_ip"))
+    rows = S.unpivot_metrics(bats, HITTER_METRICS, "period").unionByName(S.unpivot_metrics(arms, PITCHER_METRICS, "period"))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query("sct14_percentiles", """
