@@ -370,14 +370,13 @@ def team_summary(records: DataFrame, hitters: DataFrame, pitchers: DataFrame, ca
     )
 
 
-def team_leaders(players: DataFrame, lists: dict[str, tuple[list[Column], int]], *keys: str) -> DataFrame:
-    """Top players per team for several orderings, one pruned window per list."""
+def team_leaders(players: DataFrame, lists: dict[str, tuple], *keys: str) -> DataFrame:
+    """Top players per team for several lists of (order, size) or (order, size, who may be on it), one pruned window each."""
     out = []
-    for name, (order, size) in lists.items():
+    for name, (order, size, *allowed) in lists.items():
         window = Window.partitionBy(*keys).orderBy(*order)
-        out.append(
-            players.withColumn("place", F.row_number().over(window)).where(F.col("place") <= size).select(*keys, F.lit(name).alias("list"), "place", "player_key")
-        )
+        rows = players.where(allowed[0]) if allowed else players
+        out.append(rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= size).select(*keys, F.lit(name).alias("list"), "place", "player_key"))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

@@ -319,9 +319,11 @@ PITCHER_METRICS = {
 }
 
 cte("hit_values", """
-select period, player_key, sum("wOBA" * "PA") / nullif(sum("PA"), 0) as "wOBA", sum(range_runs) as range_runs, sum(arm) as arm from (
-  select p.season, p.player_key, coalesce(o."wOBA", 0.0) as "wOBA", p."PA", range_runs, arm_runs + catcher_throwing_runs as arm, period
-  from position_final p left join offense o using (season, player_key) cross join lateral (select 'combined' as period union all select cast(p.season as varchar)) s) x
+select period, player_key, sum("wOBA" * "PA") / nullif(sum("PA"), 0) as "wOBA", sum(range_runs) as range_runs, sum(arm) as arm,
+  cast(sum(chances) as bigint) as chances, cast(sum(attempts) as bigint) as attempts from (
+  select p.season, p.player_key, coalesce(o."wOBA", 0.0) as "wOBA", p."PA", p.range_runs, arm_runs + catcher_throwing_runs as arm,
+    coalesce(g.n - g.pitch_n, 0) as chances, coalesce(b.sb_cs_attempts, 0) as attempts, period
+  from position_final p left join offense o using (season, player_key) left join ranges g using (season, player_key) left join running b using (season, player_key) cross join lateral (select 'combined' as period union all select cast(p.season as varchar)) s) x
 group by period, player_key""")
 cte("pitch_values", """
 select period, player_key, sum("IP") as "IP", 7 * sum("ER") / sum("IP") as "ERA", sum("FIP" * "FIP_BF") / nullif(sum("FIP_BF"), 0) as "FIP",
@@ -345,6 +347,7 @@ def hitter_values(spark, sf):
     rows = E.with_periods(PV.position_stage(spark, sf))
     return rows.groupBy("period", "player_key").agg(
         ratio(F.sum(F.col("wOBA") * F.col("PA")), F.sum("PA")).alias("wOBA"), F.sum("range_runs").alias("range_runs"), F.sum("throwing_runs").alias("arm"),
+        F.sum("fielding_opportunities").alias("chances"), F.sum("sb_cs_attempts").alias("attempts"),
     )
 
 
@@ -397,19 +400,46 @@ def sct15(spark, sf):
     return team_summary(spark, sf)
 
 
+cte("leader_rows", """
+select h.period, h.team, h.player_key, h."PA", h.defensive_war, h.br, v."wOBA", coalesce(chances, 0) as chances, coalesce(extra, 0) as extra,
+  coalesce(attempts, 0) + coalesce(bunts, 0) + coalesce(infield, 0) as small
+from hit_bats h left join hit_values v using (period, player_key)
+left join (select period, batter_key as player_key, count(*) filter (where contact = 'Bunt') as bunts,
+    count(*) filter (where contact = 'Ground' and spray in ('Pitcher','Catcher','First Base','Second Base','Third Base','Shortstop')) as infield
+  from ppas group by period, batter_key) s using (period, player_key)
+left join (select period, player_key, count(*) filter (where action in ('advance','score') and coalesce(destination, 0) - start_base >= 2) as extra
+  from (select o.*, period from opportunities o cross join lateral (select 'combined' as period union all select cast(season as varchar)) z) y
+  where role = 'runner' group by period, player_key) r using (period, player_key)""")
+
+
 @query("sct16_team_leaders", """
 select period, team, list, cast(place as int) as place, player_key from (
-  select period, team, 'hitters' as list, row_number() over (partition by period, team order by round("OPS", 6) desc, "PA" desc, player_key) as place, player_key, 6 as size from hit_bats
-  union all select period, team, 'defenders_best', row_number() over (partition by period, team order by round(defensive_war, 6) desc, player_key), player_key, 4 from hit_bats
-  union all select period, team, 'defenders_worst', row_number() over (partition by period, team order by round(defensive_war, 6), player_key), player_key, 4 from hit_bats
-  union all select period, team, 'spray_overview', row_number() over (partition by period, team order by "PA" desc, player_key), player_key, 12 from hit_bats) x where place <= size""")
+  select period, team, 'hitters' as list, row_number() over (partition by period, team order by round(coalesce("wOBA", 0.0), 6) desc, "PA" desc, player_key) as place, player_key, 6 as size from leader_rows
+  union all select period, team, 'pitchers', row_number() over (partition by period, team order by round(war, 6) desc, round("IP", 6) desc, player_key), player_key, 6
+    from (select v.*, t.team from pitch_values v join (select period, player_key, max(teams) as team from (select f.*, period from pitcher_final f
+      cross join lateral (select 'combined' as period union all select cast(season as varchar)) s) x group by period, player_key) t using (period, player_key)) y
+  union all select period, team, 'small_ball', row_number() over (partition by period, team order by small desc, player_key), player_key, 6 from leader_rows
+  union all select period, team, 'baserunners', row_number() over (partition by period, team order by round(br, 6) desc, extra desc, player_key), player_key, 6 from leader_rows
+  union all select period, team, 'defenders_best', row_number() over (partition by period, team order by round(defensive_war, 6) desc, player_key), player_key, 4 from leader_rows where chances >= 10
+  union all select period, team, 'defenders_worst', row_number() over (partition by period, team order by round(defensive_war, 6), player_key), player_key, 4 from leader_rows where chances >= 10
+  union all select period, team, 'spray_overview', row_number() over (partition by period, team order by "PA" desc, player_key), player_key, 12 from leader_rows) x where place <= size""")
 def sct16(spark, sf):
-    ops, worth, key = F.round("OPS", 6), F.round("defensive_war", 6), F.col("player_key")
-    lists = {
-        "hitters": ([ops.desc(), F.desc("PA"), key], 6), "defenders_best": ([worth.desc(), key], 4), "defenders_worst": ([worth.asc(), key], 4),
-        "spray_overview": ([F.desc("PA"), key], 12),
-    }
-    return S.team_leaders(hitters(spark, sf), lists, "period", "team")
+    keys, key = ["period", "player_key"], F.col("player_key")
+    small = S.small_ball(pas(spark, sf), "period", "batter_key").select("period", F.col("batter_key").alias("player_key"), "bunts", "infield_ground_balls")
+    routes = S.running_routes(E.with_periods(I.opportunities(spark, sf)), "period", "player_key").select(*keys, "extra_bases_taken")
+    rows = hitters(spark, sf).join(hitter_values(spark, sf), keys, "left").join(small, keys, "left").join(routes, keys, "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    small_ball = none("attempts") + none("bunts") + none("infield_ground_balls")
+    worth, woba = F.round("defensive_war", 6), F.round(F.coalesce("wOBA", F.lit(0.0)), 6)
+    enough = none("chances") >= 10
+    bats = S.team_leaders(rows, {
+        "hitters": ([woba.desc(), F.desc("PA"), key], 6), "small_ball": ([small_ball.desc(), key], 6),
+        "baserunners": ([F.round("br", 6).desc(), none("extra_bases_taken").desc(), key], 6), "defenders_best": ([worth.desc(), key], 4, enough),
+        "defenders_worst": ([worth.asc(), key], 4, enough), "spray_overview": ([F.desc("PA"), key], 12),
+    }, "period", "team")
+    staff = E.with_periods(PV.pitcher_stage(spark, sf)).groupBy(*keys).agg(F.max(F.array_join("teams", "|")).alias("team"))
+    arms = pitcher_values(spark, sf).join(staff, keys)
+    return bats.unionByName(S.team_leaders(arms, {"pitchers": ([F.round("war", 6).desc(), F.round("IP", 6).desc(), key], 6)}, "period", "team"))
 
 
 @query("sct17_team_rankings", """
