@@ -6,10 +6,8 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basepaths import schema as S
 
@@ -28,20 +26,21 @@ def _accents() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+# fixed values: Latin ligatures and the letters they stand for
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+
+
 def person_key(name: Column) -> Column:
-    """Accents folded, lower case, letters and digits only. Stays in the JVM."""
+    """Accents folded, ligatures spelled out, lower case, letters and digits only. Stays in the JVM."""
     source, target = _accents()
-    plain = F.translate(F.coalesce(name, F.lit("")), source, target)
+    given = F.coalesce(name, F.lit(""))
+    spelled = given
+    for sign, letters in LIGATURES.items():
+        spelled = F.replace(spelled, F.lit(sign), F.lit(letters))
+    plain = F.translate(F.when(given.rlike("[\ufb00-\ufb06]"), spelled).otherwise(given), source, target)
     return F.regexp_replace(F.lower(plain), "[^a-z0-9]", "")
 
 
-@F.pandas_udf(T.StringType())
-def person_key_exact(names: pd.Series) -> pd.Series:
-    """As :func:`person_key`, also for ligatures and fractions that decompose to several letters."""
-    plain = names.fillna("").map(lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
-    return plain.str.lower().str.replace("[^a-z0-9]", "", regex=True)
-
-
 def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
