@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-ASCII_SPACES = b" \t\n\x0b\x0c\r"
-
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` text bytes each (one row at least)."""
