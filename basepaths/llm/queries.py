@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basepaths.llm import licenses
+from basepaths.llm import licenses, residue_mining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,6 +121,11 @@ def op1(spark, sf_dir):
     return embedding_graph.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_residue_hard_negatives", residue_mining.SQL)
+def op12(spark, sf_dir):
+    return residue_mining.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
