@@ -121,6 +121,13 @@ def op1(spark, sf_dir):
     return embedding_graph.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_paragraph_sketches")
+def op11(spark, sf_dir):
+    from basepaths.llm import paragraph_sketch
+
+    return paragraph_sketch.edited_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op12_residue_hard_negatives", residue_mining.SQL)
 def op12(spark, sf_dir):
     return residue_mining.mine_embeddings(table(spark, sf_dir, "embeddings"))
