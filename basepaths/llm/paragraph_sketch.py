@@ -275,7 +275,7 @@ def version_differences(versions: DataFrame, key: str, old: str, new: str) -> Da
     schema = versions.select(key).schema
     for name, column_kind in (("fingerprint", "string"), ("new_fingerprint", "string"), ("only_old", ArrayType(LongType())), ("only_new", ArrayType(LongType()))):
         schema = schema.add(name, column_kind)
-    schema = schema.add("likeness", "double").add("tries", "int")
+    schema = schema.add("likeness", "double").add("tries", "integer")
 
     def run(batches):
         for piece in pieces(batches, old):
