@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basepaths.llm import licenses, residue_mining
+from basepaths.llm import licenses, pair_maxscore, residue_mining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,6 +133,11 @@ def op12(spark, sf_dir):
     return residue_mining.mine_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@query("op13_pair_maxscore_search", pair_maxscore.SQL)
+def op13(spark, sf_dir):
+    return pair_maxscore.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -215,7 +215,7 @@ def best_in_cells(anchors: DataFrame, rows: DataFrame, residues: Residues, width
 
     group = lambda seed, n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     cells = dealt(anchors, 0, group(5, across), down).unionAll(dealt(rows, 1, group(6, down), across))
-    ordered = cells.withColumn("cell", F.col("a") * down + F.col("r")).repartition(across * down, "cell").sortWithinPartitions("cell", "side")
+    ordered = cells.withColumn("cell", F.col("a") * down + F.col("r")).repartitionById(across * down, F.col("cell")).sortWithinPartitions("cell", "side")
 
     def run(batches):
         current, asking, cell = None, [], None
