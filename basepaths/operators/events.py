@@ -401,8 +401,13 @@ def active_lineup(starters: DataFrame, moves: DataFrame, plays: DataFrame) -> Da
     held = starters.withColumn("seq", F.lit(-1)).unionByName(moves)
     by_player = Window.partitionBy("canonical_id", "team", "player").orderBy("seq", "position")
     left = held.withColumn("_old", F.lag("position").over(by_player)).where(F.col("_old").isNotNull() & (F.col("_old") != F.col("position")))
-    vacated = left.select("canonical_id", "team", F.col("_old").alias("position"), F.lit(None).cast("string").alias("player"), "seq", F.lit(0).alias("kind"))
-    changes = held.withColumn("kind", F.lit(1)).unionByName(vacated)
+    vacated = left.select("canonical_id", "team", F.col("_old").alias("position"), "player", "seq", F.lit(0).alias("kind"))
+    before = Window.partitionBy("canonical_id", "team", "position").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    holder = F.last(F.when(F.col("kind") == 1, F.col("player")), ignorenulls=True).over(before)
+    # whoever was replaced before he moved leaves nothing empty
+    changes = held.withColumn("kind", F.lit(1)).unionByName(vacated).withColumn("_holder", holder).where("kind = 1 or player = _holder").withColumn(
+        "player", F.when(F.col("kind") == 1, F.col("player"))
+    ).drop("_holder")
     asked = plays.select("canonical_id", "team", "position", F.lit(None).cast("string").alias("player"), "seq", F.lit(2).alias("kind"))
     mark = F.when(F.col("kind") < 2, F.struct(F.col("player")))
     so_far = Window.partitionBy("canonical_id", "team", "position").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)

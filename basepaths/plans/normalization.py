@@ -8,6 +8,7 @@ from basepaths.functions import identity as N
 from basepaths.functions import text as X
 from basepaths.operators import contests as C
 from basepaths.operators import events as E
+from basepaths.operators import feed as D
 
 from basepaths.plans import inputs as I
 from basepaths.plans.registry import cte, query
@@ -147,6 +148,109 @@ def evt8(spark, sf):
     return E.official_runs(feed).select("canonical_id", "play_seqno", "batting_team", "runs_scored")
 
 
+# Feed plays that count, with what the fold does to the bases: one and two are the runners a text may name.
+cte("feed_rows", """
+select e.*, 2 * k + 1 as seq, case when event_type = 'dropped_third_out' then 'strikeout' else event_type end as kind,
+  concat('Batter T', bat_no, ' N', lpad(cast((slot + 14) % 15 as varchar), 2, '0')) as one, concat('Batter T', bat_no, ' N', lpad(cast((slot + 13) % 15 as varchar), 2, '0')) as two,
+  case when event_type = 'stolen_base' then '' when event_type = 'caught_stealing' then 'out' when event_type = 'wild_pitch' then 'to 3'
+    when event_id % 6 = 0 then 'score' when event_id % 6 = 1 then 'to 3' when event_id % 6 = 2 then 'out' when event_id % 6 = 3 then 'to 2' else '' end as told,
+  is_plate_appearance and event_id % 10 = 3 as two_scores,
+  case when not is_plate_appearance or event_type in ('strikeout', 'dropped_third_out', 'double_play', 'sacrifice_fly', 'sacrifice_bunt', 'infield_fly', 'out') then 0
+    when event_type = 'home_run' then 4 when event_type = 'triple' then 3 when event_type = 'double' then 2 else 1 end as dest
+from pbp e""")
+cte("feed_folded", """
+with recursive f as (
+  select canonical_id, h, -1 as p, cast(null as varchar) as a1, cast(null as varchar) as a2, cast(null as varchar) as a3, cast(null as varchar) as r1, cast(null as varchar) as r2,
+    cast(null as varchar) as r3, 0 as actions from feed_rows group by canonical_id, h
+  union all
+  select canonical_id, h, p, o1, o2, o3,
+    -- the batter arrives: on first after whoever is there has made room, on second and third with the others ahead of him
+    case when dest = 1 then batter when dest > 1 then null else r1 end,
+    case when dest = 2 then batter when dest > 2 then null when dest = 1 and r1 is not null then r1 else r2 end,
+    case when dest = 3 then batter when dest = 4 then null when dest = 2 then case when r1 is not null then r1 else r3 end when dest = 1 and r1 is not null and r2 is not null then r2 else r3 end,
+    actions + case dest
+      when 1 then case when r1 is null then 0 when r2 is null then 1 when r3 is null then 2 else 3 end
+      when 2 then (r1 is not null)::int + (r2 is not null)::int + (r1 is not null and r3 is not null)::int
+      when 0 then 0 else (r1 is not null)::int + (r2 is not null)::int + (r3 is not null)::int end
+  from (
+    -- a walk moves the forced runners
+    select * replace (case when walk then null else r1 end as r1, case when walk and r1 is not null then r1 else r2 end as r2,
+      case when walk and r1 is not null and r2 is not null then r2 else r3 end as r3) from (
+    -- the runner stands on his new base
+    select * replace (case when told[1:2] = 'to' and r1 = one then null else r1 end as r1,
+      case when told = 'to 2' then one when told = 'to 3' and r2 = one then null else r2 end as r2,
+      case when told = 'to 3' then one when told = 'to 2' and r3 = one then null else r3 end as r3) from (
+    -- whoever stands there goes on; nobody scores unnamed
+    select * replace (case when told = 'to 2' and r2 <> one then null else r2 end as r2,
+      case when told = 'to 2' and r2 <> one then r2 when told = 'to 3' and r3 <> one then null else r3 end as r3,
+      actions + case when told = 'to 2' and r2 <> one then case when r3 is null then 1 else 2 end when told = 'to 3' and r3 <> one then 1 else 0 end as actions) from (
+    -- outs and scores come first
+    select canonical_id, h, p, o1, o2, o3, one, told, batter, dest, walk,
+      case when (told in ('out', 'score') and o1 = one) or (two_scores and o1 = two) then null else o1 end as r1,
+      case when (told in ('out', 'score') and o2 = one) or (two_scores and o2 = two) then null else o2 end as r2,
+      case when (told in ('out', 'score') and o3 = one) or (two_scores and o3 = two) then null else o3 end as r3,
+      (told <> '')::int + two_scores::int + (event_type = 'dropped_third_out')::int as actions
+    from (select r.*, f.r1 as o1, f.r2 as o2, f.r3 as o3, r.is_plate_appearance and r.event_type in ('walk', 'intentional_walk', 'hit_by_pitch', 'catcher_interference') as walk
+      from f join feed_rows r on r.canonical_id = f.canonical_id and r.h = f.h and r.p = f.p + 1) a) b) c) d) e)
+select * from f where p >= 0""")
+cte("feed_lineup", """
+select distinct canonical_id, fielding_team as team, position, fielder as player, -1 as seq from pbp
+union all select canonical_id, fielding_team, position, concat('Fielder T', fld_no, ' N', lpad(cast((f + 1) % 9 as varchar), 2, '0')), 2 * k from pbp where event_id % 17 = 0""")
+cte("feed_events", """
+select canonical_id, season, inning, half, cast(row_number() over (partition by canonical_id order by seq) as int) as event_order, cast(seq as int) as display_row_index, kind as event_type,
+  is_plate_appearance, batting_team, fielding_team, case when is_plate_appearance then batter end as batter, case when is_plate_appearance then pitcher end as pitcher, outs_before, bases_before, runners_before,
+  cast(least(3, outs_before + greatest((told = 'out')::int + (event_type = 'dropped_third_out')::int, outs)) as int) as outs_after, bases_after, runners_after, runs_scored, cast(actions as int) as actions,
+  case when not is_plate_appearance then '' when pitch_text = '' then 'X' else pitch_text end as pitch_text,
+  concat(text, case when keeper is not null then concat(' Fielded by ', spot, ' ', keeper, '.') else '' end) as play_text, action as official_action, cast(0 as int) as state_errors
+from (
+  select s.*, case when w.position = s.spot then s.held end as keeper from (
+    select q.*, c.player as held from (
+      select r.* exclude (bases_before, bases_after), f.actions,
+        cast((f.a1 is not null)::int + 2 * (f.a2 is not null)::int + 4 * (f.a3 is not null)::int as int) as bases_before, concat_ws('|', coalesce(f.a1, ''), coalesce(f.a2, ''), coalesce(f.a3, '')) as runners_before,
+        cast((f.r1 is not null)::int + 2 * (f.r2 is not null)::int + 4 * (f.r3 is not null)::int as int) as bases_after, concat_ws('|', coalesce(f.r1, ''), coalesce(f.r2, ''), coalesce(f.r3, '')) as runners_after,
+        case when kind in ('single', 'out') then position when kind = 'sacrifice_fly' then 'left fielder' when kind in ('fielders_choice', 'double_play') then 'shortstop'
+          when kind = 'reached_on_error' then 'third baseman' end as spot,
+        case when kind = 'double_play' then 2 when kind in ('strikeout', 'sacrifice_fly', 'sacrifice_bunt', 'infield_fly', 'out') then 1 else 0 end as outs,
+        n.action, case event_type when 'stolen_base' then concat(one, ' steals 2nd.') when 'caught_stealing' then concat(one, ' caught stealing second.')
+          when 'wild_pitch' then concat(one, ' advances to 3rd on a wild pitch.') else concat(
+            replace(play_text[:-2], ' is out at first on', ' is out at 1st on'), case when pitch_text = '' then ' (1-1)' else concat(' (1-1 ', pitch_text, ')') end,
+            case told when 'score' then concat(', ', one, ' scores') when 'to 3' then concat(', ', one, ' advances to 3rd') when 'out' then concat(', ', one, ' out at 2nd')
+              when 'to 2' then concat(', ', one, ' advances to 2nd') else '' end, case when two_scores then concat(', ', two, ' scores') else '' end, '.') end as text
+      from feed_rows r join feed_folded f on f.canonical_id = r.canonical_id and f.h = r.h and f.p = r.p join fx_feed n on n.canonical_id = r.canonical_id and n.play_seqno = r.seq) q
+    asof left join feed_lineup c on c.canonical_id = q.canonical_id and c.team = q.fielding_team and c.position = q.spot and c.seq <= q.seq) s
+  asof left join feed_lineup w on w.canonical_id = s.canonical_id and w.team = s.fielding_team and w.player = s.held and w.seq <= s.seq) x""")
+
+
+def _feed(spark, sf):
+    base = I.pbp(spark, sf)
+    starters = base.select("canonical_id", F.col("fielding_team").alias("team"), "position", F.col("fielder").alias("player")).distinct()
+    return I.stage(
+        spark, sf, "feed_events", lambda s, d: D.feed_events(I.view(s, d, "fx_feed"), I.view(s, d, "fx_people"), starters)
+    )
+
+
+@query("evt8_events", "select * from feed_events")
+def evt8_events(spark, sf):
+    side = lambda c: F.concat_ws("|", *[F.coalesce(F.try_element_at(c, F.lit(b)), F.lit("")) for b in (1, 2, 3)]).alias(c)
+    return _feed(spark, sf).select(
+        "canonical_id", "season", "inning", "half", "event_order", "display_row_index", "event_type", "is_plate_appearance", "batting_team", "fielding_team", "batter",
+        "pitcher", "outs_before", "bases_before", side("runners_before"), "outs_after", "bases_after", side("runners_after"), "runs_scored",
+        F.size("runner_actions").alias("actions"), "pitch_text", "play_text", "official_action", "state_errors",
+    )
+
+
+@query("evt8_feed_audit", """
+select o.canonical_id, o.season, cast(o.home_score + o.away_score as bigint) as expected_runs, count(*) as events, count(*) filter (is_plate_appearance) as plate_appearances,
+  cast(sum(runs_scored) as bigint) as observed_runs, cast(0 as bigint) as state_invariant_error_count, cast(sum(runs_scored) - any_value(o.home_score + o.away_score) as bigint) as run_difference
+from (select *, concat('g', lpad(cast(game_id as varchar), 6, '0')) as canonical_id from fx_official) o join feed_events e using (canonical_id) group by o.canonical_id, o.season, o.home_score, o.away_score""")
+def evt8_audit(spark, sf):
+    schedule = I.view(spark, sf, "fx_official").select(
+        F.concat(F.lit("g"), F.lpad(F.col("game_id").cast("string"), 6, "0")).alias("canonical_id"), "season",
+        (F.col("home_score") + F.col("away_score")).cast("long").alias("expected_runs"),
+    )
+    return D.feed_audit(_feed(spark, sf), schedule)
+
+
 _STARTER = "concat('Fielder T', cast(fld_no as varchar(10)), ' N', lpad(cast(f as varchar(10)), 2, '0'))"
 cte("lineup_changes", """
 select distinct canonical_id, fielding_team as team, position, fielder as player, -1 as seq from pbp
@@ -154,13 +258,10 @@ union all select canonical_id, fielding_team, position, concat('Fielder T', fld_
 
 
 @query("evt9_active_lineup", """
-select p.canonical_id, p.fielding_team as team, p.position, p.k as seq,
-  (select arg_max(coalesce(c.player, ''), c.seq * 2 + c.kind) from (
-    select canonical_id, team, position, player, seq, 1 as kind from lineup_changes
-    union all select canonical_id, team, old, null, seq, 0 from (
-      select *, lag(position) over (partition by canonical_id, team, player order by seq, position) as old from lineup_changes) x where old is not null and old <> position) c
-   where c.canonical_id = p.canonical_id and c.team = p.fielding_team and c.position = p.position and c.seq <= p.k) as player
-from pbp p""")
+select a.canonical_id, a.fielding_team as team, a.position, a.seq, case when w.position = a.position then a.player else '' end as player from (
+  select p.canonical_id, p.fielding_team, p.position, p.k as seq, c.player from pbp p
+  asof left join lineup_changes c on c.canonical_id = p.canonical_id and c.team = p.fielding_team and c.position = p.position and c.seq <= p.k) a
+asof left join lineup_changes w on w.canonical_id = a.canonical_id and w.team = a.fielding_team and w.player = a.player and w.seq <= a.seq""")
 def evt9(spark, sf):
     events = I.pbp(spark, sf)
     starters = events.select("canonical_id", F.col("fielding_team").alias("team"), "position", F.col("fielder").alias("player")).distinct()

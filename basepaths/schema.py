@@ -202,6 +202,14 @@ POSITION_CODES = {
 }
 # --------------------------------------------------------------------------------------
 
+# --- fixed values: action codes of the feed ---------------------------------------------
+POSITION_NUMBERS = {
+    1: "pitcher", 2: "catcher", 3: "first baseman", 4: "second baseman", 5: "third baseman",
+    6: "shortstop", 7: "left fielder", 8: "center fielder", 9: "right fielder",
+}
+ACTION_HEAD = r"^(?:HR|3B|2B|1B|IBB|BB|HBP|SF|SH|SAC|CI|FC|E|KS|KL|KWP|KPB)\s*"
+# --------------------------------------------------------------------------------------
+
 # --- fixed values: names and positions -------------------------------------------------
 CLASS_YEAR = r"(?i)\s*\((RS[\s-]*|R-)?(Fr|So|Jr|Sr|Gr|5th)\)\s*$"
 NICKNAMES = {

@@ -148,6 +148,39 @@ VIEWS: dict[str, str] = {
         "cast(sum(case when is_plate_appearance then 1 else 0 end) as int) as pa, min(event_order) as list_ordinal "
         "from pbp group by canonical_id, season, batting_team, batter, batter_key, slot, g"
     ),
+    # the official feed: one row per play with short names, substitutions before plays, and a row that is no play
+    "fx_feed": (
+        "select canonical_id, season, 2 * k + 1 as play_seqno, inning, half = 'top' as is_top, batting_team, fielding_team, outs_before as outs, "
+        "cast(sum(runs_scored) over (partition by canonical_id, batting_team order by k) as int) as team_score, "
+        "case when is_plate_appearance then bat_no * 100 + slot end as batter_id, case when is_plate_appearance then fld_no * 100 + 50 + pslot end as pitcher_id, "
+        "case event_type when 'home_run' then 'HR' when 'triple' then '3B' when 'double' then '2B' when 'single' then concat('1B ', cast(f + 1 as varchar(10))) "
+        "when 'intentional_walk' then 'IBB' when 'walk' then 'BB' when 'hit_by_pitch' then 'HBP' when 'sacrifice_fly' then 'SF 7' when 'sacrifice_bunt' then 'SAC' "
+        "when 'catcher_interference' then 'CI' when 'fielders_choice' then 'FC 6' when 'reached_on_error' then 'E5' when 'strikeout' then 'KS' "
+        "when 'dropped_third_out' then 'KS' when 'double_play' then '6-4-3 DP' when 'out' then concat(cast(f + 1 as varchar(10)), '-3') else '' end as action, "
+        "case event_type when 'stolen_base' then concat(one, ' stole second.') when 'caught_stealing' then concat(one, ' caught stealing second.') "
+        "when 'wild_pitch' then concat(one, ' advanced to third on a wild pitch.') else concat("
+        "replace(replace(substring(play_text, 1, length(play_text) - 1), 'Batter T', 'B T'), 'Fielder T', 'F T'), "
+        "case when pitch_text = '' then ' (1-1)' else concat(' (1-1 ', pitch_text, ')') end, "
+        "case cast(event_id % 6 as int) when 0 then concat(', ', one, ' scored') when 1 then concat(', ', one, ' advanced to third') "
+        "when 2 then concat(', ', one, ' out at second') when 3 then concat(', ', one, ' advanced to second') else '' end, "
+        "case when event_id % 10 = 3 then concat(', ', two, ' scored') else '' end, '.') end as narrative "
+        "from (select *, concat('B T', cast(bat_no as varchar(10)), ' N', lpad(cast((slot + 14) % 15 as varchar(10)), 2, '0')) as one, "
+        "concat('B T', cast(bat_no as varchar(10)), ' N', lpad(cast((slot + 13) % 15 as varchar(10)), 2, '0')) as two from pbp) a union all "
+        "select canonical_id, season, 2 * k, inning, half = 'top', batting_team, fielding_team, outs_before, "
+        "score - runs_scored, null, null, '/', "
+        "concat('F T', cast(fld_no as varchar(10)), ' N', lpad(cast((f + 1) % 9 as varchar(10)), 2, '0'), ' to ', "
+        "case f when 0 then 'p' when 1 then 'c' when 2 then '1b' when 3 then '2b' when 4 then '3b' when 5 then 'ss' when 6 then 'lf' when 7 then 'cf' else 'rf' end, '.') "
+        "from (select *, cast(sum(runs_scored) over (partition by canonical_id, batting_team order by k) as int) as score from pbp) b where event_id % 17 = 0 union all "
+        "select canonical_id, season, -1, 1, true, batting_team, fielding_team, 0, 0, null, null, '', 'Game starts.' from pbp where k = 0"
+    ),
+    "fx_people": (
+        "select distinct canonical_id, bat_no * 100 + (slot + 15 - n) % 15 as person_id, "
+        "concat('Batter T', cast(bat_no as varchar(10)), ' N', lpad(cast((slot + 15 - n) % 15 as varchar(10)), 2, '0')) as player, cast(null as varchar(10)) as stat_name, "
+        "batting_team as team from (select *, 0 as n from pbp union all select *, 1 as n from pbp union all select *, 2 as n from pbp) a union "
+        "select distinct canonical_id, fld_no * 100 + 50 + pslot, pitcher, concat(substring(pitcher, 9, 6), ', Pitcher'), fielding_team from pbp union "
+        "select distinct canonical_id, fld_no * 100 + 70 + (f + n) % 9, concat('Fielder T', cast(fld_no as varchar(10)), ' N', lpad(cast((f + n) % 9 as varchar(10)), 2, '0')), "
+        "null, fielding_team from (select *, 0 as n from pbp union all select *, 1 as n from pbp) b"
+    ),
     "fx_official": (
         "select g as game_id, case when season = 2025 then 270 else 369 end as season_id, season, "
         "start_ts + cast(g % 3 as int) * interval '1' hour as game_ts, home_team, away_team, "
