@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basepaths.functions.ranking import ordered_number
+from basepaths.session import cut_lineage
 
 PRIOR = 20.0
 
@@ -61,7 +63,7 @@ def smooth_states(sums: DataFrame, prior: float = PRIOR, keys: tuple[str, ...] =
     ``sums`` has at most 24 rows per key, so grouping its rows by key stays small.
     """
     if prior < 0:
-        raise ValueError("prior_pseudocount cannot be negative")
+        raise ValueError("the prior counts as so many events and must be 0 or more")
     spark = sums.sparkSession
     per_outs = sums.groupBy(*keys, "outs").agg(F.sum("n").alias("on"), F.sum("total").alias("ot"))
     overall = sums.groupBy(*keys).agg(F.sum("n").alias("gn"), F.sum("total").alias("gt"))
@@ -126,35 +128,52 @@ def event_linear_weights(valued: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def poisson_steps(digits: int = 16) -> list[int]:
+    """From which ``digits``-bit number on a Poisson variable of mean 1 is at least 1, 2, 3, ..."""
+    top, total, term, steps = 1 << digits, 0.0, math.exp(-1.0), []
+    while round(top * (total + term)) < top:
+        total += term
+        steps.append(round(top * total))
+        term /= len(steps)
+    return steps
+
+
+#: Replicates that share one hash of a game: 64 hexadecimal digits, four for each.
+BLOCK = 16
+
+
+def resampling_counts(game: Column, block: Column, seed: int) -> Column:
+    """How often each of the ``BLOCK`` replicates of ``block`` takes the game: Poisson numbers of mean 1 from the digits of sha256."""
+    steps = F.array(*[F.lit(v) for v in poisson_steps()])
+    digits = F.sha2(F.concat(F.lit(f"{seed}|"), game, F.lit("|"), block.cast("string")), 256)
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.conv(digits.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    return F.transform(numbers, lambda v: F.size(F.filter(steps, lambda t: t <= v)))
+
+
 def bootstrap_re24(
     annotated: DataFrame, prior: float = PRIOR, replicates: int = 500, seed: int = 20260704
 ) -> DataFrame:
-    """Percentile intervals from resampling whole games with replacement.
+    """Percentile intervals from resampling whole games.
 
-    Every game is reduced to its state sums first. Each replicate draws as many games as
-    there are, by hash; draws are counted per (replicate, game) and joined to the sums, so
-    the work is replicates x games and spread over all tasks.
+    Every game is reduced to its state sums and gets an array of counts, how often each
+    replicate takes it (Poisson bootstrap: the size of a replicate varies around the number of games).
+    Sums for the replicates of an array are taken side by side and before the shuffle, so a task shuffles
+    24 x replicates numbers whatever the number of games. A replicate that takes no game is left out.
     """
-    sums = state_sums(annotated, "canonical_id")
-    named = annotated.select(F.lit(0).alias("_all"), "canonical_id").distinct()
-    games = ordered_number(named, ["_all"], [F.col("canonical_id")], "place").select("canonical_id", (F.col("place") - 1).cast("long").alias("game_no"))
-    total = games.agg(F.count("*").alias("n")).scalar()
-    draws = (
-        games.select("game_no", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .withColumn("n", total)
-        .select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "game_no"), F.col("n")).alias("game_no"))
-        .groupBy("game_no", "replicate")
-        .agg(F.count("*").alias("times"))
-    )
-    resampled = (
-        draws.join(games, "game_no")
-        .join(sums, "canonical_id")
-        .groupBy("replicate", "outs", "bases")
-        .agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("total") * F.col("times")).alias("total"))
-    )
-    cells = smooth_states(resampled, prior, keys=("replicate",))
+    cells = F.array_sort(F.collect_list(F.struct("outs", "bases", "n", "total")))
+    games = state_sums(annotated, "canonical_id").groupBy("canonical_id").agg(cells.alias("cells"))
+    blocks = games.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
+    counted = blocks.withColumn("times", resampling_counts(F.col("canonical_id"), F.col("block"), seed))
+    drawn = counted.select("block", "times", F.explode("cells").alias("c"))
+    weighed = [F.array(*[F.sum(F.col(f"c.{v}") * F.col("times")[i]) for i in range(BLOCK)]).alias(v) for v in ("n", "total")]
+    sums = drawn.groupBy("block", F.col("c.outs").alias("outs"), F.col("c.bases").alias("bases")).agg(*weighed)
+    # from here on the size is fixed: 24 cells x replicates
+    each = cut_lineage(sums).select("block", "outs", "bases", F.posexplode(F.arrays_zip("n", "total")).alias("i", "s"))
+    replicate = F.col("block") * BLOCK + F.col("i")
+    resampled = each.select(replicate.alias("replicate"), "outs", "bases", "s.n", "s.total").where((F.col("n") > 0) & (F.col("replicate") < replicates))
+    smoothed = smooth_states(resampled, prior, keys=("replicate",))
     bounds = F.percentile("smoothed_re", F.array(F.lit(0.025), F.lit(0.975)))
-    return cells.groupBy("outs", "bases").agg(bounds.alias("q")).select(
+    return smoothed.groupBy("outs", "bases").agg(bounds.alias("q")).select(
         "outs", "bases", F.col("q")[0].alias("re_low"), F.col("q")[1].alias("re_high")
     )
 

@@ -62,7 +62,23 @@ def rex4(spark, sf):
     return X.event_linear_weights(I.valued(spark, sf).where("is_plate_appearance"))
 
 
-@query("rex5_bootstrap_intervals")
+cte("rex5_draws", f"""
+select canonical_id, r as replicate, len(list_filter({X.poisson_steps()}, lambda t: t <= cast(concat('0x', substr(h, cast(r % 16 as int) * 4 + 1, 4)) as int))) as times from (
+  select canonical_id, r, sha256(concat('20260704|', canonical_id, '|', cast(floor(r / 16.0) as int))) as h
+  from (select distinct canonical_id from pbp) g cross join (select unnest(range(500)) as r) x) y""")
+cte("rex5_sums", """
+select replicate, outs, bases, sum(n * times) as n, sum(total * times) as total from rex5_draws join (
+  select canonical_id, outs_before as outs, bases_before as bases, count(*) as n, sum(runs_remaining_before) as total from annotated group by all) s using (canonical_id)
+where times > 0 group by replicate, outs, bases""")
+
+
+@query("rex5_bootstrap_intervals", """
+select outs, bases, quantile_cont(re, 0.025) as re_low, quantile_cont(re, 0.975) as re_high from (
+  select g.outs, g.bases, (coalesce(s.total, 0) + 20.0 * coalesce(o.mean, a.mean)) / (coalesce(s.n, 0) + 20.0) as re
+  from (select distinct replicate, outs, bases from rex5_draws cross join (select outs, bases from re_cells) c) g
+  join (select replicate, sum(total) / sum(n) as mean from rex5_sums group by replicate) a using (replicate)
+  left join (select replicate, outs, sum(total) / sum(n) as mean from rex5_sums group by replicate, outs) o on o.replicate = g.replicate and o.outs = g.outs
+  left join rex5_sums s on s.replicate = g.replicate and s.outs = g.outs and s.bases = g.bases) x group by outs, bases""", "re_low re_high")
 def rex5(spark, sf):
     return X.bootstrap_re24(I.annotated(spark, sf), replicates=500)
 
