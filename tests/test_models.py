@@ -63,10 +63,11 @@ def fitted(pas):
 @pytest.mark.parametrize("spec", list(R.SPECS))
 def test_regression_equals_dummies(spark, pas, fitted, outcome, spec):
     """The absorbed model equals ordinary least squares with every dummy written out."""
-    rows = R.model_rows(pas, (outcome,)).toPandas()
+    m, k = next((m, names.index(outcome)) for m, names in enumerate(R.POPULATIONS) if outcome in names)
+    rows = R.model_rows(pas).where(F.col("m") == m).toPandas()
     every, names = list(R.exposure_terms(True)), list(R.exposure_terms(R.SPECS[spec]))
     values = np.stack(rows["v"].to_numpy())
-    y, terms = values[:, 0], values[:, [1 + every.index(n) for n in names]]
+    y, terms = values[:, k], values[:, [R.MOST + every.index(n) for n in names]]
     dummies = [np.ones((len(y), 1)), terms]
     for column in ("b", "p"):
         levels = sorted(rows[column].unique())[1:]
@@ -86,18 +87,22 @@ def test_regression_equals_dummies(spark, pas, fitted, outcome, spec):
     assert first.design_columns == x.shape[1] and first.design_rank == np.linalg.matrix_rank(x)
 
 
-def test_absorbed_effects_leave_what_dummies_leave(spark):
-    """Two parts that never met, and players met once."""
-    people = [(f"g{i % 7}", f"b{(i * 5) % 6}", f"p{(i * 3) % 4}", [float((i * 11) % 13), float(i % 3 == 0)]) for i in range(160)]
-    people += [("g1", f"c{i % 3}", f"q{i % 2}", [float(i), 1.0]) for i in range(9)] + [("g2", "b0", "once", [5.0, 0.0])]
-    rows = spark.createDataFrame(people, "canonical_id string, b string, p string, v array<double>")
-    effects = R.absorb(rows, 2)
-    x = np.hstack([np.array([[r[k] == v for v in sorted({q[k] for q in people})] for r in people], float) for k in (1, 2)])
-    y = np.array([r[3] for r in people])
-    left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    got = sorted((r.canonical_id, *[round(w, 6) + 0.0 for w in r.w]) for r in R.within(rows, effects).collect())
-    assert got == sorted((r[0], *[round(w, 6) + 0.0 for w in v]) for r, v in zip(people, left.tolist()))
-    assert R.player_rank(effects) == np.linalg.matrix_rank(x)
+@pytest.mark.parametrize("block", [3, 1000])
+def test_absorbed_effects_leave_what_dummies_leave(spark, block):
+    """Two populations; two parts that never met, and players met once; several block rows and one."""
+    people = [(i % 2, f"g{i % 7}", f"b{(i * 5) % 6}", f"p{(i * 3) % 4}", [float((i * 11) % 13), float(i % 3 == 0)]) for i in range(160)]
+    people += [(0, "g1", f"c{i % 3}", f"q{i % 2}", [float(i), 1.0]) for i in range(9)] + [(0, "g2", "b0", "once", [5.0, 0.0])]
+    rows = spark.createDataFrame(people, "m int, canonical_id string, b string, p string, v array<double>")
+    effects, facts = R.absorb(rows, 2, block)
+    got = R.within(rows, effects).collect()
+    for m in (0, 1):
+        mine = [r[1:] for r in people if r[0] == m]
+        x = np.hstack([np.array([[r[k] == v for v in sorted({q[k] for q in mine})] for r in mine], float) for k in (1, 2)])
+        y = np.array([r[3] for r in mine])
+        left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        want = sorted((r[0], *[round(w, 6) + 0.0 for w in v]) for r, v in zip(mine, left.tolist()))
+        assert sorted((r.canonical_id, *[round(w, 6) + 0.0 for w in r.w]) for r in got if r.m == m) == want
+        assert facts[m]["rank"] == np.linalg.matrix_rank(x)
 
 
 def test_doubleheader_pairs(spark):
