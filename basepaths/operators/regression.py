@@ -207,12 +207,18 @@ def fit_fixed_effects(pas: DataFrame, late_season: int = 2026, block: int = BLOC
                 errors[m] += list(bread @ score)
     squares = {}
     if errors:
-        most = max(map(len, errors.values()))
-        literal = {m: F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in [*found, *[np.zeros(size)] * (most - len(found))]]) for m, found in errors.items()}
-        chosen = F.coalesce(*[F.when(F.col("m") == m, value) for m, value in literal.items()])
-        moved = F.transform(chosen, lambda c: F.aggregate(F.zip_with(c, F.col("g"), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-        totals = games.select("m", F.transform(moved, lambda u: u * u).alias("u")).groupBy("m").agg(_sums(most, "u").alias("u")).collect()
-        squares = {r["m"]: r["u"] for r in totals}
+        combined = {m: np.array(rows) for m, rows in errors.items()}
+        most = max(map(len, combined.values()))
+
+        def squared(batches):
+            for part in batches:
+                for m, mine in part.groupby("m"):
+                    u = np.zeros(most)
+                    u[: len(combined[m])] = ((np.stack(mine.g.to_numpy()) @ combined[m].T) ** 2).sum(axis=0)
+                    yield pd.DataFrame({"m": [m], "u": [u]})
+
+        totals = games.select("m", "g").mapInPandas(squared, "m int, u array<double>").groupBy("m").agg(_sums(most, "u").alias("u"))
+        squares = {r["m"]: r["u"] for r in totals.collect()}
     table = []
     for m, outcome, spec, names, beta, rank, first in fits:
         total, seen = sums[m], players[m]

@@ -177,12 +177,62 @@ def fits(spark, sf):
     return I.stage(spark, sf, "fits", lambda s, d: R.fit_fixed_effects(I.plate_appearances(s, d)))
 
 
-@query("tto9_fixed_effect_model")
+# The twin writes every dummy out and sweeps the cross products column by column; exposure terms are numbered 1 to 8, the season is 5.
+cte("fe_pa", """
+select m, row_number() over () as id, canonical_id, batter_key, pitcher_key, [cast(same_game_matchup_number = 2 as double), cast(same_game_matchup_number >= 3 as double),
+  cast(prior_series_game_matchups between 1 and 2 as double), cast(prior_series_game_matchups >= 3 as double), cast(season = 2026 as double),
+  pitcher_batters_faced_before / 9.0, cast(inning between 3 and 4 as double), cast(inning >= 5 as double)] as terms,
+  case when m = 0 then [cast(run_value as double), cast(obn as double)] else [cast(wn as double), 0.0] end as ys
+from pas cross join (values (0), (1)) populations(m) where m = 0 or wd > 0""")
+cte("fe_players", """
+select m, side, key, cast(row_number() over (partition by m, side order by key) as int) as n from (
+  select distinct m, 0 as side, batter_key as key from fe_pa union select distinct m, 1, pitcher_key from fe_pa) a""")
+cte("fe_size", """
+select m, cast(count(*) filter (side = 0) as int) as nb, cast(count(*) filter (side = 1) as int) as np, cast(count(*) - 1 as int) as base from fe_players group by m""")
+cte("fe_x", """
+select m, id, canonical_id, 1 as col, 1.0 as x from fe_pa
+union all select f.m, id, canonical_id, n, 1.0 from fe_pa f join fe_players p on p.m = f.m and side = 0 and key = batter_key where n > 1
+union all select f.m, id, canonical_id, nb + n - 1, 1.0 from fe_pa f join fe_size z on z.m = f.m join fe_players p on p.m = f.m and side = 1 and key = pitcher_key where n > 1
+union all select f.m, id, canonical_id, base + t, terms[t] from fe_pa f join fe_size z on z.m = f.m cross join (select cast(unnest(range(1, 9)) as int) as t) a where terms[t] <> 0
+union all select f.m, id, canonical_id, base + 8 + o, ys[o] from fe_pa f join fe_size z on z.m = f.m cross join (select cast(unnest(range(1, 3)) as int) as o) a where ys[o] <> 0""")
+cte("fe_swept", """
+with recursive g as (select a.m, a.col as i, b.col as j, sum(a.x * b.x) as v from fe_x a join fe_x b on b.m = a.m and b.id = a.id group by all),
+rows as (select m, i, list(v order by j) as line, any_value(v) filter (i = j) as own from (
+  select z.m, i, j, coalesce(v, 0.0) as v from fe_size z cross join lateral (select cast(unnest(range(1, base + 11)) as int) as i) r
+  cross join lateral (select cast(unnest(range(1, base + 11)) as int) as j) c left join g using (m, i, j)) x group by m, i),
+s as (
+  select m, 0 as k, list(line order by i) as a, list(own order by i) as own, [0] as there from rows group by m
+  union all
+  select m, k + 1, case when d < 1e-9 * own[k + 1] or own[k + 1] = 0 then a else list_transform(a, lambda line, i: list_transform(line, lambda v, j:
+      case when i = k + 1 and j = k + 1 then -1 / d when i = k + 1 then v / d when j = k + 1 then v / d else v - line[k + 1] * a[k + 1][j] / d end)) end,
+    own, case when d < 1e-9 * own[k + 1] or own[k + 1] = 0 then there else list_append(there, k + 1) end
+  from (select *, a[k + 1][k + 1] as d from s) t where k < len(own) - 2)
+select s.m, s.k - z.base as terms, a, there, base, nb, np from s join fe_size z using (m) where s.k - z.base in (5, 8)""")
+cte("fe_scores", """
+select m, terms, o, canonical_id, col, sum(x * left_over) as score from (
+  select w.m, terms, o, x.canonical_id, x.id, x.col, x.x, y - sum(x.x * a[x.col][base + 8 + o]) over (partition by w.m, terms, o, x.id) as left_over
+  from fe_swept w cross join (values (1), (2)) outcomes(o) join (select f.m, f.id, unnest([1, 2]) as o, unnest(ys) as y from fe_pa f) y using (m, o)
+  join fe_x x on x.m = w.m and x.id = y.id and list_contains(there, x.col)) r where m = 0 or o = 1 group by all""")
+cte("fe_fitted", """
+select case when m = 1 then 'wOBA_value' when o = 1 then 'run_value' else 'on_base' end as outcome, case terms when 5 then 'total_exposure_association' else 'workload_decomposition' end as model_spec,
+  n, games, cast(nb as bigint) as batter_fixed_effects, cast(np as bigint) as pitcher_fixed_effects, cast(base + terms as bigint) as design_columns, cast(len(there) - 1 as bigint) as design_rank,
+  ['same_game_encounter_2', 'same_game_encounter_3plus', 'prior_series_games_1_2', 'prior_series_games_3plus', 'season_2026', 'pitcher_bf_before_per_9', 'inning_3_4', 'inning_5plus'][t] as term,
+  estimate, se as standard_error, estimate - 1.96 * se as ci_95_low, estimate + 1.96 * se as ci_95_high
+from (
+  select w.m, w.terms, w.o, w.t, any_value(a[base + t][base + 8 + w.o]) as estimate, sqrt(any_value(games / (games - 1.0)) * sum(pow(moved, 2))) as se, any_value(nb) as nb, any_value(np) as np, any_value(base) as base,
+    any_value(there) as there, n, games
+  from (select c.m, c.terms, c.o, c.canonical_id, t, sum(-a[base + t][c.col] * score) as moved
+    from fe_scores c join fe_swept w using (m, terms) cross join (select cast(unnest(range(1, 9)) as int) as t) u where t <= c.terms group by all) w
+  join fe_swept using (m, terms) join (select m, count(*) as n, count(distinct canonical_id) as games from fe_pa group by m) f using (m) group by all) z""")
+_FITTED = "estimate standard_error ci_95_low ci_95_high"
+
+
+@query("tto9_fixed_effect_model", "select * from fe_fitted where model_spec = 'total_exposure_association'", _FITTED)
 def tto9(spark, sf):
     return fits(spark, sf).where("model_spec = 'total_exposure_association'")
 
 
-@query("tto9_workload_model")
+@query("tto9_workload_model", "select * from fe_fitted where model_spec = 'workload_decomposition'", _FITTED)
 def tto9_workload(spark, sf):
     return fits(spark, sf).where("model_spec = 'workload_decomposition'")
 
