@@ -195,35 +195,39 @@ union all select f.m, id, canonical_id, n, 1.0 from fe_pa f join fe_players p on
 union all select f.m, id, canonical_id, nb + n - 1, 1.0 from fe_pa f join fe_size z on z.m = f.m join fe_players p on p.m = f.m and side = 1 and key = pitcher_key where n > 1
 union all select f.m, id, canonical_id, base + t, terms[t] from fe_pa f join fe_size z on z.m = f.m cross join (select cast(unnest(range(1, 9)) as int) as t) a where terms[t] <> 0
 union all select f.m, id, canonical_id, base + 8 + o, ys[o] from fe_pa f join fe_size z on z.m = f.m cross join (select cast(unnest(range(1, 3)) as int) as o) a where ys[o] <> 0""")
+cte("fe_products", """
+select z.m, i, j, coalesce(v, 0.0) as v, max(case when i = j then coalesce(v, 0.0) end) over (partition by z.m, i) as own
+from fe_size z cross join lateral (select cast(unnest(range(1, base + 11)) as int) as i) r cross join lateral (select cast(unnest(range(1, base + 11)) as int) as j) c
+left join (select a.m, a.col as i, b.col as j, sum(a.x * b.x) as v from fe_x a join fe_x b on b.m = a.m and b.id = a.id group by all) g using (m, i, j)""")
 cte("fe_swept", """
-with recursive g as (select a.m, a.col as i, b.col as j, sum(a.x * b.x) as v from fe_x a join fe_x b on b.m = a.m and b.id = a.id group by all),
-rows as (select m, i, list(v order by j) as line, any_value(v) filter (i = j) as own from (
-  select z.m, i, j, coalesce(v, 0.0) as v from fe_size z cross join lateral (select cast(unnest(range(1, base + 11)) as int) as i) r
-  cross join lateral (select cast(unnest(range(1, base + 11)) as int) as j) c left join g using (m, i, j)) x group by m, i),
-s as (
-  select m, 0 as k, list(line order by i) as a, list(own order by i) as own, [0] as there from rows group by m
+with recursive s as (
+  select m, 0 as k, i, j, v, own from fe_products
   union all
-  select m, k + 1, case when d < 1e-9 * own[k + 1] or own[k + 1] = 0 then a else list_transform(a, lambda line, i: list_transform(line, lambda v, j:
-      case when i = k + 1 and j = k + 1 then -1 / d when i = k + 1 then v / d when j = k + 1 then v / d else v - line[k + 1] * a[k + 1][j] / d end)) end,
-    own, case when d < 1e-9 * own[k + 1] or own[k + 1] = 0 then there else list_append(there, k + 1) end
-  from (select *, a[k + 1][k + 1] as d from s) t where k < len(own) - 2)
-select s.m, s.k - z.base as terms, a, there, base, nb, np from s join fe_size z using (m) where s.k - z.base in (5, 8)""")
+  select t.m, t.k + 1, t.i, t.j, case when d.v <= 1e-9 * d.own then t.v when t.i = t.k + 1 and t.j = t.k + 1 then -1 / d.v
+    when t.i = t.k + 1 or t.j = t.k + 1 then t.v / d.v else t.v - c.v * r.v / d.v end, t.own
+  from s t join s d on d.m = t.m and d.i = t.k + 1 and d.j = t.k + 1 join s c on c.m = t.m and c.i = t.i and c.j = t.k + 1 join s r on r.m = t.m and r.j = t.j and r.i = t.k + 1
+  join fe_size z on z.m = t.m where t.k < z.base + 8)
+select s.m, cast(s.k - base as int) as terms, i, j, v, base from s join fe_size z using (m) where s.k - base in (5, 8)""")
+cte("fe_there", "select m, terms, i as col, base from fe_swept where i = j and v < 0 and i <= base + terms")
+cte("fe_beta", """
+select m, terms, col, j - base - 8 as o, v as beta, base from fe_there t join fe_swept s using (m, terms, base) where s.i = t.col and j > base + 8 and (m = 0 or j = base + 9)""")
+cte("fe_left", """
+select x.m, b.terms, o, x.id, any_value(ys[o]) - sum(x * beta) as r from fe_x x join fe_beta b on b.m = x.m and b.col = x.col join fe_pa f on f.m = x.m and f.id = x.id group by all""")
 cte("fe_scores", """
-select m, terms, o, canonical_id, col, sum(x * left_over) as score from (
-  select w.m, terms, o, x.canonical_id, x.id, x.col, x.x, y - sum(x.x * a[x.col][base + 8 + o]) over (partition by w.m, terms, o, x.id) as left_over
-  from fe_swept w cross join (values (1), (2)) outcomes(o) join (select f.m, f.id, unnest([1, 2]) as o, unnest(ys) as y from fe_pa f) y using (m, o)
-  join fe_x x on x.m = w.m and x.id = y.id and list_contains(there, x.col)) r where m = 0 or o = 1 group by all""")
+select x.m, l.terms, o, canonical_id, x.col, sum(x * r) as score from fe_x x join fe_left l on l.m = x.m and l.id = x.id join fe_there t on t.m = x.m and t.terms = l.terms and t.col = x.col group by all""")
+cte("fe_errors", """
+select m, terms, o, t, sum(pow(moved, 2)) as total from (
+  select c.m, c.terms, o, canonical_id, s.i - base as t, sum(-s.v * score) as moved from fe_scores c join fe_swept s on s.m = c.m and s.terms = c.terms and s.j = c.col
+  where s.i between base + 1 and base + c.terms group by all) a group by all""")
 cte("fe_fitted", """
 select case when m = 1 then 'wOBA_value' when o = 1 then 'run_value' else 'on_base' end as outcome, case terms when 5 then 'total_exposure_association' else 'workload_decomposition' end as model_spec,
-  n, games, cast(nb as bigint) as batter_fixed_effects, cast(np as bigint) as pitcher_fixed_effects, cast(base + terms as bigint) as design_columns, cast(len(there) - 1 as bigint) as design_rank,
+  n, games, cast(nb as bigint) as batter_fixed_effects, cast(np as bigint) as pitcher_fixed_effects, cast(base + terms as bigint) as design_columns, design_rank,
   ['same_game_encounter_2', 'same_game_encounter_3plus', 'prior_series_games_1_2', 'prior_series_games_3plus', 'season_2026', 'pitcher_bf_before_per_9', 'inning_3_4', 'inning_5plus'][t] as term,
   estimate, se as standard_error, estimate - 1.96 * se as ci_95_low, estimate + 1.96 * se as ci_95_high
-from (
-  select w.m, w.terms, w.o, w.t, any_value(a[base + t][base + 8 + w.o]) as estimate, sqrt(any_value(games / (games - 1.0)) * sum(pow(moved, 2))) as se, any_value(nb) as nb, any_value(np) as np, any_value(base) as base,
-    any_value(there) as there, n, games
-  from (select c.m, c.terms, c.o, c.canonical_id, t, sum(-a[base + t][c.col] * score) as moved
-    from fe_scores c join fe_swept w using (m, terms) cross join (select cast(unnest(range(1, 9)) as int) as t) u where t <= c.terms group by all) w
-  join fe_swept using (m, terms) join (select m, count(*) as n, count(distinct canonical_id) as games from fe_pa group by m) f using (m) group by all) z""")
+from (select e.*, nb, np, z.base, n, games, design_rank, sqrt(games / (games - 1.0) * total) as se, coalesce(beta, 0.0) as estimate
+  from fe_errors e join fe_size z using (m) join (select m, count(*) as n, count(distinct canonical_id) as games from fe_pa group by m) f using (m)
+  join (select m, terms, count(*) as design_rank from fe_there group by all) d using (m, terms)
+  left join fe_beta b on b.m = e.m and b.terms = e.terms and b.o = e.o and b.col = z.base + e.t) q""")
 _FITTED = "estimate standard_error ci_95_low ci_95_high"
 
 
