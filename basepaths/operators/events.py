@@ -7,7 +7,6 @@ before it in a half-inning, is an aggregate over the moments of that half.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -431,117 +430,6 @@ def box_line_differences(events: DataFrame, box: DataFrame) -> DataFrame:
     return joined.where(wrong)
 
 
-# --- pitcher attribution -----------------------------------------------------------------
-
-ATTRIBUTED = "canonical_id string, team string, block int, pitcher string, ambiguous boolean, method string, optimal_paths string"
-
-
-def _key(name: str | None) -> str:
-    return "".join(c for c in (name or "").lower() if c.isascii() and c.isalnum())
-
-
-def assign_pitchers(game: dict) -> list[dict]:
-    """Cheapest assignment of one team's pitchers to its blocks whose outs equal the box score.
-
-    A change costs 10, a disagreement with a hint 2 and with the earlier value 1; a pitcher
-    named in the text is binding. Forward and backward costs give the best cost, the number of
-    best assignments (as text, as it has no bound) and the possible pitchers of every block
-    without listing assignments.
-    """
-    names, target = [p["player"] for p in game["box"]], tuple(p["outs"] for p in game["box"])
-    rows = game["blocks"]
-    start = (tuple(0 for _ in names), -1)
-    layers = [{start: (0, 1)}]
-    arcs = []
-    for row in rows:
-        here, links = {}, []
-        for (used, last), (cost, ways) in layers[-1].items():
-            for i, name in enumerate(names):
-                if row["explicit"] and row["explicit"] != name:
-                    continue
-                if used[i] + row["outs"] > target[i]:
-                    continue
-                price = (0 if last in (-1, i) else 10) + 2 * bool(row["hint"] and row["hint"] != name) + int(
-                    bool(row["old"]) and _key(row["old"]) != _key(name))
-                state = (used[:i] + (used[i] + row["outs"],) + used[i + 1:], i)
-                links.append(((used, last), state, price))
-                best, count = here.get(state, (None, 0))
-                if best is None or cost + price < best:
-                    here[state] = (cost + price, ways)
-                elif cost + price == best:
-                    here[state] = (best, count + ways)
-        layers.append(here)
-        arcs.append(links)
-    ends = {s: v for s, v in layers[-1].items() if s[0] == target}
-    if not ends:
-        raise ValueError("no assignment of pitchers reconciles the box-score outs")
-    best = min(cost for cost, _ in ends.values())
-    rest = {s: 0 for s, (cost, _) in ends.items() if cost == best}
-    ways = sum(layers[-1][s][1] for s in rest)
-    possible, remaining = [], [rest]
-    for depth in range(len(rows) - 1, -1, -1):
-        good = [(a, b, price) for a, b, price in arcs[depth] if b in rest and layers[depth][a][0] + price + rest[b] == best]
-        possible.append({b[1] for _, b, _ in good})
-        rest = {a: rest[b] + price for a, b, price in good}
-        remaining.append(rest)
-    possible.reverse()
-    remaining.reverse()
-    path, state = [], start
-    for depth in range(len(rows)):
-        after = remaining[depth + 1]
-        state = min(b for a, b, p in arcs[depth] if a == state and b in after and layers[depth][a][0] + p + after[b] == best)
-        path.append(state[1])
-    return [
-        {
-            "canonical_id": game["canonical_id"], "team": game["team"], "block": row["block"], "pitcher": names[chosen], "ambiguous": len(open_to) > 1,
-            "method": "explicit_play_text" if row["explicit"] else "boxscore_constrained_tied" if len(open_to) > 1 else "boxscore_constrained_unique",
-            "optimal_paths": str(ways),
-        }
-        for row, chosen, open_to in zip(rows, path, possible)
-    ]
-
-
-_ATTRIBUTED_ARROW = pa.schema([
-    ("canonical_id", pa.string()), ("team", pa.string()), ("block", pa.int32()), ("pitcher", pa.string()), ("ambiguous", pa.bool_()), ("method", pa.string()),
-    ("optimal_paths", pa.string()),
-])
-
-
-def _assign_batches(batches):
-    for batch in batches:
-        rows = [line for game in batch.to_pylist() for line in assign_pitchers(game)]
-        yield pa.RecordBatch.from_pylist(rows, schema=_ATTRIBUTED_ARROW)
-
-
-def play_blocks(events: DataFrame, staffs: DataFrame) -> DataFrame:
-    """One row per displayed play of a defense: outs, pitcher named in the text, hint, old value."""
-    staffs = staffs.select("canonical_id", "team", longest_first(F.col("pitchers")).alias("pitchers"))
-    grouped = events.groupBy("canonical_id", F.col("fielding_team").alias("team"), F.col("display_row_index").alias("block")).agg(
-        F.sum(F.col("outs_after") - F.col("outs_before")).cast("int").alias("outs"),
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("event_order", "play_text"))), lambda e: e["play_text"])).alias("play"),
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("event_order", "pitch_text"))), lambda e: e["pitch_text"])).alias("pitch"),
-        F.max_by("pitcher", "event_order").alias("old"),
-    )
-    return grouped.join(staffs, ["canonical_id", "team"], "left").select(
-        "canonical_id", "team", "block", "outs", named_with(F.col("play"), F.col("pitchers"), " pitching").alias("explicit"),
-        named_with(F.col("pitch"), F.col("pitchers"), " in for pitcher", " in at pitcher").alias("hint"), "old",
-    )
-
-
-def attribute_pitchers(blocks: DataFrame, box: DataFrame) -> DataFrame:
-    """Pitcher of every block. A row handed to Python is one team's game: its plays and its
-    pitchers, a few dozen each.
-
-    ``box``: canonical_id, team, player, outs, list_ordinal.
-    """
-    keys = ["canonical_id", "team"]
-    played = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "outs", "explicit", "hint", "old"))).alias("blocks"))
-    listed = box.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("list_ordinal", "player", "outs"))).alias("box"))
-    joined = played.join(listed, keys, "left").withColumn("box", F.coalesce("box", F.array().cast(listed.schema["box"].dataType)))
-    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(tasks, *keys).mapInArrow(_assign_batches, ATTRIBUTED)
-
-
 # --- payload audit -----------------------------------------------------------------------
 
 # fixed values: terms of the semantic categories

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basepaths.functions import identity as N
 from basepaths.functions import text as X
+from basepaths.operators import attribution as A
 from basepaths.operators import contests as C
 from basepaths.operators import events as E
 from basepaths.operators import feed as D
@@ -550,12 +551,63 @@ def ent18(spark, sf):
 def attribution(spark, sf):
     events = I.pbp(spark, sf).select(
         "canonical_id", "fielding_team", F.col("k").alias("display_row_index"), "event_order", "outs_before", "outs_after",
-        F.lit("").alias("play_text"), F.expr(f"coalesce({_CHANGE}, '')").alias("pitch_text"), "pitcher",
+        F.lit("").alias("play_text"), F.expr(f"coalesce({_CHANGE}, '')").alias("pitch_text"),
+        # every third earlier value is not known, so some plays have several possible pitchers
+        F.when(F.col("event_id") % 3 != 0, F.col("pitcher")).alias("pitcher"),
     )
     box = I.box_pitching(spark, sf).select("canonical_id", "team", "player", F.bround(F.col("innings_decimal") * 3, 0).cast("int").alias("outs"), "list_ordinal")
-    return E.attribute_pitchers(E.play_blocks(events, staffs(spark, sf)), box)
+    return A.attribute_pitchers(A.play_blocks(events, staffs(spark, sf)), box)
+
+
+# The twin goes through the plays one by one: least cost to every state, least cost from there on, and the states of cheapest paths.
+cte("stints", """
+select b.canonical_id, b.fielding_team as team, k, cast(row_number() over (partition by b.canonical_id, b.fielding_team order by k) as int) as n, outs_after - outs_before as outs,
+  case when k in (45, 50) then pitcher end as hint, case when event_id % 3 <> 0 then pitcher end as old, names, targets
+from pbp b join (select canonical_id, fielding_team, list(pitcher order by list_ordinal) as names, list(outs order by list_ordinal) as targets from fx_box_pitching group by all) x
+  on x.canonical_id = b.canonical_id and x.fielding_team = b.fielding_team""")
+cte("stint_choices", """
+select s.*, i, (case when hint <> names[i] then 2 else 0 end) + (case when old <> names[i] then 1 else 0 end) as price from stints s cross join lateral (select unnest(range(1, len(names) + 1)) as i) p""")
+cte("stint_ahead", """
+with recursive f as (
+  select canonical_id, team, 0 as n, list_transform(any_value(targets), lambda t: 0) as used, 0 as last, 0 as cost from stints group by canonical_id, team
+  union all
+  select canonical_id, team, n + 1, next_used, i, min(cost) from (
+    select f.canonical_id, f.team, f.n, c.i, f.cost + c.price + case when f.last in (0, c.i) then 0 else 10 end as cost,
+      list_transform(f.used, lambda u, j: case when j = c.i then u + c.outs else u end) as next_used, c.targets
+    from f join stint_choices c on c.canonical_id = f.canonical_id and c.team = f.team and c.n = f.n + 1) x
+  where next_used[i] <= targets[i] group by canonical_id, team, n, next_used, i)
+select * from f""")
+cte("stint_arcs", """
+select f.canonical_id, f.team, f.n, f.used, f.last, f.cost, c.i, c.price + case when f.last in (0, c.i) then 0 else 10 end as price,
+  list_transform(f.used, lambda u, j: case when j = c.i then u + c.outs else u end) as next_used from stint_ahead f join stint_choices c on c.canonical_id = f.canonical_id and c.team = f.team and c.n = f.n + 1""")
+cte("stint_back", """
+with recursive b as (
+  select f.canonical_id, f.team, f.n, f.used, f.last, 0 as rest, cast(1 as hugeint) as ways from stint_ahead f
+    join (select canonical_id, team, max(n) as n, any_value(targets) as targets from stints group by all) e on e.canonical_id = f.canonical_id and e.team = f.team and e.n = f.n and e.targets = f.used
+  union all
+  select canonical_id, team, n, used, last, any_value(least), sum(ways) from (
+    select *, min(rest) over (partition by canonical_id, team, n, used, last) as least from (
+      select a.canonical_id, a.team, a.n, a.used, a.last, a.price + b.rest as rest, b.ways
+      from b join stint_arcs a on a.canonical_id = b.canonical_id and a.team = b.team and a.n = b.n - 1 and a.next_used = b.used and a.i = b.last) x) y
+  where rest = least group by canonical_id, team, n, used, last)
+select * from b""")
+cte("stint_cheapest", """
+select a.*, s.ways as all_ways from stint_arcs a join stint_back b on b.canonical_id = a.canonical_id and b.team = a.team and b.n = a.n + 1 and b.used = a.next_used and b.last = a.i
+join stint_back s on s.canonical_id = a.canonical_id and s.team = a.team and s.n = 0 where a.cost + a.price + b.rest = s.rest""")
+cte("stint_first", """
+with recursive w as (
+  select distinct canonical_id, team, 0 as n, list_transform(targets, lambda t: 0) as used, 0 as last from stints
+  union all
+  select canonical_id, team, n + 1, arg_min(next_used, i), min(i) from (
+    select a.* from w join stint_cheapest a on a.canonical_id = w.canonical_id and a.team = w.team and a.n = w.n and a.used = w.used and a.last = w.last) x group by canonical_id, team, n)
+select * from w where n > 0""")
 
 
-@query("tto1_pitcher_attribution")
+@query("tto1_pitcher_attribution", """
+select s.canonical_id, s.team, s.k as block, names[w.last] as pitcher, possible > 1 as ambiguous,
+  case when possible > 1 then 'boxscore_constrained_tied' else 'boxscore_constrained_unique' end as method, cast(all_ways as varchar) as optimal_paths
+from stints s join stint_first w on w.canonical_id = s.canonical_id and w.team = s.team and w.n = s.n
+join (select canonical_id, team, n + 1 as n, count(distinct i) as possible, any_value(all_ways) as all_ways from stint_cheapest group by all) p
+  on p.canonical_id = s.canonical_id and p.team = s.team and p.n = s.n""")
 def tto1(spark, sf):
     return attribution(spark, sf)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from basepaths.operators import attribution as A
 from basepaths.operators import events as E
 
 RAW = "canonical_id string, row_no int, pitch string, play string"
@@ -93,7 +94,7 @@ def attribution(spark, outs, olds, box, hints=None):
     rows = [("g", "t", i, o, None, (hints or [None] * len(outs))[i], olds[i]) for i, o in enumerate(outs)]
     blocks = spark.createDataFrame(rows, "canonical_id string, team string, block int, outs int, explicit string, hint string, old string")
     listed = spark.createDataFrame([("g", "t", n, o, i) for i, (n, o) in enumerate(box)], "canonical_id string, team string, player string, outs int, list_ordinal int")
-    return E.attribute_pitchers(blocks, listed).orderBy("block").collect()
+    return A.attribute_pitchers(blocks, listed).orderBy("block").collect()
 
 
 def test_pitcher_reentry(spark):
