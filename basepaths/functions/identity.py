@@ -76,6 +76,12 @@ def display_team(name: Column, season: Column, cities: dict[str, str] | None = N
     return F.when(season == short_season, short).otherwise(F.coalesce(F.try_element_at(literal_map(cities), short), short))
 
 
+def team_family(team: Column, families: dict[str, str] | None = None) -> Column:
+    """The franchise of a team, by default under the names it has had."""
+    families = S.TEAM_FAMILIES if families is None else families
+    return F.coalesce(F.try_element_at(literal_map(families), team), team) if families else team
+
+
 def main_team(teams: Column) -> Column:
     """The last team of a player's list."""
     return F.try_element_at(teams, F.lit(-1))

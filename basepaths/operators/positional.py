@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basepaths import schema as S
-from basepaths.functions.identity import literal_map, person_key
-from basepaths.functions.lines import count_if, is_in, ratio0
+from basepaths.functions.identity import literal_map, person_key, team_family
+from basepaths.functions.lines import count_if, is_in, ratio, ratio0
 
 # --- fixed values: standardized season of 175 innings ---
 SEASON_OUTS = 525.0
@@ -118,8 +118,8 @@ def single_position(box: DataFrame) -> DataFrame:
     )
 
 
-def hitting_cells(valued: DataFrame, box: DataFrame, *extra: str) -> DataFrame:
-    """Plate appearances and weighted runs by (season, batting team, position or NULL).
+def hitting_cells(valued: DataFrame, box: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """Plate appearances and weighted runs by (season, team family, position or NULL, player).
 
     Everything the study needs (season means, team omissions, position sums) follows from
     this one grouping, so the events are read and joined once for all variants.
@@ -130,22 +130,45 @@ def hitting_cells(valued: DataFrame, box: DataFrame, *extra: str) -> DataFrame:
     return (
         pas.join(F.broadcast(event_type_weights(valued)), ["season", "event_type"])
         .join(single_position(box), ["canonical_id", "player_key"], "left")
-        .groupBy("season", F.col("batting_team").alias("family"), "position", "player_key", *extra)
+        .groupBy("season", team_family(F.col("batting_team"), families).alias("family"), "position", "player_key")
         .agg(F.count("*").alias("pa"), F.sum("weight").alias("runs"))
     )
 
 
-def variants(cells: DataFrame) -> DataFrame:
-    """Every cell under each variant it belongs to: all, its season, and all teams but its own.
+def position_sums(cells: DataFrame) -> DataFrame:
+    """(variant, season, position, pa, runs, mean): all, each season, and all but one team family.
 
-    The list of teams is a league's team table; it travels as one array.
+    A family is left out by subtraction: totals less its own. So a cell is read once however many
+    families there are, and what grows with them is families x seasons x positions.
     """
-    teams = cells.agg(F.array_sort(F.collect_set("family"))).scalar()
-    left_out = F.transform(
-        F.filter(F.col("_teams"), lambda t: t != F.col("family")), lambda t: F.concat(F.lit("leave_team_out:"), t)
+    own = cells.groupBy("season", "family", "position").agg(F.sum("pa").alias("pa"), F.sum("runs").alias("runs"))
+    of_family = own.groupBy("season", "family").agg(F.sum("pa").alias("fpa"), F.sum("runs").alias("fruns"))
+    of_season = own.groupBy("season").agg(F.sum("pa").alias("spa"), F.sum("runs").alias("sruns"))
+    families = own.agg(F.array_sort(F.collect_set("family"))).scalar()
+    whole = own.where(F.col("position").isNotNull()).groupBy("season", "position").agg(F.sum("pa").alias("pa"), F.sum("runs").alias("runs")).join(of_season, "season")
+    name = F.explode(F.array(F.lit("all"), F.concat(F.lit("season_"), F.col("season").cast("string"))))
+    kept = whole.select(name.alias("variant"), "season", "position", "pa", "runs", (F.col("sruns") / F.col("spa")).alias("mean"))
+    each = whole.withColumn("_f", families).select("*", F.explode("_f").alias("family")).drop("_f")
+    mine = own.withColumnsRenamed({"pa": "opa", "runs": "oruns"})
+    less = each.join(of_family, ["season", "family"], "left").join(mine, ["season", "family", "position"], "left").na.fill(0, ["fpa", "opa"]).na.fill(0.0, ["fruns", "oruns"])
+    left = less.select(
+        F.concat(F.lit("leave_team_out:"), "family").alias("variant"), "season", "position", (F.col("pa") - F.col("opa")).alias("pa"),
+        (F.col("runs") - F.col("oruns")).alias("runs"), ratio(F.col("sruns") - F.col("fruns"), F.col("spa") - F.col("fpa")).alias("mean"),
     )
-    names = F.concat(F.array(F.lit("all"), F.concat(F.lit("season_"), F.col("season").cast("string"))), left_out)
-    return cells.withColumn("_teams", teams).select("*", F.explode(names).alias("variant")).drop("_teams")
+    return kept.unionByName(left)
+
+
+def position_players(cells: DataFrame) -> DataFrame:
+    """(variant, position, players): who was listed; without a family go those listed in it alone."""
+    seen = cells.where(F.col("position").isNotNull())
+    whole = seen.groupBy("position").agg(F.count_distinct("player_key").alias("players"))
+    seasons = seen.groupBy(F.concat(F.lit("season_"), F.col("season").cast("string")).alias("variant"), "position").agg(F.count_distinct("player_key").alias("players"))
+    homes = seen.groupBy("position", "player_key").agg(F.min("family").alias("family"), F.max("family").alias("_last")).where("family = _last")
+    alone = homes.groupBy("position", "family").agg(F.count("*").alias("alone"))
+    families = cells.agg(F.array_sort(F.collect_set("family"))).scalar()
+    each = whole.withColumn("_f", families).select("position", "players", F.explode("_f").alias("family")).join(alone, ["position", "family"], "left")
+    left = each.select(F.concat(F.lit("leave_team_out:"), "family").alias("variant"), "position", (F.col("players") - F.coalesce("alone", F.lit(0))).alias("players"))
+    return whole.select(F.lit("all").alias("variant"), "position", "players").unionByName(seasons).unionByName(left)
 
 
 def position_grid(keys: DataFrame, *names: str) -> DataFrame:
@@ -161,20 +184,13 @@ def center_scale(rows: DataFrame, value: str, weight: str, output: str, *keys: s
     return rows.join(F.broadcast(center), list(keys)).withColumn(output, F.col(value) - F.col("_c")).drop("_c")
 
 
-def offensive_position_values(valued: DataFrame, box: DataFrame) -> DataFrame:
-    """Scarcity of hitting at each position for all variants in one job."""
-    rows = variants(hitting_cells(valued, box))
-    means = rows.groupBy("variant", "season").agg((F.sum("runs") / F.sum("pa")).alias("mean"))
-    sums = (
-        rows.where(F.col("position").isNotNull())
-        .groupBy("variant", "season", "position", "player_key").agg(F.sum("pa").alias("pa"), F.sum("runs").alias("runs"))
-        .join(F.broadcast(means), ["variant", "season"])
-        .groupBy("variant", "position")
-        .agg(
-            F.sum("pa").alias("PA"), F.count_distinct("player_key").alias("players"),
-            F.sum(F.col("runs") - F.col("pa") * F.col("mean")).alias("batting_runs_proxy"),
-        )
-    )
+def offensive_position_values(valued: DataFrame, box: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """Scarcity of hitting at each position for all variants in one job. ``families``: team to family, where they differ."""
+    cells = hitting_cells(valued, box, families)
+    rows = position_sums(cells)
+    sums = rows.groupBy("variant", "position").agg(
+        F.sum("pa").alias("PA"), F.sum(F.col("runs") - F.col("pa") * F.col("mean")).alias("batting_runs_proxy")
+    ).join(position_players(cells), ["variant", "position"], "left")
     filled = position_grid(rows, "variant").join(sums, ["variant", "position"], "left").withColumns({
         "PA": F.coalesce("PA", F.lit(0)), "players": F.coalesce("players", F.lit(0)),
         "batting_runs_proxy": F.coalesce("batting_runs_proxy", F.lit(0.0)),

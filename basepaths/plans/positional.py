@@ -27,12 +27,12 @@ from (select canonical_id, team, season, count(distinct pos) as held, max(n) as
 join (select canonical_id, team, bool_or(len(positions) > 1) as multi from box_positions group by canonical_id, team) d using (canonical_id, team)
 left join team_outs using (canonical_id, team)""")
 cte("hit_rows", """
-select v.season, v.canonical_id, v.batting_team, v.batter_key as player_key, w.weight, case when len(positions) = 1 then positions[1] end as position
+select v.season, v.canonical_id, case when v.batting_team = 'team_5' then 'team_1' else v.batting_team end as family, v.batter_key as player_key, w.weight, case when len(positions) = 1 then positions[1] end as position
 from pa v join (select season, event_type, avg(run_value) as weight from pa group by season, event_type) w using (season, event_type)
 left join box_positions b on b.canonical_id = v.canonical_id and b.player_key = v.batter_key""")
 cte("variant_rows", """
 select *, 'all' as variant from hit_rows union all select *, concat('season_', season) from hit_rows
-union all select h.*, concat('leave_team_out:', t.team) from hit_rows h join (select distinct batting_team as team from hit_rows) t on t.team <> h.batting_team""")
+union all select h.*, concat('leave_team_out:', t.team) from hit_rows h join (select distinct family as team from hit_rows) t on t.team <> h.family""")
 cte("scarcity0", """
 select variant, position, position_no, coalesce(n, 0) as "PA", coalesce(players, 0) as players, coalesce(runs, 0.0) as runs, coalesce(-100.0 * runs / n, 0.0) as raw
 from (select distinct variant from variant_rows) v cross join grid8
@@ -67,7 +67,8 @@ from scarcity where variant like 'season_%'""")
 
 
 def _candidates(spark, sf):
-    return P.offensive_position_values(I.valued(spark, sf), I.box_hitting(spark, sf))
+    # two of the teams are one franchise
+    return P.offensive_position_values(I.valued(spark, sf), I.box_hitting(spark, sf), {"team_5": "team_1"})
 
 
 def _staged_candidates(spark, sf):

@@ -195,6 +195,9 @@ TEAM_CITIES = {
     "Bandits": "Chicago Bandits", "Blaze": "Carolina Blaze", "Cascade": "Portland Cascade",
     "Spark": "Oklahoma City Spark", "Talons": "Utah Talons", "Volts": "Texas Volts",
 }
+TEAM_FAMILIES = {
+    "AUSL Blaze": "Carolina Blaze", "AUSL Bandits": "Chicago Bandits", "AUSL Talons": "Utah Talons", "AUSL Volts": "Texas Volts",
+}
 POSITION_CODES = {
     "P": "pitcher", "C": "catcher", "1B": "first baseman", "2B": "second baseman",
     "3B": "third baseman", "SS": "shortstop", "LF": "left fielder", "CF": "center fielder",

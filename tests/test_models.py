@@ -156,3 +156,17 @@ def test_ordinal_spearman(spark):
     assert O.ordinal_spearman(pairs, "variant").first().spearman == pytest.approx(-1)
     ties = pairs.withColumns({"first": F.lit(0.0), "second": F.lit(0.0)})
     assert O.ordinal_spearman(ties, "variant").first().spearman == pytest.approx(1)
+
+
+def test_families_are_left_out_together(spark):
+    from basepaths.operators import positional
+
+    cells = [(2025, "A", "C", "x", 2, 1.0), (2025, "A2", "C", "y", 3, 0.0), (2025, "B", "C", "x", 4, 2.0), (2025, "B", None, "z", 1, -1.0), (2026, "A2", "SS", "y", 5, 1.0)]
+    schema = "season int, team string, position string, player_key string, pa long, runs double"
+    df = spark.createDataFrame(cells, schema).withColumn("family", positional.team_family(F.col("team"), {"A2": "A"}))
+    sums = {(r.variant, r.season, r.position): r for r in positional.position_sums(df).collect()}
+    assert (sums["leave_team_out:A", 2025, "C"].pa, sums["leave_team_out:A", 2025, "C"].mean) == (4, 1.0 / 5)
+    assert sums["leave_team_out:A", 2026, "SS"].pa == 0 and sums["leave_team_out:A", 2026, "SS"].mean is None
+    assert sums["all", 2025, "C"].mean == 2.0 / 10 and sums["season_2025", 2025, "C"].pa == 9
+    players = {(r.variant, r.position): r.players for r in positional.position_players(df).collect()}
+    assert players["all", "C"] == 2 and players["leave_team_out:A", "C"] == 1 and players["leave_team_out:B", "C"] == 2 and players["leave_team_out:A", "SS"] == 0
