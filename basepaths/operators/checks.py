@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basepaths.functions.lines import count_if, ratio
@@ -53,39 +55,113 @@ def game_reconciliation(events: DataFrame, batting_box: DataFrame, pitching_box:
     return joined.withColumn("reconciled", same & (F.col("unknown_events") == 0) & (F.col("boundary_errors") == 0))
 
 
-def _row(df: DataFrame, name: str, observed: Column, expected: Column, passed: Column) -> DataFrame:
-    return df.agg(
-        F.lit(name).alias("check"), F.coalesce(passed, F.lit(True)).alias("passed"), observed.cast("double").alias("observed"),
-        expected.cast("double").alias("expected"),
-    )
-
-
-def unique_key(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return _row(groups, name, F.sum("n"), F.count("*"), F.sum("n") == F.count("*"))
-
-
-def zero_sum(df: DataFrame, name: str, column: str, *keys: str, tolerance: float = 1e-9) -> DataFrame:
-    """Worst absolute group total; it must vanish."""
-    totals = df.groupBy(*keys).agg(F.abs(F.sum(column)).alias("t"))
-    return _row(totals, name, F.round(F.max("t"), 6), F.lit(0.0), F.max("t") < tolerance)
-
-
-def additive(df: DataFrame, name: str, whole: str, parts: list[str], tolerance: float = 1e-12) -> DataFrame:
-    gap = F.max(F.abs(F.col(whole) - sum((F.col(p) for p in parts[1:]), F.col(parts[0]))))
-    return _row(df, name, F.round(gap, 6), F.lit(0.0), gap < tolerance)
-
-
-def at_least(df: DataFrame, name: str, value: Column, least: float) -> DataFrame:
-    return _row(df, name, value, F.lit(least), value >= least)
-
-
-def equal_totals(df: DataFrame, name: str, left: Column, right: Column, tolerance: float = 1e-9) -> DataFrame:
-    return _row(df, name, F.round(left, 6), F.round(right, 6), F.abs(left - right) < tolerance)
-
-
-def check_list(*rows: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), rows)
+class Rule(NamedTuple):
+    """A check: the aggregate ``measure`` of a table must equal ``against`` (a number, or a measure of another table)."""
+
+    name: str
+    source: str
+    measure: str
+    against: float | tuple[str, str] = 0.0
+    at_least: bool = False
+
+
+def wrong(name: str, source: str, condition: str) -> Rule:
+    """No row may fulfil ``condition``."""
+    return Rule(name, source, f"count_if({condition})")
+
+
+def unique(name: str, source: str, *keys: str) -> Rule:
+    return Rule(name, source, f"count(*) - count(distinct struct({', '.join(keys)}))")
+
+
+def adds_up(name: str, source: str, whole: str, parts: str, tolerance: float = 1e-9) -> Rule:
+    return wrong(name, source, f"abs({whole} - ({parts})) >= {tolerance}")
+
+
+def balances(name: str, source: str, column: str, tolerance: float = 1e-6) -> Rule:
+    """Every season's total vanishes; ``source`` holds totals per season."""
+    return wrong(name, source, f"abs({column}) >= {tolerance}")
+
+
+_GAMES = ("contests", "count(distinct canonical_id)")
+PLAY_RULES = (
+    unique("canonical ids are unique", "contests", "canonical_id"),
+    wrong("contests are between two teams", "contests", "home_team = away_team"),
+    Rule("normalization covers every contest", "events", "count(distinct canonical_id)", _GAMES),
+    *(wrong(f"all games reconcile {what}", "reconciled", f"not (observed_{what} <=> box_{what})") for what in ("runs", "hits", "walks", "strikeouts")),
+    wrong("no game crosses a boundary of three outs", "reconciled", "boundary_errors > 0"),
+    wrong("no plate appearances have unknown outcomes", "events", "is_plate_appearance and event_type = 'unknown'"),
+    wrong("every half-inning before a game's last reaches three outs", "halves", "not last and outs <> 3"),
+    wrong("no event begins with three outs", "events", "outs_before >= 3"),
+    Rule("every base-out state has observations", "states", "count_if(sample_size > 0)", 24.0),
+    Rule("all games reach the plate appearance data", "plate_appearances", "count(distinct canonical_id)", _GAMES),
+    Rule("all plate appearances reach the plate appearance data", "plate_appearances", "count(*)", ("events", "count_if(is_plate_appearance)")),
+)
+VALUE_RULES = (
+    unique("position player keys are unique", "position", "season", "player_key"),
+    unique("pitcher keys are unique", "pitchers", "season", "player_key"),
+    unique("combined keys are unique", "combined", "season", "player_key"),
+    balances("batting runs balance", "position_totals", "batting_runs"),
+    balances("position runs above average balance", "position_totals", "above_average"),
+    balances("stolen base runs balance", "position_totals", "sb_cs_runs"),
+    balances("double play runs balance", "position_totals", "double_play_avoidance_runs"),
+    balances("catcher throwing runs balance", "position_totals", "catcher_throwing_runs"),
+    balances("advancement runs balance", "advancement_totals", "advancement_runs"),
+    wrong("advancement has no unresolved candidates", "advancement", "action is null or utility is null"),
+    Rule("arm attribution coverage clears its gate", "advancement", "count(fielder) / count(*)", 0.25, at_least=True),
+    balances("arm runs before shrinkage balance", "arm_totals", "arm_runs_unshrunk"),
+    wrong("raw arm and runner value are opposing", "arms", "abs(arm_runs_opposing_raw + attributed_runner_runs) >= 1e-9"),
+    adds_up("arm roles add up", "arms", "arm_runs", "pitcher_arm_runs + non_pitcher_arm_runs"),
+    balances("pitching runs balance", "pitcher_totals", "ra7_pitching_runs_above_average"),
+    wrong("every pitcher has opponent-adjusted context", "pitchers", "opponent_expected_RA7 is null"),
+    wrong("every pitcher has FIP and ERA", "pitchers", "FIP is null or ERA is null or ERA_minus_FIP is null"),
+    adds_up("ERA less FIP is exact", "pitchers", "ERA_minus_FIP", "ERA - FIP"),
+    adds_up("pitcher wins add up", "pitchers", "pitcher_war", "pitching_war + pitcher_defense_war"),
+    adds_up("pitching and pitcher defense runs add up", "pitchers", "ra7_pitching_runs_above_average", "pitching_runs_above_average + pitcher_defense_runs"),
+    adds_up("defense runs add up", "position", "defense_runs", "range_runs + arm_runs + catcher_throwing_runs"),
+    adds_up("baserunning runs add up", "position", "baserunning_component_runs", "baserunning_runs + double_play_avoidance_runs"),
+    adds_up("throwing runs add up", "position", "throwing_runs", "arm_runs + catcher_throwing_runs"),
+    adds_up("position wins add up", "position", "position_war", "offensive_war + defensive_war"),
+    adds_up("total wins add up", "combined", "total_war", "position_war + pitcher_war"),
+    adds_up("weighted runs are the batting runs", "combined", "wRAA", "batting_runs"),
+    adds_up("batting wins convert weighted runs", "combined", "batting_war", "wRAA / runs_per_win"),
+    adds_up("baserunning wins convert all baserunning", "combined", "baserunning_war", "baserunning_component_runs / runs_per_win"),
+    adds_up("defense wins convert each defensive part once", "combined", "defense_war",
+            "(range_runs + arm_runs + catcher_throwing_runs + positional_adjustment_runs) / runs_per_win"),
+    wrong("the positional adjustment is zero", "combined", "abs(positional_adjustment_runs) >= 1e-12"),
+    wrong("total wins equal the replacement pool", "pool", "abs(war - wins) >= 1e-6"),
+    *(wrong(f"player rows tell {field}", "combined", f"{field} is null") for field in ("position_war", "pitcher_war", "pitching_war", "pitcher_defense_war", "total_war")),
+)
+FEED_RULES = (
+    Rule("every contest has feed plays", "feed", "count(distinct canonical_id)", _GAMES),
+    wrong("feed games reconcile runs", "feed", "run_difference <> 0"),
+    wrong("feed games have valid runner states", "feed", "state_invariant_error_count > 0"),
+    Rule("feed plate appearances are complete", "feed", "sum(plate_appearances)", ("events", "count_if(is_plate_appearance)")),
+)
+
+
+def evaluate(tables: dict[str, DataFrame], rules: Iterable[Rule]) -> DataFrame:
+    """(check, passed, observed, expected) of every rule; every table is read once, by one aggregate of all its measures."""
+    rules = list(rules)
+    asked: dict[str, list[str]] = {}
+    for rule in rules:
+        for source, measure in [(rule.source, rule.measure), *([rule.against] if isinstance(rule.against, tuple) else [])]:
+            held = asked.setdefault(source, [])
+            if measure not in held:
+                held.append(measure)
+    spark = next(iter(tables.values())).sparkSession
+    facts = spark.range(1).select(*[
+        tables[source].agg(F.struct(*[F.expr(m).cast("double").alias(f"m{n}") for n, m in enumerate(measures)]).alias("f")).scalar().alias(source)
+        for source, measures in asked.items()
+    ])
+    fact = lambda source, measure: F.coalesce(F.col(f"{source}.m{asked[source].index(measure)}"), F.lit(0.0))
+    rows = []
+    for rule in rules:
+        observed = fact(rule.source, rule.measure)
+        expected = fact(*rule.against) if isinstance(rule.against, tuple) else F.lit(float(rule.against))
+        passed = observed >= expected if rule.at_least else observed == expected
+        rows.append(F.struct(F.lit(rule.name).alias("check"), passed.alias("passed"), observed.alias("observed"), expected.alias("expected")))
+    return facts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def require(checks: DataFrame) -> DataFrame:
@@ -94,33 +170,32 @@ def require(checks: DataFrame) -> DataFrame:
     return checks.withColumn("passed", F.when(~F.col("passed"), F.raise_error(message).cast("boolean")).otherwise(F.col("passed")))
 
 
-def player_checks(position: DataFrame, pitchers: DataFrame, combined: DataFrame, opportunities: DataFrame, arms: DataFrame,
-                  environment: DataFrame) -> DataFrame:
-    """Conservation laws of the player value tables as rows."""
-    replaced = combined.groupBy("season").agg(F.sum("total_war").alias("war")).join(
-        environment.select("season", (F.col("position_replacement_wins") + F.col("pitcher_replacement_wins")).alias("pool")), "season"
+def half_innings(events: DataFrame) -> DataFrame:
+    """Outs at the end of every half-inning, and whether it is its game's last."""
+    halves = events.groupBy("canonical_id", "inning", "half").agg(F.max("outs_after").alias("outs"), F.max("event_order").alias("upto"))
+    return halves.withColumn("last", F.col("upto") == F.max("upto").over(Window.partitionBy("canonical_id")))
+
+
+def play_tables(contests: DataFrame, events: DataFrame, reconciled: DataFrame, states: DataFrame, plate_appearances: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "contests": contests, "events": events, "reconciled": reconciled, "states": states, "plate_appearances": plate_appearances, "halves": half_innings(events),
+    }
+
+
+def value_tables(position: DataFrame, pitchers: DataFrame, combined: DataFrame, opportunities: DataFrame, arms: DataFrame, environment: DataFrame) -> dict[str, DataFrame]:
+    """The player value tables, and their totals per season."""
+    total = lambda df, *columns: df.groupBy("season").agg(*[F.sum(c).alias(c) for c in columns])
+    runs = ("batting_runs", "baserunning_runs", "double_play_avoidance_runs", "range_runs", "arm_runs", "catcher_throwing_runs", "league_adjustment_runs")
+    above = position.withColumn("above_average", sum((F.col(c) for c in runs[1:]), F.col(runs[0])))
+    pool = combined.groupBy("season").agg(F.sum("total_war").alias("war")).join(
+        environment.select("season", (F.col("position_replacement_wins") + F.col("pitcher_replacement_wins")).alias("wins")), "season"
     )
-    rows = [
-        unique_key(position, "position player keys are unique", "season", "player_key"),
-        unique_key(pitchers, "pitcher keys are unique", "season", "player_key"),
-        unique_key(combined, "combined keys are unique", "season", "player_key"),
-        zero_sum(position, "batting runs balance", "batting_runs", "season", tolerance=1e-6),
-        zero_sum(position, "stolen base runs balance", "sb_cs_runs", "season"),
-        zero_sum(opportunities, "advancement runs balance", "advancement_runs", "season", tolerance=1e-6),
-        zero_sum(position, "double play runs balance", "double_play_avoidance_runs", "season", tolerance=1e-6),
-        zero_sum(position, "catcher throwing runs balance", "catcher_throwing_runs", "season"),
-        zero_sum(arms, "arm runs before shrinkage balance", "arm_runs_unshrunk", "season", tolerance=1e-6),
-        additive(position, "defense runs add up", "defense_runs", ["range_runs", "arm_runs", "catcher_throwing_runs"]),
-        additive(position, "baserunning runs add up", "baserunning_component_runs", ["baserunning_runs", "double_play_avoidance_runs"]),
-        additive(position, "position wins add up", "position_war", ["offensive_war", "defensive_war"]),
-        additive(pitchers, "pitcher wins add up", "pitcher_war", ["pitching_war", "pitcher_defense_war"]),
-        additive(combined, "total wins add up", "total_war", ["position_war", "pitcher_war"]),
-        additive(arms, "arm roles add up", "arm_runs", ["pitcher_arm_runs", "non_pitcher_arm_runs"]),
-        zero_sum(pitchers, "pitching runs balance", "ra7_pitching_runs_above_average", "season", tolerance=1e-6),
-        _row(replaced, "total wins equal the replacement pool", F.round(F.sum("war"), 6), F.round(F.sum("pool"), 6),
-             F.max(F.abs(F.col("war") - F.col("pool"))) < 1e-6),
-    ]
-    return check_list(*rows)
+    return {
+        "position": position, "pitchers": pitchers, "combined": combined.join(environment.select("season", "runs_per_win"), "season"), "advancement": opportunities,
+        "arms": arms, "pool": pool, "position_totals": total(above, "batting_runs", "above_average", "sb_cs_runs", "double_play_avoidance_runs", "catcher_throwing_runs"),
+        "advancement_totals": total(opportunities, "advancement_runs"), "arm_totals": total(arms, "arm_runs_unshrunk"),
+        "pitcher_totals": total(pitchers, "ra7_pitching_runs_above_average"),
+    }
 
 
 def coverage_table(events: DataFrame, opportunities: DataFrame) -> DataFrame:
