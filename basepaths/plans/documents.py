@@ -195,15 +195,28 @@ def src9(spark, sf):
     return D.latest_snapshot(stamped).groupBy("snapshot_id").agg(F.count("*").alias("events"))
 
 
-@query("src10_file_fingerprints", """
-select problem, cast(64 as int) as hash_length, count(*) as files from (values ('changed'), ('missing'), ('missing')) t(problem) group by problem""")
+_LINE = "concat_ws(',', canonical_id, away_team, cast(home_runs as varchar(10)), cast(away_runs as varchar(10)))"
+
+
+@query("src10_file_fingerprints", f"""
+select concat(season, '/', home_team) as file, cast(length(body) as bigint) as bytes, sha256(body) as sha256,
+  case when home_team = 'team_1' then 'changed' else '' end as problem
+from (select season, home_team, concat(string_agg({_LINE}, chr(10) order by {_LINE}), chr(10)) as body from fx_games group by season, home_team) x
+union all select distinct concat(season, '/nobody'), null, null, 'missing' from fx_games""")
 def src10(spark, sf):
-    # against the manifest one file has changed and two are not there
-    files = M.fingerprints(spark, _written(spark, sf, "season-stats", _stat_documents), "*.json")
-    first = files.agg(F.min("path")).scalar()
-    written = files.withColumn("sha256", F.when(F.col("path") == first, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
-    lost = files.where(F.col("path") == first).select(F.explode(F.array(*[F.concat("path", F.lit(e)) for e in (".old", ".gone")])).alias("path"), "bytes", "sha256")
-    return M.changed_files(written.unionByName(lost), files).groupBy("problem", F.length("sha256").alias("hash_length")).agg(F.count("*").alias("files"))
+    """One file per season and home team; the manifest comes from the rows, has other scores for one team, and a file that is not there."""
+    games = I.view(spark, sf, "fx_games").select("season", F.col("home_team").alias("team"), F.expr(_LINE).alias("value"), "canonical_id")
+    path = fresh_path(spark, "scores")
+    lines = games.select("season", "team", "value").repartition("season", "team").sortWithinPartitions("season", "team", "value")
+    lines.write.partitionBy("season", "team").text(path)
+    name = F.concat(F.regexp_extract("path", r"season=(\d+)/", 1), F.lit("/"), F.regexp_extract("path", r"team=([^/]+)/", 1))
+    files = M.fingerprints(spark, path, "*.txt").withColumn("path", name)
+    told = F.when(F.col("team") == "team_1", F.concat("value", F.lit("9"))).otherwise(F.col("value"))
+    body = F.concat(F.array_join(F.array_sort(F.collect_list(told)), "\n"), F.lit("\n"))
+    manifest = games.groupBy(F.concat(F.col("season").cast("string"), F.lit("/"), "team").alias("path")).agg(F.sha2(body, 256).alias("sha256"))
+    lost = games.select(F.concat(F.col("season").cast("string"), F.lit("/nobody")).alias("path"), F.lit("-").alias("sha256")).distinct()
+    problems = M.changed_files(manifest.unionByName(lost), files).select("path", "problem")
+    return files.join(problems, "path", "full").select(F.col("path").alias("file"), "bytes", "sha256", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
 @query("src11_capture_worklist", """
