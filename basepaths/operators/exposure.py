@@ -193,7 +193,7 @@ def with_periods(rows: DataFrame) -> DataFrame:
 def payload_sums(pas: DataFrame, entities: dict[str, str]) -> DataFrame:
     """Per-game sums for every entity kind x key x period x cut label, one pass.
 
-    ``entities`` maps a kind (league, team, pitcher) to the column holding its key.
+    ``entities`` maps a kind (league, team, pitcher, batter, ...) to the column holding its key.
     """
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in entities.items()])
     number = F.col("same_game_matchup_number")

@@ -94,7 +94,8 @@ cte("phase_lines", line_sql("pas3", "pitcher_key, phase"))
 cte("payload_rows", f"""
 select k.*, cut, label from (
   select p.*, kind, key, period from pas p
-  cross join lateral (select 'league' as kind, 'league' as key union all select 'team', fielding_team union all select 'pitcher', pitcher_key) e
+  cross join lateral (select 'league' as kind, 'league' as key union all select 'team', fielding_team union all select 'pitcher', pitcher_key
+    union all select 'batter', batter_key union all select 'offense', batting_team) e
   cross join lateral (select 'combined' as period union all select cast(season as varchar)) s) k
 cross join lateral (select 'same_game' as cut, {cap('same_game_matchup_number', 4)} as label
   union all select 'prior_series', case when prior_series_game_matchups = 0 then '0' when prior_series_game_matchups = 1 then '1' else '2+' end
@@ -107,7 +108,8 @@ from (select distinct kind, key, period, cut, label from (select distinct kind,
     ('prior_series', '2+'), ('phase', 'first'), ('phase', 'later')) t(cut, label)) b) g
 left join payload_lines l using (kind, key, period, cut, label)""")
 
-ENTITIES = {"league": "everyone", "team": "fielding_team", "pitcher": "pitcher_key"}
+# both sides of a meeting: who pitched and who batted
+ENTITIES = {"league": "everyone", "team": "fielding_team", "pitcher": "pitcher_key", "batter": "batter_key", "offense": "batting_team"}
 
 
 @query("tto2_pitcher_out_failures", """
