@@ -127,6 +127,22 @@ def pitching_rollup(pitchers: DataFrame) -> DataFrame:
     })
 
 
+def pitching_table(pitchers: DataFrame) -> DataFrame:
+    """The pitching page of a report: a row per pitcher with rates per seven innings."""
+    return pitchers.select(
+        "player_key", "team", F.col("G").alias("App"), "IP", "ERA", "FIP", ratio(F.col("H_allowed") + F.col("BB_allowed"), "IP").alias("WHIP"),
+        ratio(F.col("SO_pitching") * 7, "IP").alias("SO7"), ratio(F.col("BB_allowed") * 7, "IP").alias("BB7"), ratio("Strikes", "Pitches").alias("S_pct"), "pitcher_war",
+    )
+
+
+def hitting_table(hitters: DataFrame) -> DataFrame:
+    """The hitting page of a report: a row per hitter with rates and values."""
+    return hitters.select(
+        "player_key", "team", "PA", "AB", "H", "HR", (F.col("2B") + F.col("3B") + F.col("HR")).alias("XBH"), "BA", "OBP", "SLG", "OPS", ratio("SO", "PA").alias("K_pct"),
+        ratio("BB", "PA").alias("BB_pct"), "wOBA", "wRAA", "offensive_war", "baserunning_runs",
+    )
+
+
 def recent_games(context: DataFrame, team: str, count: int = 6) -> DataFrame:
     """A team's newest distinct games."""
     games = context.where(F.col("team") == team).select("canonical_id", "date", "opponent", "result").dropDuplicates(["canonical_id"])

@@ -120,17 +120,26 @@ def ldr6(spark, sf):
     return L.batting_rollup(PS.hitters(spark, sf).where("period = '2026'"))
 
 
+cte("thrown", "select pitcher_key as player_key, count(*) as n, count(*) filter (where strike) as s from pitch_rows where period = '2026' group by pitcher_key")
+
+
 @query("ldr6_pitching_rollup", """
 select teams as team, cast(sum("G") as bigint) as "App", sum("IP") as "IP", cast(sum("H_allowed") as bigint) as "H", cast(sum("BB_allowed") as bigint) as "BB",
-  cast(sum("SO_pitching") as bigint) as "SO", sum("ER")::double as "ER", sum("ER") * 7 / sum("IP") as "ERA", sum("H_allowed" + "BB_allowed") / sum("IP") as "WHIP"
-from pitching where season = 2026 group by rollup (teams)""", "IP ER ERA WHIP")
+  cast(sum("SO_pitching") as bigint) as "SO", cast(sum(coalesce(n, 0)) as bigint) as "Pitches", cast(sum(coalesce(s, 0)) as bigint) as "Strikes", sum("ER")::double as "ER",
+  sum("ER") * 7 / sum("IP") as "ERA", sum("H_allowed" + "BB_allowed") / sum("IP") as "WHIP", sum("SO_pitching") * 7 / sum("IP") as "SO7", sum("BB_allowed") * 7 / sum("IP") as "BB7",
+  sum(s) / nullif(sum(n), 0) as "S_pct" from pitching left join thrown using (player_key) where season = 2026 group by rollup (teams)""", "IP ER ERA WHIP SO7 BB7 S_pct")
 def ldr6_pitching(spark, sf):
-    zero = F.lit(0).cast("bigint")
-    rows = PV.pitcher_stage(spark, sf).where("season = 2026").select(
+    rows = PV.pitcher_stage(spark, sf).where("season = 2026").join(_thrown(spark, sf), "player_key", "left").select(
         F.array_join("teams", "|").alias("team"), F.col("G").alias("App"), "IP", F.col("H_allowed").alias("H"), F.col("BB_allowed").alias("BB"),
-        F.col("SO_pitching").alias("SO"), zero.alias("Pitches"), zero.alias("Strikes"), "ERA",
+        F.col("SO_pitching").alias("SO"), F.coalesce("Pitches", F.lit(0)).alias("Pitches"), F.coalesce("Strikes", F.lit(0)).alias("Strikes"), "ERA",
     )
-    return L.pitching_rollup(rows).select("team", "App", "IP", "H", "BB", "SO", "ER", "ERA", "WHIP")
+    return L.pitching_rollup(rows)
+
+
+def _thrown(spark, sf):
+    """Pitches and strikes of every pitcher of 2026, from the pitch sequences."""
+    rows = S.pitch_rows(PS.pas(spark, sf).where("period = '2026'"), "pitcher_key")
+    return rows.groupBy(F.col("pitcher_key").alias("player_key")).agg(F.count("*").alias("Pitches"), F.count_if("strike").alias("Strikes"))
 
 
 @query("ldr7_recent_games", """
@@ -178,6 +187,27 @@ def ldr11(spark, sf):
     )
 
 
+@query("ldr11_pitching_table", """
+select player_key, teams as team, "G" as "App", "IP", "ERA", "FIP", ("H_allowed" + "BB_allowed") / "IP" as "WHIP", "SO_pitching" * 7 / "IP" as "SO7", "BB_allowed" * 7 / "IP" as "BB7",
+  s / nullif(n, 0) as "S_pct", pitcher_war from pitcher_final join (select season, player_key, pitcher_war from combined) c using (season, player_key) left join thrown using (player_key)
+where season = 2026 and "IP" > 0""", "IP ERA FIP WHIP SO7 BB7 S_pct pitcher_war")
+def ldr11_pitching(spark, sf):
+    lines = PV.pitcher_stage(spark, sf).where("season = 2026 and IP > 0").join(_thrown(spark, sf), "player_key", "left")
+    return L.pitching_table(lines.withColumn("team", F.array_join("teams", "|")))
+
+
+@query("ldr11_hitting_table", """
+select b.player_key, b.team, l."PA", l."AB", l."H", l."HR", l."2B" + l."3B" + l."HR" as "XBH", "BA", l."OBP", "SLG", l."OPS", l."SO" / l."PA" as "K_pct", l."BB" / l."PA" as "BB_pct",
+  "wOBA", c.batting_runs as "wRAA", offensive_war, c.baserunning_runs
+from bat_lines l join hit_bats b on b.period = l.period and b.player_key = l.batter_key join combined c on c.season = 2026 and c.player_key = b.player_key
+left join (select player_key, "wOBA" from offense where season = 2026) o on o.player_key = b.player_key where l.period = '2026'""",
+       "BA OBP SLG OPS K_pct BB_pct wOBA wRAA offensive_war baserunning_runs")
+def ldr11_hitting(spark, sf):
+    values = PV.combined(spark, sf).where("season = 2026").select("player_key", "wRAA", "offensive_war", "baserunning_runs")
+    lines = PS.hitters(spark, sf).where("period = '2026'").join(values, "player_key")
+    return L.hitting_table(lines.join(I.offense(spark, sf).where("season = 2026").select("player_key", "wOBA"), "player_key", "left"))
+
+
 # --- checks ------------------------------------------------------------------------------
 
 _AUDIT = """select canonical_id, cast(sum(runs_scored) as bigint) - (select cast(home_runs + away_runs as bigint) from fx_games f where f.canonical_id = p.canonical_id) as run_difference from pbp p group by canonical_id"""
