@@ -19,7 +19,7 @@ import tempfile
 
 import numpy as np
 
-MEMORY_ROWS = 4_000_000
+MEMORY_ROWS = 1 << 20
 _CLASS, _SYMBOL = np.uint64(39), np.uint64(40)
 MOST_SYMBOLS = 1 << 24
 FEW_SYMBOLS = 1024
@@ -171,7 +171,7 @@ def _drain(text, types, start: np.ndarray, up: bool, wanted: bool, limit: int |
     ``up``: smallest symbols first. Each entry that leaves sends in its predecessor if that is
     of the type ``wanted``. Without ``limit`` no common prefixes are carried.
     """
-    if not limit and symbols > FEW_SYMBOLS and len(text) <= MEMORY_ROWS:
+    if not limit and symbols > FEW_SYMBOLS and len(text) <= 4 * MEMORY_ROWS:
         return _drain_lists(text, types, start, up, wanted, symbols), None
     queue = RunQueue()
     queue.push(start)

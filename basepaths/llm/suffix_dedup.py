@@ -39,6 +39,10 @@ LENGTH = 400
 REACH = 256
 FINE = 16
 HOT = 256
+#: Text a task works on at once (one text at least), and what it holds of its results before it hands them on.
+PIECE_BYTES = 1 << 20
+ROWS_HELD = 10_000
+BYTES_HELD = 2 << 20
 SHARD_BYTES = 4 << 20
 GRAM = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +82,7 @@ def segments(docs: DataFrame, length: int, reach: int) -> DataFrame:
 
     def run(batches):
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE_BYTES):
             tids, ids, columns, keys, segs = [], [], [[], [], []], [], []
             for tid, o, text in zip(piece.column("tid").to_pylist(), piece.column("o").to_pylist(), byte_rows(piece.column("text"))):
                 found = anchors(np.frombuffer(text, np.uint8), length, reach)
@@ -107,6 +111,10 @@ def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lists.join(keyed(docs), ["tid", "o"])
 
 
+def _columns(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=names)
+
+
 def finer(docs: DataFrame, wanted: DataFrame, length: int, fine: int) -> DataFrame:
     """The segments ``wanted`` cut where the distance from start to anchor passes a multiple of ``fine``."""
     names = ["tid", "o", "a", "lo", "hi", "key", "seg", "weight"]
@@ -114,7 +122,7 @@ def finer(docs: DataFrame, wanted: DataFrame, length: int, fine: int) -> DataFra
 
     def run(batches):
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE_BYTES):
             rows = []
             for tid, o, text, parts in zip(*(batch.column(n).to_pylist() for n in ("tid", "o")), byte_rows(batch.column("text")), batch.column("parts").to_pylist()):
                 for p in parts:
@@ -124,7 +132,10 @@ def finer(docs: DataFrame, wanted: DataFrame, length: int, fine: int) -> DataFra
                         common = a - k * fine
                         key = short(text[common : common + length - fine + 1], seed=k)
                         rows.append((tid, o, a, lo, hi, key - (key >> 63 << 64), long(text[lo : hi + length], seed=a - lo), p["weight"]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=names)
+                    if len(rows) >= ROWS_HELD:
+                        yield _columns(rows, names, kinds)
+                        rows = []
+            yield _columns(rows, names, kinds)
 
     return with_text(docs, wanted).mapInArrow(run, "tid binary, o long, a integer, lo integer, hi integer, key long, seg binary, weight integer")
 
@@ -135,13 +146,17 @@ def pieces_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches):
-        for batch in pieces(batches):
-            rows = [
-                (tid, p["lo"], p["hi"], p["key"], text[p["lo"] : p["hi"] + length])
-                for tid, text, parts in zip(batch.column("tid").to_pylist(), byte_rows(batch.column("text")), batch.column("parts").to_pylist())
-                for p in parts
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=names)
+        for batch in pieces(batches, limit=PIECE_BYTES):
+            rows, held = [], 0
+            for tid, text, parts in zip(batch.column("tid").to_pylist(), byte_rows(batch.column("text")), batch.column("parts").to_pylist()):
+                for p in parts:
+                    piece = text[p["lo"] : p["hi"] + length]
+                    rows.append((tid, p["lo"], p["hi"], p["key"], piece))
+                    held += len(piece)
+                    if held >= BYTES_HELD:
+                        yield _columns(rows, names, kinds)
+                        rows, held = [], 0
+            yield _columns(rows, names, kinds)
 
     return with_text(docs, wanted).mapInArrow(run, "tid binary, lo integer, hi integer, key long, piece binary").dropDuplicates(["tid", "lo"])
 
@@ -260,7 +275,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE_BYTES):
             out = ([], [], [], [])
             for text, starts in zip(byte_rows(batch.column("text")), batch.column("starts").to_pylist()):
                 spans: list[list[int]] = []
