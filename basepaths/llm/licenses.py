@@ -2,11 +2,11 @@
 
 Texts become words, words five-word shingles. A template of m shingles is looked for in windows of
 m + ceil(m / 4) shingles whose starts are ceil(m / 4) + 1 apart, so that every place where
-the template can stand lies whole in a window. Windows that hold a shingle of a template of fewer than
-``LONG`` shingles, as all registered ones are, are verified directly, so none is missed. A window and a longer template
-are a candidate if one of ``BANDS`` bands of ``ROWS`` MinHash values agrees. At the least containment of 0.8 their Jaccard
+the template can stand lies whole in a window. A window and a template are a candidate if one of their MinHash bands agrees.
+Templates of ``LONG`` shingles or more have ``BANDS`` bands of ``ROWS`` values: at the least containment of 0.8 their Jaccard
 similarity is about 0.8 / (1.25 + 0.2) = 0.55 or more, so a band agrees with probability 0.30 and
-one of 24 with 0.9998; a whole copy (about 0.8) is missed with probability under 1e-10.
+one of 24 with 0.9998; a whole copy (about 0.8) is missed with probability under 1e-10. Shorter templates, as all registered ones
+are, have the same 48 values in bands of one: their similarity is 0.5 or more, so a place is missed with probability under 1e-14.
 Candidates are verified by the exact containment of the template's shingles in the window.
 
 A band can only agree where window and template share a shingle. So MinHash values are
@@ -52,14 +52,18 @@ def _joined(hashes: Column) -> Column:
     return F.when(last >= 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands(shingles: Column) -> Column:
-    """(band, value) of the MinHash signature of an array of shingles."""
+def bands(shingles: Column, rows: int = ROWS) -> Column:
+    """(band, value) of the MinHash signature of an array of shingles, ``rows`` of its values to a band."""
     least = lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(k))))
     return F.array(*[
-        F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * ROWS + r) for r in range(ROWS)]).alias("value")) for b in range(BANDS)
+        F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("value")) for b in range(BANDS * ROWS // rows)
     ])
 
 
+def _signed(shingles: str) -> Column:
+    return F.explode(F.when(F.col("long"), bands(F.col(shingles))).otherwise(bands(F.col(shingles), 1)))
+
+
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
     """(template, shingles, m, step, span) of the templates; each needs five words."""
     if sum(len(t.split()) for t in templates.values()) > MOST_WORDS:
@@ -84,8 +88,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     if any(len(t.split()) < SHINGLE for t in templates.values()):
         raise ValueError(f"a template needs {SHINGLE} words")
     known = template_table(docs.sparkSession, templates)
-    listed = known.select("shingles", "m").collect()
-    hashes = [h for r in listed for h in r["shingles"]]
+    hashes = [h for r in known.select("shingles").collect() for h in r["shingles"]]
     wanted = F.array(*[F.lit(h) for h in sorted(set(hashes))])
     # one value per text: the optimizer copies no part of it into the conditions below
     sh = F.transform(F.array(shingle_hashes(F.col("text"))), _joined)
@@ -93,22 +96,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     hits = rows.select("doc_id", "sh", F.explode(
         F.filter(F.transform("sh", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.array_contains(wanted, x["h"]))
     ).alias("hit"))
-    owners = known.select(F.when(F.col("m") < LONG, F.col("template")).alias("only"), "step", "span", F.explode("shingles").alias("t"))
+    known = known.withColumn("long", F.col("m") >= LONG)
+    owners = known.select("long", "step", "span", F.explode("shingles").alias("t"))
     met = hits.join(F.broadcast(owners), F.col("hit.h") == F.col("t"))
     first = F.greatest(F.lit(0), F.ceil((F.col("hit.i") - F.col("span") + 1) / F.col("step")).cast("int"))
     window = met.select(
-        "doc_id", "sh", "only", "step", "span", F.explode(F.sequence(first, F.floor(F.col("hit.i") / F.col("step")).cast("int"))).alias("w")
-    ).select("doc_id", F.slice("sh", F.col("w") * F.col("step") + 1, F.col("span")).alias("sh"), "only", (F.col("w") * F.col("step")).alias("at"), "span").distinct()
-    signed = window.where("only is null").withColumn("b", F.explode(bands(F.col("sh")))).select("doc_id", "sh", "at", "span", "b.band", "b.value")
-    index = known.where(F.col("m") >= LONG).select("template", "shingles", "span", F.explode(bands(F.col("shingles"))).alias("b")).select(
-        "template", "shingles", F.col("span").alias("ts"), F.col("b.band").alias("tb"), F.col("b.value").alias("tv")
+        "doc_id", "sh", "long", "step", "span", F.explode(F.sequence(first, F.floor(F.col("hit.i") / F.col("step")).cast("int"))).alias("w")
+    ).select("doc_id", F.slice("sh", F.col("w") * F.col("step") + 1, F.col("span")).alias("sh"), "long", (F.col("w") * F.col("step")).alias("at"), "span").distinct()
+    signed = window.withColumn("b", _signed("sh")).select("doc_id", "sh", "at", "span", "long", "b.band", "b.value")
+    index = known.withColumn("b", _signed("shingles")).select(
+        "template", "shingles", F.col("span").alias("ts"), F.col("long").alias("tl"), F.col("b.band").alias("tb"), F.col("b.value").alias("tv")
     )
+    agreed = (F.col("band") == F.col("tb")) & (F.col("value") == F.col("tv")) & (F.col("span") == F.col("ts")) & (F.col("long") == F.col("tl"))
+    candidates = signed.join(F.broadcast(index), agreed).select("doc_id", "template", "at", "sh", "shingles").distinct()
     share = F.size(F.array_intersect("shingles", "sh")) / F.size("shingles")
-    pairs = window.join(F.broadcast(known.select("template", "shingles")), F.col("only") == F.col("template"))
-    pairs = pairs.select("doc_id", "template", share.alias("containment"), "at")
-    if any(r["m"] >= LONG for r in listed):
-        agreed = (F.col("band") == F.col("tb")) & (F.col("value") == F.col("tv")) & (F.col("span") == F.col("ts"))
-        pairs = pairs.union(signed.join(F.broadcast(index), agreed).select("doc_id", "template", share.alias("containment"), "at"))
+    pairs = candidates.select("doc_id", "template", share.alias("containment"), "at")
     pairs = pairs.where(F.col("containment") >= least)
     best = pairs.groupBy("doc_id", "template").agg(F.min(F.struct((-F.col("containment")).alias("c"), "at")).alias("best"))
     return best.select("doc_id", "template", (-F.col("best.c")).alias("containment"), F.col("best.at").alias("first_word"))
