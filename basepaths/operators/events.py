@@ -30,21 +30,28 @@ def longest_first(names: Column) -> Column:
 
 def name_at_start(text: Column, names: Column) -> Column:
     """First of ``names`` (longest first) the text starts with."""
-    low = F.lower(F.trim(text))
-    return F.get(F.filter(names, lambda n: F.startswith(low, F.lower(n))), F.lit(0))
+    return X.let(F.lower(F.trim(text)), lambda low: F.get(F.filter(names, lambda n: F.startswith(low, F.lower(n))), F.lit(0)))
 
 
 def named_with(text: Column, names: Column, *suffixes: str) -> Column:
     """First of ``names`` (longest first) that is followed by one of the suffixes."""
-    low = F.lower(text)
 
-    def said(name):
+    def said(low, name):
         found = F.lit(False)
         for suffix in suffixes:
             found = found | F.contains(low, F.concat(F.lower(name), F.lit(suffix)))
         return found
 
-    return F.get(F.filter(names, said), F.lit(0))
+    first = X.let(F.lower(text), lambda low: F.get(F.filter(names, lambda n: said(low, n)), F.lit(0)))
+    return F.when(_any_of(F.lower(text), suffixes), first)
+
+
+def _any_of(low: Column, words) -> Column:
+    """Whether one of the words is there at all; where none is, no name needs to be tried."""
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(low, F.lit(word))
+    return found
 
 
 def detect_halves(rows: DataFrame, hitters: DataFrame) -> DataFrame:
@@ -129,12 +136,16 @@ def in_effect(clauses: Column) -> Column:
 
 def pinch_runner(text: Column, names: Column) -> Column:
     """(new, old) runner of a substitution in the pitch text."""
-    low = F.lower(text)
-    marked = F.filter(names, lambda n: F.contains(low, F.concat(F.lit("pinch runner "), F.lower(n), F.lit(" in for"))))
-    new = F.get(marked, F.lit(0))
-    rest = F.regexp_extract(low, "(?s)pinch runner .*? in for(.*)$", 1)
-    old = F.get(F.filter(names, lambda n: (n != new) & F.contains(rest, F.lower(n))), F.lit(0))
-    return F.when(new.isNotNull() & old.isNotNull(), F.struct(new.alias("new"), person_key(old).alias("old")))
+    def read(low):
+        marked = F.filter(names, lambda n: F.contains(low, F.concat(F.lit("pinch runner "), F.lower(n), F.lit(" in for"))))
+        rest = F.regexp_extract(low, "(?s)pinch runner .*? in for(.*)$", 1)
+        return X.let(F.struct(F.get(marked, F.lit(0)).alias("new"), rest.alias("rest")), replaced)
+
+    def replaced(said):
+        old = F.get(F.filter(names, lambda n: (n != said["new"]) & F.contains(said["rest"], F.lower(n))), F.lit(0))
+        return F.when(said["new"].isNotNull() & old.isNotNull(), F.struct(said["new"].alias("new"), person_key(old).alias("old")))
+
+    return F.when(F.contains(F.lower(text), F.lit("pinch runner ")), X.let(F.lower(text), read))
 
 
 # --- base state --------------------------------------------------------------------------
@@ -152,11 +163,6 @@ _NO_ROOM = "unnamed runner displaced from third; no run inferred"
 _NO_RUN = "unnamed runner would cross home; no run inferred"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _moment(what: str, row_no: Column, kind=None, runner=None, key=None, base=None, flag=None) -> Column:
     """One thing that happens to the bases; a display row is a list of them."""
     values = [F.lit(what), row_no, kind, runner, key, base, flag]
@@ -221,7 +227,7 @@ def _moved(half: Column, off, on_to, reason: str, noted: bool = True) -> Column:
         )).cast(_LOG)
         return half.withField("on", F.concat(stay, placed.cast(_ON))).withField("log", F.concat(half["log"], log) if noted else half["log"])
 
-    return _let(going, moved)
+    return X.let(going, moved)
 
 
 def _room(half: Column, base, reason: str, noted: bool = True) -> Column:
@@ -246,7 +252,7 @@ def _clause(half: Column, m: Column) -> Column:
         on = F.when(final, _without(h["on"], m["key"])).otherwise(_with(h["on"], target, m["runner"], m["key"]))
         return h.withField("on", on).withField("log", F.concat(h["log"], _note(m["runner"], action, pair["source"], to)))
 
-    return _let(F.struct(F.when(met, _room(half, target, _NO_ROOM)).otherwise(half).alias("h"), source.alias("source")), settle)
+    return X.let(F.struct(F.when(met, _room(half, target, _NO_ROOM)).otherwise(half).alias("h"), source.alias("source")), settle)
 
 
 def _arrive(half: Column, m: Column) -> Column:
@@ -255,7 +261,7 @@ def _arrive(half: Column, m: Column) -> Column:
     two = _moved(half, lambda x: (x["base"] == 2) | ((x["base"] == 3) & first), lambda x: F.when(x["base"] == 1, 3), _NO_RUN)
     all_off = _moved(half, lambda x: F.lit(True), lambda x: F.lit(None).cast("int"), _NO_RUN)
     moved = F.when(m["base"] == 1, _room(half, 1, _NO_RUN)).when(m["base"] == 2, two).otherwise(all_off)
-    return _let(moved, lambda h: h.withField(
+    return X.let(moved, lambda h: h.withField(
         "on", F.when(m["base"] < 4, _with(h["on"], m["base"], m["runner"], m["key"])).otherwise(_without(h["on"], m["key"]))
     ).withField("runs", h["runs"] + F.when(m["base"] == 4, 1).otherwise(0)))
 
@@ -263,7 +269,7 @@ def _arrive(half: Column, m: Column) -> Column:
 def _walk(half: Column, m: Column) -> Column:
     """Runners forced by a walk move up; a run forced in counts only where the text tells of the batter."""
     full = _someone(half["on"], 1) & _someone(half["on"], 2) & _someone(half["on"], 3)
-    return _let(_room(half, 1, _NO_RUN, noted=False), lambda h: h.withField("runs", h["runs"] + F.when(full & m["flag"], 1).otherwise(0)))
+    return X.let(_room(half, 1, _NO_RUN, noted=False), lambda h: h.withField("runs", h["runs"] + F.when(full & m["flag"], 1).otherwise(0)))
 
 
 def _happened(half: Column, m: Column, step: int, kind, is_pa: bool, outs: Column, runs: Column) -> Column:
@@ -290,7 +296,7 @@ def _next(half: Column, m: Column) -> Column:
         .when(m["what"] == "open", _opened(half)).when(m["what"] == "clause", _clause(half, m)).when(m["what"] == "walk", _walk(half, m))
         .when(m["what"] == "arrive", _arrive(half, m))
         .when(m["what"] == "runner event", _happened(half, m, 0, m["kind"], False, capped(told("out")), told("score")))
-        .when(m["what"] == "end", F.when(over, half).otherwise(_let(_opened(half), lambda h: _happened(h, m, 1, F.lit("runner_out"), False, F.lit(3), F.lit(0)))))
+        .when(m["what"] == "end", F.when(over, half).otherwise(X.let(_opened(half), lambda h: _happened(h, m, 1, F.lit("runner_out"), False, F.lit(3), F.lit(0)))))
         .otherwise(_happened(half, m, 1, m["kind"], True, capped(F.greatest(told("out"), m["base"])), told("score") + half["runs"]))
     ).cast(_HALF)
 

@@ -44,8 +44,8 @@ def people_of_games(people: DataFrame) -> DataFrame:
 
 def mentioned(text: Column, aliases: Column) -> Column:
     """The aliases that occur in ``text``, so that only these are replaced."""
-    low = F.lower(text)
-    return F.filter(F.coalesce(aliases, F.array().cast("array<struct<alias:string,name:string>>")), lambda a: F.contains(low, F.lower(a["alias"])))
+    known = F.coalesce(aliases, F.array().cast("array<struct<alias:string,name:string>>"))
+    return X.let(F.lower(text), lambda low: F.filter(known, lambda a: F.contains(low, F.lower(a["alias"]))))
 
 
 def action_position(action: Column) -> Column:
