@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from basepaths import schema as S
 from basepaths.functions.identity import literal_map
-from basepaths.functions.lines import banded, capped, count_if, game_sums, ratio, slash_line, stat_fields
+from basepaths.functions.lines import LINE_SUMS, banded, capped, count_if, game_sums, ratio, slash_line, stat_fields
+from basepaths.session import cut_lineage
 
 
 def derive_exposures(valued: DataFrame, series: DataFrame, weights: DataFrame, constants: DataFrame) -> DataFrame:
     """The plate-appearance fact table with meeting ordinals and stat columns.
 
-    The in-game counters share one shuffle: data hashed by (game, pitcher) also serves the
-    window over (game, pitcher, batter). The series counter needs a second one.
+    The in-game counters need no shuffle of rows that are dealt out by game. The series counter adds
+    the meetings of earlier games, which come as one map per game.
 
     ``weights``: event_type, linear_weight; ``constants``: one row with raw_weights, woba_scale.
     """
@@ -27,12 +28,15 @@ def derive_exposures(valued: DataFrame, series: DataFrame, weights: DataFrame, c
     pas = valued.where("is_plate_appearance").join(schedule, "canonical_id")
     in_game = Window.partitionBy("canonical_id", "pitcher_key").orderBy("event_order")
     meeting = Window.partitionBy("canonical_id", "pitcher_key", "batter_key").orderBy("event_order")
-    in_series = Window.partitionBy("series_id", "batter_key", "pitcher_key").orderBy("game_start", "canonical_id", "event_order")
+    own = Window.partitionBy("canonical_id", "pitcher_key", "batter_key", "series_id", "game_start").orderBy("event_order")
+    met_before = F.try_element_at("_met", F.struct("series_id", "game_start", "batter_key", "pitcher_key"))
     event = F.col("event_type")
     return (
         pas.withColumn("pitcher_batters_faced_before", F.row_number().over(in_game) - 1)
         .withColumn("same_game_matchup_number", F.row_number().over(meeting))
-        .withColumn("series_matchup_number", F.row_number().over(in_series))
+        .withColumn("_own", F.row_number().over(own))
+        .join(_earlier_meetings(pas), "canonical_id", "left")
+        .withColumn("series_matchup_number", F.col("_own") + F.coalesce(met_before, F.lit(0)))
         .withColumns({
             "prior_series_game_matchups": F.col("series_matchup_number") - F.col("same_game_matchup_number"),
             "mlb_tto_bf9": F.floor(F.col("pitcher_batters_faced_before") / 9.0).cast("int") + 1,
@@ -45,10 +49,22 @@ def derive_exposures(valued: DataFrame, series: DataFrame, weights: DataFrame, c
             "run_value": F.element_at("_linear", event),
             "wOBA_num_value": F.coalesce(F.try_element_at("_scaled", event), F.lit(0.0)),
         })
-        .drop("_linear", "_scaled", "runners_before", "runners_after", "runner_actions", "action_keys", "after_keys")
+        .drop("_own", "_met", "_linear", "_scaled", "runners_before", "runners_after", "runner_actions", "action_keys", "after_keys")
     )
 
 
+def _earlier_meetings(pas: DataFrame) -> DataFrame:
+    """Per game, how often batter and pitcher met in earlier games of the series, where they did."""
+    pair = ["series_id", "batter_key", "pitcher_key"]
+    earlier = Window.partitionBy(*pair).orderBy("game_start", "canonical_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = (
+        pas.groupBy("canonical_id", "game_start", *pair).agg(F.count("*").alias("n"))
+        .withColumn("before", F.sum("n").over(earlier).cast("int"))
+    )
+    entry = F.struct(F.struct("series_id", "game_start", "batter_key", "pitcher_key"), F.col("before"))
+    return met.where("before > 0").groupBy("canonical_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_met"))
+
+
 # --- bands -------------------------------------------------------------------------------
 
 def prior_band(edge: int = 2) -> Column:
@@ -193,24 +209,27 @@ def with_periods(rows: DataFrame) -> DataFrame:
 def payload_sums(pas: DataFrame, entities: dict[str, str]) -> DataFrame:
     """Per-game sums for every entity kind x key x period x cut label, one pass.
 
+    Plate appearances are summed per kind and pair of labels first; only these sums are spread over periods and cuts.
     ``entities`` maps a kind (league, team, pitcher, batter, ...) to the column holding its key.
     """
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in entities.items()])
-    number = F.col("same_game_matchup_number")
-    cuts = F.array(
-        F.struct(F.lit("same_game").alias("cut"), capped("same_game_matchup_number", 4).alias("label")),
-        F.struct(F.lit("prior_series").alias("cut"), prior_band(1).alias("label")),
-        F.struct(F.lit("phase").alias("cut"), F.when(number == 1, "first").otherwise("later").alias("label")),
+    phase = F.when(F.col("same_game_matchup_number") == 1, "first").otherwise("later")
+    labelled = pas.withColumns({"same_game": capped("same_game_matchup_number", 4), "prior_series": prior_band(1), "phase": phase, "everyone": F.lit("league")})
+    rows = labelled.select("*", F.explode(kinds).alias("e")).select("*", "e.kind", "e.key").drop("e")
+    names = ("same_game", "prior_series", "phase")
+    sums = with_periods(game_sums(rows, "kind", "key", "season", *names))
+    cuts = F.array(*[F.struct(F.lit(name).alias("cut"), F.col(name).alias("label")) for name in names])
+    spread = sums.select("*", F.explode(cuts).alias("c")).select("*", "c.cut", "c.label").drop("c")
+    return spread.groupBy("kind", "key", "period", "cut", "label", "canonical_id").agg(
+        *[F.sum(name).alias(name) for name in ("PA", "run_value", *LINE_SUMS)]
     )
-    rows = with_periods(pas.withColumn("everyone", F.lit("league"))).select("*", F.explode(kinds).alias("e")).select("*", "e.kind", "e.key").drop("e")
-    rows = rows.select("*", F.explode(cuts).alias("c")).select("*", "c.cut", "c.label").drop("c")
-    return game_sums(rows, "kind", "key", "period", "cut", "label")
 
 
 def period_payload(pas: DataFrame, entities: dict[str, str]) -> DataFrame:
     """Lines of every entity, period and label; labels without a plate appearance have PA 0."""
     keys = ["kind", "key", "period"]
-    lines = slash_line(payload_sums(pas, entities), *keys, "cut", "label", intervals=False)
+    # written, as the grid and the lines both start here
+    lines = cut_lineage(slash_line(payload_sums(pas, entities), *keys, "cut", "label", intervals=False))
     wanted = F.concat(
         F.transform(F.array(*map(F.lit, GAME_LABELS)), lambda v: F.struct(F.lit("same_game").alias("cut"), v.alias("label"))),
         F.transform(F.array(*map(F.lit, SERIES_LABELS)), lambda v: F.struct(F.lit("prior_series").alias("cut"), v.alias("label"))),
