@@ -74,3 +74,27 @@ def test_suffix_order(memory, few, monkeypatch):
             common.append(min(limit, next((k for k, (x, y) in enumerate(pairs) if x != y), len(pairs))))
         order, lcp = I.suffix_order(text, symbols, limit)
         assert order.tolist() == want and lcp.tolist() == common
+
+
+def test_shards_sort_the_common_bytes_of_a_key_as_one_symbol(monkeypatch):
+    sizes = []
+    order = D.suffix_order
+    monkeypatch.setattr(D, "suffix_order", lambda text, symbols, limit: sizes.append(len(text)) or order(text, symbols, limit))
+    rng = random.Random(8)
+    draw = lambda n: bytes(rng.choice(b"ab\0") for _ in range(n))
+    length, fine = 60, 6
+    # two keys that collide have different cores in one shard
+    cores = [draw(length - fine + 1) for _ in range(3)]
+    parts = []
+    for k in range(300):
+        core = rng.randrange(fine)
+        windows = rng.randrange(core + 1) + 1
+        parts.append((1000 * k, 1000 * k + windows - 1, core, draw(core) + rng.choice(cores) + draw(fine - 2 - core + windows)))
+    assert all(len(p) == hi - lo + length for lo, hi, _, p in parts)
+    got = D.repeated_starts(parts, length, fine)
+    place = [(lo + i, (core - i, p[i : i + length])) for lo, hi, core, p in parts for i in range(hi - lo + 1)]
+    count = {}
+    for _, window in place:
+        count[window] = count.get(window, 0) + 1
+    assert sorted(x for starts in got for x in starts.tolist()) == sorted(at for at, window in place if count[window] > 1)
+    assert sum(sizes) <= len(parts) * (2 * fine + 1)
