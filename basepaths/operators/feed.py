@@ -14,7 +14,7 @@ from basepaths import schema as S
 from basepaths.functions import text as X
 from basepaths.functions.identity import literal_map, person_key
 from basepaths.operators import events as E
-from basepaths.session import cut_lineage
+from basepaths.session import cut_by
 
 
 def short_names(player: Column, stat_name: Column) -> Column:
@@ -29,17 +29,20 @@ def short_names(player: Column, stat_name: Column) -> Column:
 
 
 def people_of_games(people: DataFrame) -> DataFrame:
-    """Per game: names (longest first), aliases and the team of every person.
+    """Per game: names (longest first), aliases, the team of every person and players by id.
 
     ``people``: canonical_id, person_id, player, stat_name, team.
     """
+    people = people.repartition("canonical_id")
     aliases = F.transform(short_names(F.col("player"), F.col("stat_name")), lambda a: F.struct(a.alias("alias"), F.col("player").alias("name")))
     named = people.select("canonical_id", "player", "team").distinct().groupBy("canonical_id").agg(
         E.longest_first(F.array_sort(F.collect_set("player"))).alias("names"),
         F.map_from_entries(F.array_sort(F.collect_set(F.struct(person_key(F.col("player")).alias("key"), "team")))).alias("team_of"),
     )
     short = people.select("canonical_id", F.explode(aliases).alias("a")).groupBy("canonical_id").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
-    return named.join(short, "canonical_id", "left")
+    ids = people.where("person_id is not null").groupBy("canonical_id", F.col("person_id").cast("string").alias("id")).agg(F.max("player").alias("player"))
+    known = ids.groupBy("canonical_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "player"))).alias("player_of"))
+    return named.join(short, "canonical_id", "left").join(known, "canonical_id", "left")
 
 
 def mentioned(text: Column, aliases: Column) -> Column:
@@ -60,25 +63,23 @@ def told_position(text: Column) -> Column:
     return F.try_element_at(literal_map(codes), F.regexp_extract(F.lower(text), r"\bto (" + "|".join(codes) + r")\b", 1))
 
 
-def read_feed(plays: DataFrame, people: DataFrame) -> DataFrame:
+def read_feed(plays: DataFrame, people: DataFrame, tasks: int | None = None) -> DataFrame:
     """Plays with names, full-name text, runs, half-innings, what kind of play each one is, and all that its text tells.
 
-    Texts are read once: the result is a written table.
+    Texts are read once: the result is a written table. Games are dealt out once, to ``tasks`` (as many as shuffles have
+    if None), and stay together from then on.
 
     ``plays``: canonical_id, season, play_seqno, inning, is_top, batting_team, fielding_team, outs, team_score,
     batter_id, pitcher_id, action, narrative. Rows with a negative or null play_seqno are no plays.
     """
     in_order = Window.partitionBy("canonical_id").orderBy("play_seqno")
     side = F.struct("inning", "is_top")
-    scored = E.official_runs(plays.withColumn("team_score", F.coalesce("team_score", F.lit(0))))
+    tasks = tasks or int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = E.official_runs(plays.repartition(tasks, "canonical_id").withColumn("team_score", F.coalesce("team_score", F.lit(0))))
     known = scored.join(people_of_games(people), "canonical_id", "left").withColumn(
         "text", E.expand_names(F.col("narrative"), mentioned(F.coalesce("narrative", F.lit("")), F.col("aliases")))
     )
-    who = people.groupBy("canonical_id", "person_id").agg(F.max("player").alias("player"))
-    named = known
-    for role in ("batter", "pitcher"):
-        person = who.select("canonical_id", F.col("person_id").alias(f"{role}_id"), F.col("player").alias(role))
-        named = named.join(person, ["canonical_id", f"{role}_id"], "left")
+    named = known.withColumns({role: F.try_element_at("player_of", F.col(f"{role}_id").cast("string")) for role in ("batter", "pitcher")})
     is_pa = F.col("batter_id").isNotNull() & F.col("pitcher_id").isNotNull()
     low = F.lower("text")
     moves = F.when(low.contains("caught stealing"), "caught_stealing").when(low.contains(" steals "), "stolen_base").when(
@@ -92,9 +93,9 @@ def read_feed(plays: DataFrame, people: DataFrame) -> DataFrame:
             "clauses": E.runner_clauses(F.col("text"), F.col("names")),
         })
         .withColumns({"mover_team": F.try_element_at("team_of", person_key(F.col("mover"))), "clauses": E.in_effect(F.col("clauses"))})
-        .drop("_new", "aliases", "names", "team_of")
+        .drop("_new", "aliases", "names", "team_of", "player_of")
     )
-    return cut_lineage(told)
+    return cut_by(told, "canonical_id", tasks)
 
 
 def lineup_moves(read: DataFrame) -> DataFrame:
@@ -104,14 +105,14 @@ def lineup_moves(read: DataFrame) -> DataFrame:
     )
 
 
-def feed_events(plays: DataFrame, people: DataFrame, starters: DataFrame) -> DataFrame:
+def feed_events(plays: DataFrame, people: DataFrame, starters: DataFrame, tasks: int | None = None) -> DataFrame:
     """Feed plays as events, with source_kind, official_action and state_errors.
 
     ``starters``: canonical_id, team, position, player. Kept are plate appearances (both ids are there) and
     plays that move runners. outs_before is the feed's; runs are the growth of the team's score; the
     first fielder of the action code, if somebody holds that position, is told at the end of the text.
     """
-    read = read_feed(plays, people)
+    read = read_feed(plays, people, tasks)
     kept = read.where("is_plate_appearance or runner_type is not null").withColumns({
         "row_no": F.col("play_seqno").cast("int"), "position": action_position(F.col("action")),
         "play_type": F.when(F.col("is_plate_appearance"), X.official_play_type(F.col("action"), F.col("text"))),

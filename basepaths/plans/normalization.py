@@ -13,6 +13,7 @@ from basepaths.operators import feed as D
 
 from basepaths.plans import inputs as I
 from basepaths.plans.registry import cte, query
+from basepaths.session import DEAL_BY_ALL_KEYS
 from basepaths.sources.fixtures import runner_structs
 
 _CODES = {
@@ -261,7 +262,8 @@ def _feed(spark, sf):
     base = I.pbp(spark, sf)
     starters = base.select("canonical_id", F.col("fielding_team").alias("team"), "position", F.col("fielder").alias("player")).distinct()
     return I.stage(
-        spark, sf, "feed_events", lambda s, d: D.feed_events(I.view(s, d, "fx_feed"), I.view(s, d, "fx_people"), starters)
+        spark, sf, "feed_events", lambda s, d: D.feed_events(I.view(s, d, "fx_feed"), I.view(s, d, "fx_people"), starters, I.game_tasks(s, d)),
+        {DEAL_BY_ALL_KEYS: "false"},
     )
 
 

@@ -83,3 +83,14 @@ def test_a_replaced_player_leaves_nothing_empty(spark):
     moves = spark.createDataFrame([("g", "t", "P", "B", 3), ("g", "t", "1B", "A", 5)], schema + ", seq int")
     plays = spark.createDataFrame([("g", "t", p, 9) for p in ("P", "C", "1B")], "canonical_id string, team string, position string, seq int")
     assert {r.position: r.player for r in E.active_lineup(starters, moves, plays).collect()} == {"P": "B", "C": None, "1B": "A"}
+
+
+def test_games_are_dealt_out_once_and_people_may_repeat(spark):
+    plays = spark.createDataFrame(
+        [(g, 2025, n, 1, True, "away", "home", 0, 0, b, 9, "BB", "A Lee walks.") for g in ("g", "h", None) for n, b in enumerate((1, 2, 7))], PLAYS
+    )
+    people = [("g", None, "Nobody", None, "away"), ("g", 1, "Ann Lee", None, "away"), ("g", 1, "Ann Lea", None, "home"), ("g", 9, "Pia Ace", None, "home"), (None, 1, "X", None, "away")]
+    read = D.read_feed(plays, spark.createDataFrame(people, "canonical_id string, person_id long, player string, stat_name string, team string"), 3)
+    assert "Exchange" not in read.groupBy("canonical_id", "half_index").count()._jdf.queryExecution().executedPlan().toString()
+    got = {(r.canonical_id, r.play_seqno): (r.batter, r.pitcher) for r in read.collect()}
+    assert got == {(g, n): (("Ann Lee", None, None)[n], "Pia Ace") if g == "g" else (None, None) for g in ("g", "h", None) for n in range(3)}
